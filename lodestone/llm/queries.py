@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fertility
+from . import fertility, ngram_join
+from . import repeats as repeats_
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +20,39 @@ def op1_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.filter(out.reject.isNull()).drop("reject")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of documents whose sets of word 3-grams have a Jaccard similarity of at least 0.5."""
+    return ngram_join.join(_table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+with w as (
+  select distinct doc_id, text, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') as ws
+  from documents where doc_id is not null and text is not null
+), s as (
+  select doc_id, text, unnest(list_distinct(case when len(ws) < 3 then [array_to_string(ws, ' ')]
+    else list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) end)) as g
+  from w where len(ws) > 0
+), c as (
+  select doc_id, text, count(*) as n from s group by doc_id, text
+), p as (
+  select a.doc_id as doc_a, a.text as ta, b.doc_id as doc_b, b.text as tb, count(*) as m
+  from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all
+)
+select doc_a, doc_b, max(m / cast(x.n + y.n - m as double)) as jaccard
+from p join c x on x.doc_id = doc_a and x.text = ta join c y on y.doc_id = doc_b and y.text = tb
+where m >= 0.5 * (x.n + y.n - m) group by doc_a, doc_b
+"""
+
+
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All maximal repeats of at least 50 words with all their occurrences."""
+    return repeats_.repeats(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fertility": op1_fertility}
+    return {f.__name__: f for f in (op1_fertility, op3_ngram_join, op10_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_ngram_join": OP3_SQL}
