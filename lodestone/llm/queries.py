@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fertility, ngram_join
+from . import fertility, langid, ngram_join, resample
 from . import repeats as repeats_
 
 
@@ -45,13 +45,25 @@ where m >= 0.5 * (x.n + y.n - m) group by doc_a, doc_b
 """
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted documents with their language and its calibrated probability."""
+    docs = _table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs)).where("accepted").drop("accepted")
+
+
+def op6_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample of 85 % of all documents that looks like those that are labelled good."""
+    good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return resample.resample(_table(spark, sf_dir, "documents"), good)
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All maximal repeats of at least 50 words with all their occurrences."""
     return repeats_.repeats(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fertility, op3_ngram_join, op10_repeats)}
+    return {f.__name__: f for f in (op1_fertility, op3_ngram_join, op4_langid, op6_resample, op10_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
