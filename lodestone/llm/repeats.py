@@ -28,15 +28,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 from . import textkit as tk
 from . import units as U
 
 MIN_WORDS, ANCHOR, PERIOD = 50, 12, 25
-FLUSH_BYTES = 8_000_000
+FLUSH_BYTES, LISTED = 4_000_000, 200_000
 OCCURRENCES = "n_words int, occurrences array<struct<id: bigint, rid: bigint, start: int>>"
 
 
@@ -153,7 +155,8 @@ def tree(suffix: list[bytes], left: list[int], size: int) -> Iterator[tuple[int,
             stack.append((h, at))
 
 
-def _repeats(table: pa.Table, size: int) -> pa.RecordBatch:
+def _repeats(table: pa.Table, size: int) -> Iterator[pa.RecordBatch]:
+    """The repeats of whole buckets, in batches of about LISTED occurrences."""
     a = table.column("a").to_numpy()
     lead, mask = table.column("lead").to_numpy(), table.column("mask").to_numpy()
     blobs = table.column("words").combine_chunks()
@@ -171,22 +174,41 @@ def _repeats(table: pa.Table, size: int) -> pa.RecordBatch:
     edge = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1], [True]])) if len(order) else np.zeros(1, np.int64)
     lo, hi = edge[:-1], edge[1:]
     keep = (hi - lo > 1) & (left[order[lo]] != left[order[hi - 1]]) if len(lo) else np.zeros(0, bool)
-    ids, rids = table.column("id").to_pylist(), table.column("rid").to_pylist()
+    ids, rids = table.column("id").combine_chunks(), table.column("rid").to_numpy()
+    id_key, null = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False)
     base, raw = table.column("base").to_numpy(), raw.tobytes()
+    where = base[row] + shift
     words: list[int] = []
-    found: list[list[dict]] = []
+    found: list[np.ndarray] = []
+    held = 0
+
+    def batch() -> pa.RecordBatch:
+        flat, node = np.concatenate(found), np.repeat(np.arange(len(found)), [len(f) for f in found])
+        r = row[flat]
+        order = np.lexsort((where[flat], rids[r], id_key[r], null[r], node))
+        flat, node, r = flat[order], node[order], r[order]
+        new = np.ones(len(flat), bool)
+        new[1:] = (node[1:] != node[:-1]) | (rids[r][1:] != rids[r][:-1]) | (where[flat][1:] != where[flat][:-1]) | (id_key[r][1:] != id_key[r][:-1])
+        flat, node, r = flat[new], node[new], r[new]
+        many = np.bincount(node, minlength=len(found))
+        some = many > 1  # else all are the same place of repeated rows
+        flat, r = flat[some[node]], r[some[node]]
+        offsets = np.concatenate([[0], np.cumsum(many[some])]).astype(np.int32)
+        entry = pa.StructArray.from_arrays([ids.take(pa.array(r)), pa.array(rids[r]), pa.array(where[flat].astype(np.int32))], names=["id", "rid", "start"])
+        return pa.RecordBatch.from_arrays([pa.array(np.array(words, np.int32)[some]), pa.ListArray.from_arrays(pa.array(offsets), entry)], names=["n_words", "occurrences"])
+
     for x, y in zip(lo[keep].tolist(), hi[keep].tolist()):
         mine = order[x:y]
-        rows = row[mine].tolist()
-        where = (base[row[mine]] + shift[mine]).tolist()
         suffix = [raw[4 * s : 4 * e] for s, e in zip(at[mine].tolist(), off[row[mine] + 1].tolist())]
         for length, members in tree(suffix, left[mine].tolist(), size):
-            spots = {(ids[rows[i]] is None, ids[rows[i]], rids[rows[i]], where[i]) for i in members}
-            if len(spots) > 1:
-                words.append(length)
-                found.append([{"id": i, "rid": r, "start": s} for _, i, r, s in sorted(spots, key=lambda v: (v[0], v[1] or 0, v[2], v[3]))])
-    kind = pa.list_(pa.struct([("id", pa.int64()), ("rid", pa.int64()), ("start", pa.int32())]))
-    return pa.RecordBatch.from_arrays([pa.array(words, pa.int32()), pa.array(found, kind)], names=["n_words", "occurrences"])
+            words.append(length)
+            found.append(mine[members])
+            held += len(members)
+            if held > LISTED:
+                yield batch()
+                words, found, held = [], [], 0
+    if found:
+        yield batch()
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -202,9 +224,11 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
                 row, q, a, before = _anchors(U.text_column(part, "txt"), rid, size)
                 yield pa.RecordBatch.from_arrays([pa.array(rid[row]), pa.array(q), pa.array(a), pa.array(before)], names=["rid", "q", "a", "before"])
 
-    every = rows.select("rid", "txt").mapInArrow(anchors, "rid bigint, q int, a bigint, before bigint").repartition("a")
-    counted = every.groupBy("a").agg(F.count(F.lit(1)).alias("n"), (F.min("before") != F.max("before")).alias("diverse")).where("n > 1")
-    marks = every.join(counted, "a").groupBy("rid").agg(F.collect_list(F.struct("q", "diverse")).alias("marks"), F.max("diverse").alias("any")).where("any").select("rid", "marks")
+    # one shuffle: the window sees all occurrences of an anchor without a second pass over the texts
+    of = Window.partitionBy("a")
+    every = rows.select("rid", "txt").mapInArrow(anchors, "rid bigint, q int, a bigint, before bigint")
+    counted = every.withColumns({"n": F.count(F.lit(1)).over(of), "diverse": F.min("before").over(of) != F.max("before").over(of)}).where("n > 1")
+    marks = counted.groupBy("rid").agg(F.collect_list(F.struct("q", "diverse")).alias("marks"), F.max("diverse").alias("any")).where("any").select("rid", "marks")
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,10 +246,10 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
                 a = t.column("a").to_numpy()
                 done = int(np.searchsorted(a, a[-1]))
                 if done:
-                    yield _repeats(t.slice(0, done), size)
+                    yield from _repeats(t.slice(0, done), size)
                     held = [t.slice(done)]
         if held:
-            yield _repeats(pa.concat_tables(held), size)
+            yield from _repeats(pa.concat_tables(held), size)
 
     return told.repartition("a").sortWithinPartitions("a").mapInArrow(scan, OCCURRENCES)
 
