@@ -27,7 +27,7 @@ from . import common
 from . import textkit as tk
 from . import units as U
 
-BITS, FRACTION, SEED, BINS = 16, 0.85, 11, 4096
+BITS, FRACTION, SEED, BINS, BROADCAST_IDS = 16, 0.85, 11, 4096, 4_000_000
 
 
 def grams(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +55,10 @@ def models(docs: DataFrame, doc_id: str, text: str, good: DataFrame) -> np.ndarr
     """log p_target - log p_raw per bucket. ``good``: ids of target documents."""
     n = 1 << BITS
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("txt"))
-    marked = rows.join(good.select(F.col(good.columns[0]).alias("id"), F.lit(True).alias("good")).distinct(), "id", "left").select("txt", F.coalesce("good", F.lit(False)).alias("good"))
+    ids = good.select(F.col(good.columns[0]).alias("id"), F.lit(True).alias("good")).distinct()
+    # a checked size: ids of more documents than BROADCAST_IDS are joined by a shuffle
+    ids = F.broadcast(ids) if good.count() <= BROADCAST_IDS else ids
+    marked = rows.join(ids, "id", "left").select("txt", F.coalesce("good", F.lit(False)).alias("good"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, n), np.int64)
