@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fertility, langid, ngram_join, resample
+from . import fertility, langid, ngram_join, resample, toxicity
 from . import repeats as repeats_
 
 
@@ -20,6 +20,11 @@ def op1_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.filter(out.reject.isNull()).drop("reject")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that the classifier trained on weak labels calls toxic."""
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).where("flagged").drop("flagged")
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of documents whose sets of word 3-grams have a Jaccard similarity of at least 0.5."""
     return ngram_join.join(_table(spark, sf_dir, "documents"))
@@ -63,7 +68,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fertility, op3_ngram_join, op4_langid, op6_resample, op10_repeats)}
+    return {f.__name__: f for f in (op1_fertility, op2_toxicity, op3_ngram_join, op4_langid, op6_resample, op10_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:

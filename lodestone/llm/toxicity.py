@@ -2,8 +2,9 @@
 
 Voters. Lexicon voters fire when a word of the text begins with one of their stems. The stems are a short public list
 of English insults and stems mined from a bounded sample of labelled rows (``seed_rows``): word prefixes of 4 to 8
-letters that follow far more different words in toxic documents than in others. Pattern voters fire on runs of exclamation marks, on
-shouting and on texts in which no stem occurs. Each voter fires or abstains.
+letters that follow far more different words in toxic documents than in others. Sure stems, which others hardly ever
+have, fire alone; density voters fire when unsure stems begin at least a given share of the words. Pattern voters fire
+on runs of exclamation marks, on shouting and on texts in which no stem occurs. Each voter fires or abstains.
 
 Label model. The number of documents with each combination of votes is counted over all documents (at most 2**VOTERS
 rows). Expectation-maximisation fits the class prior and, for each class, how often each voter fires: its accuracy.
@@ -11,7 +12,7 @@ Voters that still depend on each other given the class are linked in a forest (m
 conditional mutual information), and the model is fitted again with each voter depending on its parent as well: its
 correlations. No label enters the fit but through the mined stems.
 
-Classifier. A logistic regression over the words and word prefixes in a text is trained by stochastic gradient descent
+Classifier. A logistic regression over how densely words and word prefixes occur in a text is trained by stochastic gradient descent
 with an L1 penalty on the posteriors of a bounded sample of documents (``train_docs``) and judges every document.
 
 Defined cases: null and empty texts are not toxic. Labels with nulls, or for ids that no document has, are ignored;
@@ -35,11 +36,14 @@ from . import textkit as tk
 from . import units as U
 
 PUBLIC = ("idiot", "moron", "stupid", "loser", "scum", "pathetic", "worthless", "disgusting", "imbecile", "bastard", "bitch", "fuck", "slut", "retard")
-LEXICONS, PATTERNS = 11, 3
+SURE_LEXICONS, DENSITIES, PATTERNS = 8, (0.008, 0.016, 0.03), 3
+LEXICONS = SURE_LEXICONS + len(DENSITIES)
 VOTERS = LEXICONS + PATTERNS
+#: Words added to a text's own before densities are taken, so that one word of a short text is no flood.
+SMOOTH = 50
 SEED_ROWS, TRAIN_DOCS = 5_000, 6_000
 PREFIXES = (4, 5, 6, 8)
-LIFT, LEAST = 20.0, 0.003
+LIFT, LEAST, SURE = 10.0, 0.003, 0.97
 
 
 @dataclass
@@ -111,19 +115,19 @@ def fit_label_model(votes: np.ndarray, counts: np.ndarray, voters: int = VOTERS,
 
 
 def mine(docs: DataFrame, labels: DataFrame, seed_rows: int = SEED_ROWS, seed: int = 3) -> list[list[str]]:
-    """Stems in LEXICONS groups. ``docs`` has id and txt, ``labels`` id and toxic (0/1)."""
+    """Sure stems in SURE_LEXICONS groups, then the unsure ones. ``docs``: id and txt, ``labels``: id and toxic (0/1)."""
     known = labels.where("id is not null and toxic is not null").dropDuplicates(["id"])
     share = min(1.0, 0.9 * seed_rows / max(known.count(), 1))
     some = known.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20))).limit(seed_rows)
     got = docs.join(F.broadcast(some), "id").where("txt is not null").select("txt", "toxic").toArrow()  # some: bounded by seed_rows
     toxic = got.column("toxic").to_numpy().astype(bool)
-    stems = _stems(pa.array(got.column("txt").to_pylist(), pa.string()), toxic) if 0 < toxic.sum() < len(toxic) else []
+    stems, unsure = _stems(pa.array(got.column("txt").to_pylist(), pa.string()), toxic) if 0 < toxic.sum() < len(toxic) else ([], [])
     stems += [s for s in PUBLIC if not any(s.startswith(t) for t in stems)]
-    return [stems[k::LEXICONS] for k in range(LEXICONS)]
+    return [*(stems[k::SURE_LEXICONS] for k in range(SURE_LEXICONS)), unsure]
 
 
-def _stems(col: pa.Array, toxic: np.ndarray) -> list[str]:
-    """Prefixes of words that toxic texts have LIFT times as often, most frequent first.
+def _stems(col: pa.Array, toxic: np.ndarray) -> tuple[list[str], list[str]]:
+    """Prefixes of words that toxic texts have LIFT times as often, sure ones and others, most frequent first.
 
     What counts is the number of different words before them, as copies of a text say each word after the same one.
     """
@@ -136,6 +140,7 @@ def _stems(col: pa.Array, toxic: np.ndarray) -> list[str]:
     stems: list[str] = []
     kept: set[str] = set()
     weight: dict[str, int] = {}
+    sure: dict[str, bool] = {}
     size = (max(int((~toxic).sum()), 1), max(int(toxic.sum()), 1))
     for n in PREFIXES:
         long = np.flatnonzero(chars[w.end] - chars[w.start] >= n)
@@ -155,8 +160,9 @@ def _stems(col: pa.Array, toxic: np.ndarray) -> list[str]:
             if not any(s[:m] in kept for m in range(1, len(s))):
                 kept.add(s)
                 weight[s] = int(yes[k])
+                sure[s] = bool(yes[k] >= SURE * (yes[k] + no[k]))
     stems = sorted(kept, key=lambda s: (-weight[s], s))
-    return stems
+    return [s for s in stems if sure[s]], [s for s in stems if not sure[s]]
 
 
 def _stem_table(groups: list[list[str]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -181,13 +187,19 @@ def votes_of(col: pa.Array, table: dict[int, tuple[np.ndarray, np.ndarray]]) ->
     out = np.zeros(len(w.first) - 1, np.int64)
     p, inv = tk._power(len(w.raw) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((w.raw.astype(np.uint64) + np.uint64(1)) * p[: len(w.raw)], dtype=np.uint64)])
+    unsure = np.zeros(len(out))
     for n, (known, bit) in table.items():
         long = np.flatnonzero(w.end - w.start >= n)
         a = w.start[long]
         h = tk.mix64((sums[a + n] - sums[a]) * inv[a])
         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        hit = known[at] == h
-        np.bitwise_or.at(out, w.row[long[hit]], bit[at[hit]])
+        hit = np.flatnonzero(known[at] == h)
+        row, fired = w.row[long[hit]], bit[at[hit]]
+        weak = fired == 1 << SURE_LEXICONS
+        np.bitwise_or.at(out, row[~weak], fired[~weak])
+        unsure += np.bincount(row[weak], minlength=len(out))
+    for k, least in enumerate(DENSITIES):
+        out |= (unsure >= least * (w.counts + SMOOTH)).astype(np.int64) << (SURE_LEXICONS + k)
     raw, off = tk.string_buffers(col)
     bang = np.zeros(len(raw), bool)
     bang[1:] = (raw[1:] == 33) & (raw[:-1] == 33)
@@ -200,18 +212,18 @@ def votes_of(col: pa.Array, table: dict[int, tuple[np.ndarray, np.ndarray]]) ->
     return out
 
 
-def features(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words and of their prefixes, and the text of each."""
+def features(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words and of their prefixes, the text of each, and per text what a word counts."""
     w = tk.words_of(col)
     p, inv = tk._power(len(w.raw) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((w.raw.astype(np.uint64) + np.uint64(1)) * p[: len(w.raw)], dtype=np.uint64)])
     hashes, rows = [w.hash], [w.row]
-    for n in PREFIXES[:3]:
+    for n in PREFIXES:
         long = np.flatnonzero(w.end - w.start > n)
         a = w.start[long]
         hashes.append(tk.mix64((sums[a + n] - sums[a]) * inv[a] + np.uint64(n)))
         rows.append(w.row[long])
-    return np.concatenate(hashes), np.concatenate(rows)
+    return np.concatenate(hashes), np.concatenate(rows), 4.0 * SMOOTH / (w.counts + SMOOTH)
 
 
 @dataclass
@@ -223,45 +235,53 @@ class Classifier:
     bias: float
 
     def probability(self, col: pa.Array) -> np.ndarray:
-        h, row = features(col)
+        h, row, scale = features(col)
         score = np.full(len(col), self.bias)
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
             hit = self.keys[at] == h
-            pair = np.unique(np.stack([row[hit], at[hit]]), axis=1)
-            score += np.bincount(pair[0], self.weights[pair[1]], len(col))
+            score += np.bincount(row[hit], self.weights[at[hit]], len(col)) * scale
         return 1 / (1 + np.exp(-np.clip(score, -40, 40)))
 
 
-def train_classifier(texts: list[str], target: np.ndarray, epochs: int = 6, rate: float = 0.5, l1: float = 2e-4, seed: int = 5) -> Classifier:
-    """Logistic regression on posteriors by AdaGrad with lazily applied L1."""
+def train_classifier(texts: list[str], target: np.ndarray, epochs: int = 8, rate: float = 1.0, l1: float = 1e-4, seed: int = 5) -> Classifier:
+    """Logistic regression on posteriors by AdaGrad with lazily applied L1; features in fewer than 3 texts are left out."""
     rng = np.random.default_rng(seed)
-    rows: list[np.ndarray] = []
+    rows: list[tuple[np.ndarray, np.ndarray]] = []
     for lo in range(0, len(texts), 512):
-        h, row = features(pa.array(texts[lo : lo + 512], pa.string()))
+        part = texts[lo : lo + 512]
+        h, row, scale = features(pa.array(part, pa.string()))
         order = np.argsort(row, kind="stable")
-        edge = np.searchsorted(row[order], np.arange(len(texts[lo : lo + 512]) + 1))
-        rows += [np.unique(h[order[a:b]]) for a, b in zip(edge[:-1], edge[1:])]
-    if not rows or target.min() == target.max():
-        return Classifier(np.zeros(0, np.uint64), np.zeros(0), -5.0)
-    keys, times = np.unique(np.concatenate(rows), return_counts=True)
+        edge = np.searchsorted(row[order], np.arange(len(part) + 1))
+        for i, (a, b) in enumerate(zip(edge[:-1], edge[1:])):
+            u, k = np.unique(h[order[a:b]], return_counts=True)
+            rows.append((u, k * scale[i]))
+    none = Classifier(np.zeros(0, np.uint64), np.zeros(0), -5.0)
+    if not rows or target.max() < 0.5:
+        return none
+    keys, times = np.unique(np.concatenate([u for u, _ in rows]), return_counts=True)
     keys = keys[times >= 3]
-    ids = [np.searchsorted(keys, r[np.isin(r, keys)]) for r in rows]
+    if not len(keys):
+        return none
+    kept = []
+    for u, x in rows:
+        at = np.minimum(np.searchsorted(keys, u), len(keys) - 1)
+        ok = keys[at] == u
+        kept.append((at[ok], x[ok]))
     weight, square, seen = np.zeros(len(keys)), np.full(len(keys), 1e-2), np.zeros(len(keys), np.int64)
-    bias = float(np.log(target.mean() / (1 - target.mean())))
+    bias = -4.0
     step = 0
     for _ in range(epochs):
-        for i in rng.permutation(len(ids)):
-            u = ids[i]
+        for i in rng.permutation(len(kept)):
+            u, x = kept[i]
             step += 1
             shrink = l1 * (step - seen[u]) * rate / np.sqrt(square[u])
             weight[u] = np.sign(weight[u]) * np.maximum(np.abs(weight[u]) - shrink, 0)
             seen[u] = step
-            error = 1 / (1 + np.exp(-np.clip(bias + weight[u].sum(), -40, 40))) - target[i]
-            g = error / np.sqrt(max(len(u), 1))
+            error = 1 / (1 + np.exp(-np.clip(bias + weight[u] @ x, -40, 40))) - target[i]
+            g = error * x
             square[u] += g * g
             weight[u] -= rate * g / np.sqrt(square[u])
-            bias -= 0.01 * rate * error
     weight = np.sign(weight) * np.maximum(np.abs(weight) - l1 * (step - seen) * rate / np.sqrt(square), 0)
     some = np.abs(weight) > 1e-3
     return Classifier(keys[some], weight[some], bias)
