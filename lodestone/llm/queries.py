@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fertility, langid, ngram_join, resample, toxicity
+from . import fertility, hilbert, langid, ngram_join, packing, resample, toxicity
 from . import repeats as repeats_
 
 
@@ -56,6 +56,19 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs)).where("accepted").drop("accepted")
 
 
+def op5_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in runs along the Hilbert curve over length, language and source."""
+    return hilbert.shard(_table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = hilbert.sql("documents", ["doc_id", "text", "lang", "source", "n_chars"])
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins of 2048 tokens over all documents."""
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op6_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sample of 85 % of all documents that looks like those that are labelled good."""
     good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
@@ -68,8 +81,8 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fertility, op2_toxicity, op3_ngram_join, op4_langid, op6_resample, op10_repeats)}
+    return {f.__name__: f for f in (op1_fertility, op2_toxicity, op3_ngram_join, op4_langid, op5_hilbert, op6_resample, op8_packing, op10_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": OP3_SQL}
+    return {"op3_ngram_join": OP3_SQL, "op5_hilbert": OP5_SQL}
