@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fertility, hilbert, langid, ngram_join, packing, resample, toxicity
+from . import bpe, fertility, hilbert, langid, ngram_join, packing, resample, toxicity
 from . import repeats as repeats_
 
 
@@ -69,6 +69,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents."""
+    return bpe.encode(_table(spark, sf_dir, "documents"))
+
+
 def op6_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sample of 85 % of all documents that looks like those that are labelled good."""
     good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
@@ -81,7 +86,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fertility, op2_toxicity, op3_ngram_join, op4_langid, op5_hilbert, op6_resample, op8_packing, op10_repeats)}
+    return {f.__name__: f for f in (op1_fertility, op2_toxicity, op3_ngram_join, op4_langid, op5_hilbert, op6_resample, op8_packing, op9_bpe, op10_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
