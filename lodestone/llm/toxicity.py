@@ -13,7 +13,8 @@ conditional mutual information), and the model is fitted again with each voter d
 correlations. No label enters the fit but through the mined stems.
 
 Classifier. A logistic regression over how densely words and word prefixes occur in a text is trained by stochastic gradient descent
-with an L1 penalty on the posteriors of a bounded sample of documents (``train_docs``) and judges every document.
+with an L1 penalty on the posteriors of a bounded sample of documents (``train_docs``, of which at most TRAIN_CLEAN are
+clean ones) and judges every document.
 
 Defined cases: null and empty texts are not toxic. Labels with nulls, or for ids that no document has, are ignored;
 without labels the public list stands alone. Repeated rows are judged alike. Empty tables give empty results; extra
@@ -41,7 +42,7 @@ LEXICONS = SURE_LEXICONS + len(DENSITIES)
 VOTERS = LEXICONS + PATTERNS
 #: Words added to a text's own before densities are taken, so that one word of a short text is no flood.
 SMOOTH = 50
-SEED_ROWS, TRAIN_DOCS = 5_000, 6_000
+SEED_ROWS, TRAIN_DOCS, TRAIN_CLEAN = 4_000, 8_000, 5_000
 PREFIXES = (4, 5, 6, 8)
 LIFT, LEAST, SURE = 10.0, 0.003, 0.97
 
@@ -131,32 +132,36 @@ def _stems(col: pa.Array, toxic: np.ndarray) -> tuple[list[str], list[str]]:
 
     What counts is the number of different words before them, as copies of a text say each word after the same one.
     """
-    w = tk.words_of(col)
-    lead = (w.raw & 0xC0) != 0x80
-    chars = np.concatenate([[0], np.cumsum(lead)])
-    at_char = np.concatenate([np.flatnonzero(lead), [len(w.raw)]])
-    before = np.concatenate([[0], w.hash[:-1]]).astype(np.uint64)
-    before[w.first[:-1][np.diff(w.first) > 0]] = 0
     stems: list[str] = []
     kept: set[str] = set()
     weight: dict[str, int] = {}
     sure: dict[str, bool] = {}
     size = (max(int((~toxic).sum()), 1), max(int(toxic.sum()), 1))
+    parts = list(_slices(col))
     for n in PREFIXES:
-        long = np.flatnonzero(chars[w.end] - chars[w.start] >= n)
-        a = w.start[long]
-        e = at_char[chars[a] + n]
-        h = tk.span_hash(w.raw, a, e)
-        bad = toxic[w.row[long]]
-        pair = tk.mix64(h ^ tk.mix64(before[long])) ^ bad.astype(np.uint64)
-        _, one = np.unique(pair, return_index=True)
-        keys, first, code = np.unique(h[one], return_index=True, return_inverse=True)
-        yes = np.bincount(code, bad[one], len(keys))
-        no = np.bincount(code, ~bad[one], len(keys))
-        ok = (yes >= max(8.0, LEAST * size[1])) & (yes / size[1] >= LIFT * (no + 0.5) / size[0])
-        for k in np.flatnonzero(ok):
-            i = one[first[k]]
-            s = w.raw[a[i] : e[i]].tobytes().decode("utf-8", "replace")
+        hashes, pairs, flags = [], [], []
+        for lo, part in parts:
+            w, long, h, _, _ = _prefixes(part, n)
+            before = np.concatenate([[0], w.hash[:-1]]).astype(np.uint64)
+            before[w.first[:-1][np.diff(w.first) > 0]] = 0
+            bad = toxic[lo + w.row[long]]
+            pair, one = np.unique(tk.mix64(h ^ tk.mix64(before[long])) ^ bad.astype(np.uint64), return_index=True)
+            hashes.append(h[one])
+            pairs.append(pair)
+            flags.append(bad[one])
+        h, bad = np.concatenate(hashes), np.concatenate(flags)
+        _, one = np.unique(np.concatenate(pairs), return_index=True)
+        keys, code = np.unique(h[one], return_inverse=True)
+        yes, no = np.bincount(code, bad[one], len(keys)), np.bincount(code, ~bad[one], len(keys))
+        ok = np.flatnonzero((yes >= max(8.0, LEAST * size[1])) & (yes / size[1] >= LIFT * (no + 0.5) / size[0]))
+        names: dict[int, str] = {}
+        for _, part in parts if len(ok) else []:
+            w, _, h, a, e = _prefixes(part, n)
+            for i in np.unique(h, return_index=True)[1]:
+                k = int(np.searchsorted(keys[ok], h[i]))
+                if k < len(ok) and keys[ok[k]] == h[i] and int(ok[k]) not in names:
+                    names[int(ok[k])] = w.raw[a[i] : e[i]].tobytes().decode("utf-8", "replace")
+        for k, s in names.items():
             if not any(s[:m] in kept for m in range(1, len(s))):
                 kept.add(s)
                 weight[s] = int(yes[k])
@@ -165,6 +170,26 @@ def _stems(col: pa.Array, toxic: np.ndarray) -> tuple[list[str], list[str]]:
     return [s for s in stems if sure[s]], [s for s in stems if not sure[s]]
 
 
+def _slices(col: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of about 2 MB of a string column, with the index of their first row."""
+    lo = 0
+    for part in tk.byte_slices(pa.RecordBatch.from_arrays([col], names=["t"]), "t"):
+        yield lo, part.column(0)
+        lo += part.num_rows
+
+
+def _prefixes(col: pa.Array, n: int) -> tuple[tk.Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, which of them have n letters, and hash, start and end of those prefixes."""
+    w = tk.words_of(col)
+    lead = (w.raw & 0xC0) != 0x80
+    chars = np.concatenate([[0], np.cumsum(lead)])
+    at_char = np.concatenate([np.flatnonzero(lead), [len(w.raw)]])
+    long = np.flatnonzero(chars[w.end] - chars[w.start] >= n)
+    a = w.start[long]
+    e = at_char[chars[a] + n]
+    return w, long, tk.span_hash(w.raw, a, e), a, e
+
+
 def _stem_table(groups: list[list[str]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By length in bytes: sorted hashes of stems and the bit of their voter."""
     table: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -245,29 +270,39 @@ class Classifier:
 
 
 def train_classifier(texts: list[str], target: np.ndarray, epochs: int = 8, rate: float = 1.0, l1: float = 1e-4, seed: int = 5) -> Classifier:
-    """Logistic regression on posteriors by AdaGrad with lazily applied L1; features in fewer than 3 texts are left out."""
+    """Logistic regression on posteriors by AdaGrad with lazily applied L1; features in fewer than 3 toxic texts are left out."""
     rng = np.random.default_rng(seed)
-    rows: list[tuple[np.ndarray, np.ndarray]] = []
-    for lo in range(0, len(texts), 512):
-        part = texts[lo : lo + 512]
-        h, row, scale = features(pa.array(part, pa.string()))
-        order = np.argsort(row, kind="stable")
-        edge = np.searchsorted(row[order], np.arange(len(part) + 1))
-        for i, (a, b) in enumerate(zip(edge[:-1], edge[1:])):
-            u, k = np.unique(h[order[a:b]], return_counts=True)
-            rows.append((u, k * scale[i]))
     none = Classifier(np.zeros(0, np.uint64), np.zeros(0), -5.0)
-    if not rows or target.max() < 0.5:
+    toxic = target >= 0.5
+    if not len(target) or not toxic.any():
         return none
-    keys, times = np.unique(np.concatenate([u for u, _ in rows]), return_counts=True)
-    keys = keys[times >= 3]
+
+    def rows(which: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for lo, part in _slices(pa.array([texts[i] for i in which], pa.string())):
+            h, row, scale = features(part)
+            order = np.argsort(row, kind="stable")
+            edge = np.searchsorted(row[order], np.arange(len(part) + 1))
+            for i, (a, b) in enumerate(zip(edge[:-1], edge[1:])):
+                u, k = np.unique(h[order[a:b]], return_counts=True)
+                yield int(which[lo + i]), u, k * scale[i]
+
+    keys, times = np.unique(np.concatenate([u for _, u, _ in rows(np.flatnonzero(toxic))]), return_counts=True)
+    keys, times = keys[times >= 3], times[times >= 3]
     if not len(keys):
         return none
-    kept = []
-    for u, x in rows:
+    other = np.zeros(len(keys))
+    kept: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(texts)
+    for i, u, x in rows(np.arange(len(texts))):
         at = np.minimum(np.searchsorted(keys, u), len(keys) - 1)
         ok = keys[at] == u
-        kept.append((at[ok], x[ok]))
+        kept[i] = at[ok].astype(np.int32), x[ok].astype(np.float32)
+        if not toxic[i]:
+            other[at[ok]] += 1
+    # what clean texts say as often tells nothing
+    tells = times / toxic.sum() >= 2 * (other + 0.5) / max((~toxic).sum(), 1)
+    place = np.cumsum(tells) - 1
+    kept = [(place[u[tells[u]]], x[tells[u]]) for u, x in kept]
+    keys = keys[tells]
     weight, square, seen = np.zeros(len(keys)), np.full(len(keys), 1e-2), np.zeros(len(keys), np.int64)
     bias = -4.0
     step = 0
@@ -308,8 +343,10 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     share = int(min(1.0, train_docs / max(total, 1)) * (1 << 30))
     sample = rows.where("txt is not null").where(F.pmod(F.xxhash64("id", "txt", F.lit(seed + 1)), F.lit(1 << 30)) < share).select("txt").toArrow().column("txt").to_pylist()
     sample.sort()
-    target = model.posterior(votes_of(pa.array(sample, pa.string()), table)) if sample else np.zeros(0)
-    judge = train_classifier(sample, target)
+    target = np.concatenate([np.zeros(0), *(model.posterior(votes_of(part, table)) for _, part in _slices(pa.array(sample, pa.string())))])
+    clean = np.flatnonzero(target < 0.5)
+    use = np.sort(np.concatenate([np.flatnonzero(target >= 0.5), np.random.default_rng(seed).permutation(clean)[:TRAIN_CLEAN]])).astype(np.int64)
+    judge = train_classifier([sample[i] for i in use], target[use])
 
     def make(part: pa.RecordBatch) -> dict[str, pa.Array]:
         col = U.text_column(part, "txt")
