@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fertility, hilbert, langid, ngram_join, packing, resample, toxicity
+from . import bpe, fertility, hilbert, langid, mpeg, ngram_join, packing, resample, toxicity
 from . import repeats as repeats_
 
 
@@ -64,6 +64,12 @@ def op5_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = hilbert.sql("documents", ["doc_id", "text", "lang", "source", "n_chars"])
 
 
+def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags, tables, checksums, exact durations and frame offsets of a stream for every page, made from its markup."""
+    pages = _table(spark, sf_dir, "pages")
+    return mpeg.parse(mpeg.from_text(pages, "page_id", "url", "html"), "page_id")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bins of 2048 tokens over all documents."""
     return packing.pack(_table(spark, sf_dir, "documents"))
@@ -86,7 +92,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fertility, op2_toxicity, op3_ngram_join, op4_langid, op5_hilbert, op6_resample, op8_packing, op9_bpe, op10_repeats)}
+    return {f.__name__: f for f in (op1_fertility, op2_toxicity, op3_ngram_join, op4_langid, op5_hilbert, op6_resample, op7_mpeg_audio, op8_packing, op9_bpe, op10_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
