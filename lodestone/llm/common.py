@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from . import textkit as tk
 
-_tables: list[tuple[SparkSession, str]] = []
+_tables: dict[str, list[tuple[SparkSession, str]]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,21 +39,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, owner: str = "") -> DataFrame:
     """The rows as a Parquet table in the shared folder, for tables that hold texts; see ``drop_written``."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _tables.append((spark, path))
+    _tables.setdefault(owner, []).append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written() -> None:
-    """Deletes the written tables; call it only when no result that reads them is still needed."""
-    while _tables:
-        spark, path = _tables.pop()
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
+def drop_written(owner: str) -> None:
+    """Deletes the tables of ``owner``; call it only when no result that reads them is still needed."""
+    for spark, path in _tables.pop(owner, []):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 

@@ -125,10 +125,10 @@ def assess(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", language
     return judge(measured, language, **bands)
 
 
-def accept(docs: DataFrame, text: str = "text", language: str = "lang", folder: str = vocab.DEFAULT_FOLDER, **bands) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with just the columns of ``docs``."""
+def accept(docs: DataFrame, text: str = "text", language: str = "lang", folder: str = vocab.DEFAULT_FOLDER, owner: str = "", **bands) -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with just the columns of ``docs``; see ``common.drop_written`` for ``owner``."""
     p = common.fresh(docs, "fertility")
     while any(c.lower().startswith(p) for c in docs.columns):
         p = "_" + p
-    rows = common.written(measures(docs, text, prefix=p + "_", folder=folder))
+    rows = common.written(measures(docs, text, prefix=p + "_", folder=folder), owner)
     return judge(rows, language, p + "_", **bands).filter(F.col(f"`{p}_reject`").isNull()).select(*(F.col(f"`{c}`") for c in docs.columns))
