@@ -28,7 +28,7 @@ from . import units as U
 MEASURES = ("chars_per_token", "chars_per_piece", "byte_share", "token_entropy")
 FLOORS = {"chars_per_token": 0.08, "chars_per_piece": 0.08, "byte_share": 0.02, "token_entropy": 0.15}
 FIELDS = [("script", T.StringType()), ("n_tokens", T.LongType()), *((m, T.DoubleType()) for m in MEASURES)]
-WIDTH, MIN_CELL = 5.0, 50
+WIDTH, MIN_CELL, BROADCAST_CELLS = 5.0, 50, 100_000
 
 _caches: dict[tuple, U.UnitCache] = {}
 _SCRIPTS = ("latin", "greek", "cyrillic", "semitic", "indic", "east_asian", "other", "none")
@@ -103,8 +103,10 @@ def judge(measured: DataFrame, language: str = "lang", prefix: str = "", width:
     some = have.filter(c("n_tokens") > 0)
     out = have
     for by, keys in (("0", []), ("1", ["key"]), ("2", ["key", "bin"])):
-        stats = some.groupBy(*(c(k).alias(f"{p}{k}_{by}") for k in keys)).agg(*bands(by))
+        # a row per language and size: once counted, they are sent to the texts while they are few
+        stats = common.cut(some.groupBy(*(c(k).alias(f"{p}{k}_{by}") for k in keys)).agg(*bands(by)))
         if keys:
+            stats = F.broadcast(stats) if stats.count() <= BROADCAST_CELLS else stats
             on = [c(k) == F.col(f"`{p}{k}_{by}`") for k in keys]
             out = out.join(stats, on, "left").drop(*(f"{p}{k}_{by}" for k in keys))
         else:

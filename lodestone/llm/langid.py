@@ -5,6 +5,7 @@ linear layer gives a score per language. Both are trained together in numpy by s
 sample of labelled documents (``train_docs``, spread evenly over the languages, whole texts). A fifth of the sample is
 held out: on it a temperature calibrates the probabilities, and the least threshold is taken at which at most
 ``max_error`` of the accepted are wrong. Texts under the threshold are rejected, and so are texts without letters.
+Grams that training never saw have a zero embedding, so an unknown language gives no confident answer.
 
 Defined cases: null and empty texts and texts without letters have language ``und``, probability 0, and are rejected.
 Rows with a null or blank language are no training rows. Where no row is labelled everything is ``und``. Repeated rows
@@ -109,12 +110,16 @@ def train(texts: list[str], labels: list[str], seed: int = 7, max_error: float =
             bias -= 0.1 * rate * error
             # each bucket moves as if its text held nothing else, held back by its share
             embed[u] -= (20 * rate * share)[:, None] * back
+    seen = np.zeros(1 << BITS, bool)
+    for i in used:
+        seen[rows[i][0]] = True
+    embed[~seen] = 0  # a gram that training never saw says nothing
     table = np.vstack([embed @ linear, np.zeros((1, c), np.float32)]).astype(np.float32)
     check = held if len(held) else used
     scores = np.array([(rows[i][1] / max(rows[i][1].sum(), 1)) @ table[rows[i][0]] + bias for i in check])
     truth = y[check]
     best, temperature = np.inf, 1.0
-    for t in np.geomspace(0.05, 20, 60):
+    for t in np.geomspace(0.5, 20, 60):
         loss = -np.log(np.maximum(_softmax(scores / t)[np.arange(len(truth)), truth], 1e-12)).mean()
         if loss < best:
             best, temperature = loss, float(t)

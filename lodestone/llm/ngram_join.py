@@ -192,6 +192,7 @@ def verified(rows: DataFrame, n: int, threshold: float, tolerance: float, block:
                 grams = pa.array([np.unique(h[a:b]).tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())
                 sig = pa.array([s.tobytes() for s in signatures(h, first)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], grams, sig], names=["cid", "root", "nb", "grams", "sig"])
+        common.tidy()
 
     made = texts.mapInArrow(sets, "cid bigint, root bigint, nb int, grams binary, sig binary")
     mine = F.pmod(F.hash("cid"), F.col("nb")).alias("mine")

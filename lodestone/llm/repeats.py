@@ -223,6 +223,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
                 rid = part.column(0).to_numpy()
                 row, q, a, before = _anchors(U.text_column(part, "txt"), rid, size)
                 yield pa.RecordBatch.from_arrays([pa.array(rid[row]), pa.array(q), pa.array(a), pa.array(before)], names=["rid", "q", "a", "before"])
+        common.tidy()
 
     # one shuffle: the window sees all occurrences of an anchor without a second pass over the texts
     of = Window.partitionBy("a")
@@ -234,6 +235,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
         for batch in batches:
             for part in tk.byte_slices(batch, "txt"):
                 yield _suffixes(part, size)
+        common.tidy()
 
     told = rows.join(marks, "rid").select("id", "rid", "txt", "marks").mapInArrow(suffixes, "a bigint, id bigint, rid bigint, base int, lead int, mask bigint, words binary")
 
@@ -250,6 +252,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
                     held = [t.slice(done)]
         if held:
             yield from _repeats(pa.concat_tables(held), size)
+        common.tidy()
 
     return told.repartition("a").sortWithinPartitions("a").mapInArrow(scan, OCCURRENCES)
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes worked on at a time; bounds the temporaries of a Python worker to a few times eight bytes each.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _PINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

@@ -36,7 +36,7 @@ class UnitCache:
     time only.
     """
 
-    def __init__(self, encode, limit: int = 400_000):
+    def __init__(self, encode, limit: int = 250_000):
         self.encode, self.limit = encode, limit
         self.clear()
 
