@@ -42,6 +42,11 @@ def test_cover_density(spark):
     assert got == {1: pytest.approx(0.1 / 2), 2: pytest.approx(0.2)}
 
 
+def test_stemmed_search(spark):
+    chunks = spark.createDataFrame([(1, "the cats were running"), (2, "a dog ran")], "chunk_id int, text string")
+    assert [r.chunk_id for r in search.cover_density(chunks, ["cat", "the", "runs"], stemmed=True).collect()] == [1]
+
+
 def test_websearch(spark):
     assert search.websearch('red "big fox" -den') == {"all": ["red"], "phrases": [["big", "fox"]], "none": ["den"], "any": []}
     docs = spark.createDataFrame([(1, "red big fox"), (2, "red fox big"), (3, "red big fox den"), (4, "cat"), (5, None)], "id int, text string")
