@@ -12,8 +12,14 @@ window are sorted (an enhanced suffix array with common-prefix lengths and left
 gives the intervals of the common-prefix tree, and those whose left neighbours differ are the repeats. Nothing is
 sampled: the result is that of one suffix array over all texts.
 
-Periodic runs: a window that equals one at most 25 words before it in its text begins no repeat, so a word said a
-thousand times is no thousand nested repeats; whole runs that occur elsewhere are found from their first words.
+Periodic runs: words that go on with a period of at most 25 words (half of ``min_words`` if that is less) for
+``min_words`` and a period more. A word said a thousand times would be a thousand nested repeats of a thousand places
+each, so what lies wholly inside runs is told compactly: a row with a ``period`` lists the first places only, and
+``runs`` says for how many words the period goes on from each; the row stands for all its shifts by the period and all
+its shorter forms in these runs. Each run is in such a row: with the runs that have as many of its words in common, or
+by itself, as the run without its last period, at its first two places. Repeats that begin inside a run and go on
+after its end are rows like others, with all their places: where the runs are longer, only tails that are as long as
+a whole run can begin one, as others have the same word before them everywhere.
 
 Words are compared by 32-bit hashes inside a bucket of equal 64-bit anchor hashes.
 
@@ -39,11 +45,14 @@ from . import units as U
 
 MIN_WORDS, ANCHOR, PERIOD = 50, 12, 25
 FLUSH_BYTES, LISTED = 4_000_000, 200_000
-OCCURRENCES = "n_words int, occurrences array<struct<id: bigint, rid: bigint, start: int>>"
+OCCURRENCES = "n_words int, period int, occurrences array<struct<id: bigint, rid: bigint, start: int, run: int>>"
 
 
 class Windows:
-    """Windows of ``size`` words of several texts: validity, liveness and anchors. Indices count all words in order."""
+    """Windows of ``size`` words of several texts: validity, liveness and anchors. Indices count all words in order.
+
+    ``live`` windows equal none at most a period before them, ``second`` ones equal live ones, ``run`` ones are in a run.
+    """
 
     def __init__(self, words: tk.Words, size: int):
         k = min(ANCHOR, size)
@@ -54,16 +63,21 @@ class Windows:
         self.inv = inv
         m = n - size + 1
         if m <= 0:
-            self.valid = self.live = np.zeros(0, bool)
+            self.valid = self.live = self.second = self.run = np.zeros(0, bool)
             self.anchor = np.zeros(0, np.int64)
             return
         i = np.arange(m)
         self.valid = words.row[:m] == words.row[size - 1 :]
         whole = self.span(i, i + size)
-        dead = np.zeros(m, bool)
-        for d in range(1, min(PERIOD, m - 1) + 1):
-            dead[d:] |= (whole[d:] == whole[:-d]) & self.valid[:-d] & (words.row[d:m] == words.row[: m - d])
-        self.live = self.valid & ~dead
+        back = np.zeros(m, np.int64)
+        for d in range(min(PERIOD, size // 2, m - 1), 0, -1):
+            back[d:][(whole[d:] == whole[:-d]) & self.valid[d:] & (words.row[d:m] == words.row[: m - d])] = d
+        dead = np.flatnonzero(back)
+        self.live = self.valid & (back == 0)
+        self.second = np.zeros(m, bool)
+        self.second[dead] = back[dead - back[dead]] == 0
+        cover = np.bincount(dead - back[dead], minlength=m + 1) - np.bincount(dead + 1, minlength=m + 1)
+        self.run = np.cumsum(cover)[:m] > 0
         j = np.arange(n - k + 1)
         key = (self.span(j, j + k) & np.uint64(0xFFFFFFFF00000000)) | j.astype(np.uint64)
         step = 1
@@ -79,10 +93,10 @@ class Windows:
 
 
 def _anchors(col: pa.Array, rid: np.ndarray, size: int):
-    """(row, position in the text, anchor hash, hash of what precedes it) of the anchors of all live windows."""
+    """(row, position in the text, anchor hash, hash of what precedes it) of the anchors of all live and second windows."""
     w = Windows(tk.words_of(col), size)
     k = min(ANCHOR, size)
-    q = w.anchor[w.live]
+    q = w.anchor[w.live | w.second]
     q = q[np.concatenate([[True], q[1:] != q[:-1]])] if len(q) else q
     row = w.words.row[q]
     begin = w.words.first[row]
@@ -104,7 +118,7 @@ def _suffixes(part: pa.RecordBatch, size: int) -> pa.RecordBatch:
     m, n = len(w.valid), len(w.words.hash)
     repeated = np.zeros(n + 1, bool)
     repeated[at] = True
-    ok = w.valid & (repeated[w.anchor] | ~w.live)
+    ok = w.valid & (repeated[w.anchor] | ~w.live | w.run)
     bad = np.where(ok, m, np.arange(m))
     stop = np.minimum.accumulate(bad[::-1])[::-1] + size - 1  # end of the words that the run of windows covers
     begins = np.zeros(n + 1, bool)
@@ -155,6 +169,50 @@ def tree(suffix: list[bytes], left: list[int], size: int) -> Iterator[tuple[int,
             stack.append((h, at))
 
 
+def periodic(suffix: list[bytes], left: list[int], period: int, size: int) -> Iterator[tuple[int, int, list[tuple[int, int]], list[int]]]:
+    """(length, period or 0, (suffix, words to skip) of the places, runs) of the repeats of suffixes that begin alike with a period.
+
+    There is one suffix for each run, its first with these words.
+    """
+    runs = []
+    for s in suffix:
+        x = np.frombuffer(s, np.uint32)
+        differ = x[period:] != x[:-period]
+        runs.append(int(differ.argmax()) + period if differ.any() else len(x))
+    before = int(np.frombuffer(suffix[0], ">u4", 1, 4 * (period - 1))[0])  # what precedes these words inside a run
+    told = set()
+    if len(suffix) > 1:
+        for length, members in tree(suffix, left, size):
+            if length <= runs[members[0]]:
+                yield length, period, [(k, 0) for k in members], [runs[k] for k in members]
+                told.update(members)
+    for run in {runs[k] for k in range(len(suffix)) if k not in told and left[k] != before and runs[k] >= size + period}:
+        places = [(k, skip) for k in range(len(suffix)) for skip in (0, period) if runs[k] - skip >= run - period]
+        yield run - period, period, places, [runs[k] - skip for k, skip in places]
+    # past the end of a run: those whose runs end at the same place of the period and go on with the same word
+    by: dict[tuple[int, bytes], list[int]] = {}
+    for k, s in enumerate(suffix):
+        if len(s) > 4 * runs[k]:
+            by.setdefault((runs[k] % period, s[4 * runs[k] : 4 * runs[k] + 4]), []).append(k)
+    for mine in by.values():
+        for tail in {runs[k] for k in mine if left[k] != before}:
+            here = [k for k in mine if runs[k] >= tail]
+            if len(here) > 1:
+                lefts = [left[k] if runs[k] == tail else before for k in here]
+                for length, members in tree([suffix[k][4 * (runs[k] - tail) :] for k in here], lefts, size):
+                    if length > tail:
+                        yield length, 0, [(here[j], runs[here[j]] - tail) for j in members], [0] * len(members)
+
+
+def _periods(sums: np.ndarray, inv: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """The least period, of at most PERIOD and half the window, of each window; 0 where there is none."""
+    span = lambda a, b: (sums[b] - sums[a]) * inv[a]
+    out = np.zeros(len(at), np.int64)
+    for d in range(min(PERIOD, size // 2), 0, -1):
+        out[span(at, at + size - d) == span(at + d, at + size)] = d
+    return out
+
+
 def _repeats(table: pa.Table, size: int) -> Iterator[pa.RecordBatch]:
     """The repeats of whole buckets, in batches of about LISTED occurrences."""
     a = table.column("a").to_numpy()
@@ -173,46 +231,59 @@ def _repeats(table: pa.Table, size: int) -> Iterator[pa.RecordBatch]:
     order = np.lexsort((left, key))
     edge = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1], [True]])) if len(order) else np.zeros(1, np.int64)
     lo, hi = edge[:-1], edge[1:]
-    keep = (hi - lo > 1) & (left[order[lo]] != left[order[hi - 1]]) if len(lo) else np.zeros(0, bool)
+    period = _periods(sums, inv, at[order[lo]], size) if len(lo) else np.zeros(0, np.int64)
+    keep = ((hi - lo > 1) & (left[order[lo]] != left[order[hi - 1]])) | (period > 0) if len(lo) else np.zeros(0, bool)
     ids, rids = table.column("id").combine_chunks(), table.column("rid").to_numpy()
     id_key, null = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False)
     base, raw = table.column("base").to_numpy(), raw.tobytes()
     where = base[row] + shift
     words: list[int] = []
+    cycle: list[int] = []
     found: list[np.ndarray] = []
+    skips: list[np.ndarray] = []
+    goes: list[np.ndarray] = []
     held = 0
 
     def batch() -> pa.RecordBatch:
         flat, node = np.concatenate(found), np.repeat(np.arange(len(found)), [len(f) for f in found])
-        r = row[flat]
-        order = np.lexsort((where[flat], rids[r], id_key[r], null[r], node))
-        flat, node, r = flat[order], node[order], r[order]
-        new = np.ones(len(flat), bool)
-        new[1:] = (node[1:] != node[:-1]) | (rids[r][1:] != rids[r][:-1]) | (where[flat][1:] != where[flat][:-1]) | (id_key[r][1:] != id_key[r][:-1])
-        flat, node, r = flat[new], node[new], r[new]
+        r, begin, run = row[flat], where[flat] + np.concatenate(skips), np.concatenate(goes)
+        order = np.lexsort((begin, rids[r], id_key[r], null[r], node))
+        begin, run, node, r = begin[order], run[order], node[order], r[order]
+        new = np.ones(len(r), bool)
+        new[1:] = (node[1:] != node[:-1]) | (rids[r][1:] != rids[r][:-1]) | (begin[1:] != begin[:-1]) | (id_key[r][1:] != id_key[r][:-1])
+        begin, run, node, r = begin[new], run[new], node[new], r[new]
         many = np.bincount(node, minlength=len(found))
         some = many > 1  # else all are the same place of repeated rows
-        flat, r = flat[some[node]], r[some[node]]
+        begin, run, r = begin[some[node]], run[some[node]], r[some[node]]
         offsets = np.concatenate([[0], np.cumsum(many[some])]).astype(np.int32)
-        entry = pa.StructArray.from_arrays([ids.take(pa.array(r)), pa.array(rids[r]), pa.array(where[flat].astype(np.int32))], names=["id", "rid", "start"])
-        return pa.RecordBatch.from_arrays([pa.array(np.array(words, np.int32)[some]), pa.ListArray.from_arrays(pa.array(offsets), entry)], names=["n_words", "occurrences"])
+        entry = pa.StructArray.from_arrays([ids.take(pa.array(r)), pa.array(rids[r]), pa.array(begin.astype(np.int32)), pa.array(run.astype(np.int32))], names=["id", "rid", "start", "run"])
+        return pa.RecordBatch.from_arrays([pa.array(np.array(words, np.int32)[some]), pa.array(np.array(cycle, np.int32)[some]), pa.ListArray.from_arrays(pa.array(offsets), entry)], names=["n_words", "period", "occurrences"])
 
-    for x, y in zip(lo[keep].tolist(), hi[keep].tolist()):
+    for x, y, p in zip(lo[keep].tolist(), hi[keep].tolist(), period[keep].tolist()):
         mine = order[x:y]
+        if p:  # equal rows have the same runs
+            mine = mine[np.unique(np.stack([rids[row[mine]], where[mine]]), axis=1, return_index=True)[1]]
         suffix = [raw[4 * s : 4 * e] for s, e in zip(at[mine].tolist(), off[row[mine] + 1].tolist())]
-        for length, members in tree(suffix, left[mine].tolist(), size):
+        lefts = left[mine].tolist()
+        nodes = periodic(suffix, lefts, p, size) if p else ((n, 0, [(k, 0) for k in members], [0] * len(members)) for n, members in tree(suffix, lefts, size))
+        for length, cyclic, places, run in nodes:
+            members, skip = np.array(places).T
             words.append(length)
+            cycle.append(cyclic)
             found.append(mine[members])
+            skips.append(skip)
+            goes.append(np.array(run))
             held += len(members)
             if held > LISTED:
                 yield batch()
-                words, found, held = [], [], 0
+                words, cycle, found, skips, goes, held = [], [], [], [], [], 0
     if found:
         yield batch()
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(n_words, occurrences) of all maximal repeats; occurrences are (id, rid, start word) in that order, nulls last."""
+    """(n_words, period, occurrences) of all maximal repeats; occurrences are (id, rid, start word, words that the period
+    goes on for) in that order, nulls last. Both are 0 but for repeats inside periodic runs."""
     size = min_words
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("txt"), common.row_id(doc_id, text).alias("rid"))
     rows = rows.where(F.octet_length("txt") >= 2 * size - 1)
@@ -258,19 +329,24 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(n_words, n_occurrences, n_docs, doc_ids, starts) of all maximal repeats; lists have an entry per occurrence."""
+    """(n_words, n_occurrences, n_docs, doc_ids, starts, period, runs) of all maximal repeats; lists have an entry per
+    occurrence, in periodic runs the first of each run."""
     occ = F.col("occurrences")
-    return groups(docs, doc_id, text, min_words).select("n_words", F.size(occ).alias("n_occurrences"), F.size(F.array_distinct(occ.rid)).alias("n_docs"), occ.id.alias("doc_ids"), occ.start.alias("starts"))
+    return groups(docs, doc_id, text, min_words).select("n_words", F.size(occ).alias("n_occurrences"), F.size(F.array_distinct(occ.rid)).alias("n_docs"), occ.id.alias("doc_ids"), occ.start.alias("starts"), "period", occ.run.alias("runs"))
 
 
 def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with all occurrences of each repeat but the first (by id, then start) cut from the texts.
+    """``docs`` with all occurrences of each repeat but the first (by id, then start) cut from the texts; of a periodic
+    run one period stays at most.
 
     A cut goes from the first word of a repeat to the word after it. ``n_chars``, if there, is counted again where a
     text was cut. Rows stay, even with nothing left in them.
     """
-    gone = groups(docs, doc_id, text, min_words).select("n_words", F.explode(F.slice("occurrences", 2, 1 << 30)).alias("o"))
-    spans = gone.groupBy(F.col("o.rid").alias("rid")).agg(F.collect_list(F.struct(F.col("o.start").alias("s"), (F.col("o.start") + F.col("n_words")).alias("e"))).alias("spans"))
+    start, end, inside = F.col("o.start"), F.col("o.start") + F.col("n_words"), (F.col("period") > 0) & (F.col("o.run") >= min_words + F.col("period"))
+    # of a run only the first period can be the first occurrence
+    gone = groups(docs, doc_id, text, min_words).select("n_words", "period", F.posexplode("occurrences").alias("k", "o")).where((F.col("k") > 0) | inside)
+    s, e = F.when(F.col("k") > 0, start).otherwise(start + F.col("period")), F.when(inside, start + F.col("o.run")).otherwise(end)
+    spans = gone.groupBy(F.col("o.rid").alias("rid")).agg(F.collect_list(F.struct(s.alias("s"), e.alias("e"))).alias("spans"))
     rid, cuts = common.fresh(docs, "rid"), common.fresh(docs, "spans")
     rows = docs.withColumn(rid, common.row_id(doc_id, text)).join(spans.select(F.col("rid").alias(rid), F.col("spans").alias(cuts)), rid, "left")
     names = docs.columns

@@ -62,3 +62,79 @@ def test_runs_of_one_word(spark):
     rows = [(1, "la " * 400), (2, "la " * 400), (3, "x " + "la " * 300)]
     got = repeats.repeats(spark.createDataFrame(rows, "doc_id int, text string")).collect()
     assert {(r.n_words, tuple(zip(r.doc_ids, r.starts))) for r in got} == {(400, ((1, 0), (2, 0))), (300, ((1, 0), (2, 0), (3, 1)))}
+
+
+def windows_cut(texts, size):
+    """What stays when every window that isn't the first of its kind is cut."""
+    seen, out = set(), []
+    for t in texts:
+        w = t.split()
+        keep = [True] * len(w)
+        for i in range(len(w) - size + 1):
+            u = tuple(w[i : i + size])
+            if u in seen:
+                keep[i : i + size] = [False] * size
+            seen.add(u)
+        out.append([x for x, k in zip(w, keep) if k])
+    return out
+
+
+def runs_of(texts, size, most):
+    """(document, start, length, period) of all maximal periodic runs."""
+    out = set()
+    for d, t in enumerate(texts):
+        w = t.split()
+        for p in range(1, most + 1):
+            i = 0
+            while i < len(w) - p:
+                j = i
+                while j + p < len(w) and w[j] == w[j + p]:
+                    j += 1
+                if j - i >= size and not any(x[0] == d and x[1] <= i and x[1] + x[2] >= j + p and p % x[3] == 0 for x in out):
+                    out.add((d, i, j + p - i, p))
+                i = max(j, i + 1)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_periodic_runs_against_the_unrestricted_search(spark, seed):
+    rng = random.Random(100 + seed)
+    size = (20, 50)[seed % 2]
+    word = lambda: f"w{rng.randrange(400)}"
+    some = lambda n: [word() for _ in range(n)]
+    lines = [some(n) for n in (1, 2, 3, 7, 10)] + [some(size // 2), some(size // 2 + 1)]
+    passages, heads = [some(n) for n in (5, 30, 80)], [some(n) for n in (1, 60)]
+    texts = []
+    for _ in range(14):
+        line = rng.choice(lines)
+        turn = rng.randrange(len(line)) * rng.randrange(2)
+        run = (line * (2 + 4 * size // len(line)))[turn : turn + rng.randint(size // 2, 3 * size)]
+        texts.append(" ".join(rng.choice([[], some(3), *heads]) + run + rng.choice([[], some(2), *passages, *passages]) + rng.choice([[], [], run])))
+    texts += [texts[0], texts[1] + " end"]
+    got = repeats.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), min_words=size).collect()
+    want, runs, most = brute(texts, size), runs_of(texts, size, size // 2), size // 2
+    rows = {(r.n_words, tuple(zip(r.doc_ids, r.starts))): r for r in got}
+    split = [t.split() for t in texts]
+    cyclic = lambda n, at: any(split[at[0][0]][at[0][1] + p : at[0][1] + n] == split[at[0][0]][at[0][1] : at[0][1] + n - p] for p in range(1, most + 1))
+    plain = {k for k in want if not cyclic(*k)}
+    assert plain == {k for k, r in rows.items() if r.period == 0} and plain
+    inside = {(n, d, s, g, r.period) for (n, at), r in rows.items() if r.period for (d, s), g in zip(at, r.runs)}
+    assert {(d, s, g, p) for _, d, s, g, p in inside if g >= size + p and not any(d == x and y <= s and s + g == y + m and p == q for x, y, m, q in runs)} == set()
+    assert runs <= {(d, s, g, p) for _, d, s, g, p in inside}
+    for (n, at), r in rows.items():
+        if r.period:  # with the shifts that it stands for it's a repeat of the unrestricted search
+            shifts = {(d, s + k) for (d, s), g in zip(at, r.runs) for k in range(0, g - n + 1, r.period)}
+            assert (n, tuple(sorted(shifts))) in want
+    left = repeats.cut_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), min_words=size)
+    assert [r.text.split() for r in left.orderBy("doc_id").collect()] == windows_cut(texts, size)
+
+
+def test_passage_after_runs_of_different_lengths(spark):
+    line, passage = [f"l{i}" for i in range(10)], [f"p{i}" for i in range(70)]
+    rows = [(1, line * 6 + passage), (2, line * 10 + passage), (3, [f"q{i}" for i in range(20)] * 5)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id int, text string")
+    got = {(r.n_words, tuple(zip(r.doc_ids, r.starts))) for r in repeats.repeats(df).collect()}
+    assert (130, ((1, 0), (2, 40))) in got and (80, ((3, 0), (3, 20))) in got
+    kept = {r.doc_id: r.text.split() for r in repeats.cut_repeats(df).collect()}
+    assert kept[2] == [] and kept[1] == line * 6 + passage or kept[1] == line + passage
+    assert len(kept[3]) == 20
