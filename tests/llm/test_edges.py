@@ -1,6 +1,7 @@
 """Every operator and stage with nulls, empty and very long texts, ties, repeated rows, empty tables, clashing names."""
 
 import math
+import os
 
 import numpy as np
 import pytest
@@ -109,6 +110,31 @@ def test_byte_fallback_and_bands(spark):
     assert all(got[k].reject is None for k in range(80))
 
 
+def test_bands_reject_planted_junk(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(1200):
+        junk = k % 12 == 0  # some 3 to 4.5 deviations below in two measures, as texts with spliced symbols are
+        off = rng.normal(-3.8, 0.3) if junk else np.clip(rng.normal(), -2.5, 2.5)
+        if k % 300 == 1:
+            off = 4.0  # clean and well said
+        off = float(off)
+        rows.append((k, "en", "latin", 300, 4.0 + 0.3 * off, 3.5 + 0.25 * off, 0.0, 6.0))
+    df = spark.createDataFrame(rows, "doc_id int, lang string, script string, n_tokens bigint, chars_per_token double, chars_per_piece double, byte_share double, token_entropy double")
+    gone = {r.doc_id for r in fertility.judge(df).collect() if r.reject is not None}
+    assert len({k for k in gone if k % 12 == 0}) >= 80 and len({k for k in gone if k % 12}) <= 11
+    assert {1, 301, 601, 901} & gone == set()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_bands_on_labelled_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = fertility.assess(docs).join(labels, "doc_id").select("quality", F.col("reject").isNotNull().alias("gone"), (F.col("n_tokens") >= 128).alias("long")).collect()
+    share = lambda q: np.mean([r.gone for r in got if r.quality == q and r.long])
+    print("rejected, of bad and clean", share(0), share(1), len(got))
+    assert share(0) >= 0.75 and share(1) <= 0.03
+
+
 def test_join_against_brute_force(docs):
     import re
 
