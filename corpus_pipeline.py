@@ -45,7 +45,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packing_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return packing.pack(docs)
+    return packing.pack_tokens(docs)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

@@ -1,8 +1,9 @@
 """Packing by first-fit decreasing with a tournament tree of bin capacities, in randomised groups of documents.
 
 Documents are dealt at random (a hash of the row and a seed) to groups of about ``group_docs``; each group is packed
-by itself, so the work is even and no step sees the whole corpus. The size of a document is its number of UTF-8 bytes,
-``unit`` of them to a token, rounded up; documents over the capacity are first cut in full pieces and a rest, so whole
+by itself, so the work is even and no step sees the whole corpus. The size of a document is the number of its tokens in
+the byte-level BPE vocabulary of ``folder`` (``pack_tokens``, the same tokens as those of ``bpe.encode``), or without a
+folder its number of UTF-8 bytes, ``unit`` of them to a token, rounded up; documents over the capacity are first cut in full pieces and a rest, so whole
 texts are packed. Inside a group pieces go by decreasing size (ties by id, then piece) into the first bin with room,
 which a tournament tree (a complete binary tree that holds the largest free capacity below each node) finds in
 logarithmic time.
@@ -17,12 +18,30 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import common, vocab
+from . import textkit as tk
+from . import units as U
 
 CAPACITY, UNIT, GROUP_DOCS, SEED = 2048, 4, 4000, 17
 SCHEMA = "group bigint, bin int, used bigint, doc_ids array<bigint>, starts array<bigint>, lengths array<bigint>"
 
+_caches: dict[str, U.UnitCache] = {}
+
+
+def count_tokens(col: pa.Array, folder: str = vocab.DEFAULT_FOLDER) -> pa.Array:
+    """Tokens of each text of an Arrow string column."""
+    if folder not in _caches:
+        _caches[folder] = U.UnitCache(vocab.byte_bpe(folder).encode)
+    raw, off = tk.string_buffers(col)
+    start, first = U.units_of(raw, off)
+    _, size = _caches[folder].lookup(raw, start)
+    return pa.array(tk.segment_sum(size, first).astype(np.int64))
+
 
 def first_fit(sizes: list[int], capacity: int) -> list[int]:
     """Bin of each size by first fit in the given order; no size may exceed the capacity."""
@@ -67,11 +86,16 @@ def pack_group(group: int, ids: np.ndarray, valid: np.ndarray, sizes: np.ndarray
     return pd.DataFrame({"group": group, "bin": np.arange(len(names), dtype=np.int32), "used": [int(x.sum()) for x in lengths], "doc_ids": names, "starts": [x.tolist() for x in split(start)], "lengths": [x.tolist() for x in lengths]})
 
 
-def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, unit: int = UNIT, group_docs: int = GROUP_DOCS, seed: int = SEED) -> DataFrame:
+def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, unit: int = UNIT, group_docs: int = GROUP_DOCS, seed: int = SEED, folder: str | None = None) -> DataFrame:
     """(group, bin, used, doc_ids, starts, lengths): a row per bin."""
     i, t = F.col(f"`{doc_id}`").cast("bigint"), F.col(f"`{text}`").cast("string")
     groups = max(1, -(-docs.count() // group_docs))
-    rows = docs.select(i.alias("id"), F.ceil(F.octet_length(t) / unit).cast("bigint").alias("size"), F.pmod(F.xxhash64(F.lit(seed), i, F.octet_length(t), F.xxhash64(t)), F.lit(groups)).alias("group")).where("size > 0")
+    rows = docs.select(i.alias("id"), t.alias("txt"), F.pmod(F.xxhash64(F.lit(seed), i, F.octet_length(t), F.xxhash64(t)), F.lit(groups)).alias("group"))
+    if folder is None:
+        rows = rows.withColumn("size", F.ceil(F.octet_length("txt") / unit).cast("bigint"))
+    else:
+        rows = common.append(rows, "txt", lambda part: {"size": count_tokens(U.text_column(part, "txt"), folder)}, [("size", T.LongType())], ["id", "group"])
+    rows = rows.where("size > 0")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         valid = pdf["id"].notna().to_numpy()
@@ -79,3 +103,8 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
         return pack_group(int(key[0]), ids, valid, pdf["size"].to_numpy(np.int64), capacity)
 
     return rows.select("id", "size", "group").groupBy("group").applyInPandas(run, SCHEMA)
+
+
+def pack_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, group_docs: int = GROUP_DOCS, seed: int = SEED, folder: str = vocab.DEFAULT_FOLDER) -> DataFrame:
+    """``pack`` by the tokens of a vocabulary; starts and lengths are places in the ids of ``bpe.encode``."""
+    return pack(docs, doc_id, text, capacity, group_docs=group_docs, seed=seed, folder=folder)

@@ -72,7 +72,7 @@ def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bins of 2048 tokens over all documents."""
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    return packing.pack_tokens(_table(spark, sf_dir, "documents"))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

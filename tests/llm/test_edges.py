@@ -268,6 +268,22 @@ def test_packing_against_first_fit(docs):
         assert len(free) == len(bins) and [64 - f for f in free] == [r.used for r in bins]
 
 
+def test_packed_sizes_are_tokens(spark, docs):
+    enc = bpe.vocab.byte_bpe(bpe.vocab.DEFAULT_FOLDER).enc
+    some = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    want = {r.doc_id: len(enc.encode_ordinary(r.text or "")) for r in some.collect()}
+    bins = corpus_pipeline.packing_bins(spark, some, "").collect()
+    assert all(sum(r.lengths) == r.used <= packing.CAPACITY for r in bins)
+    pieces = {}
+    for r in bins:
+        for d, s, n in zip(r.doc_ids, r.starts, r.lengths):
+            pieces.setdefault(d, []).append((s, n))
+    assert {d: sum(n for _, n in p) for d, p in pieces.items()} == {d: n for d, n in want.items() if n}
+    for p in pieces.values():
+        p.sort()
+        assert p[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(p, p[1:]))
+
+
 def test_bpe_against_the_library(spark, docs):
     enc = bpe.vocab.byte_bpe(bpe.vocab.DEFAULT_FOLDER).enc
     texts = {r.doc_id: r.text for r in docs.where("doc_id is not null").collect()}
