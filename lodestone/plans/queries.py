@@ -61,6 +61,16 @@ def vector_topk(t):
     return got.select("chunk_id", *_r6("vector_score"), F.col("vector_rank").cast("bigint").alias("vector_rank"))
 
 
+@query("""with s as (select a.vec_id as query_id, b.vec_id as chunk_id, list_cosine_similarity(b.embedding::double[], a.embedding::double[]) as vector_score from embeddings a, embeddings b),
+r as (select *, row_number() over (partition by query_id order by vector_score desc, chunk_id) as vector_rank from s where vector_score is not null)
+select query_id, chunk_id, round(vector_score, 6) as vector_score, cast(vector_rank as bigint) as vector_rank from r where vector_rank <= 40""")
+def vector_topk_all(t):
+    """The 40 vectors nearest to every vector."""
+    e = t("embeddings")
+    got = search.vector_topk(e.withColumnRenamed("vec_id", "chunk_id"), e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 40, by="query_id")
+    return got.select("query_id", "chunk_id", *_r6("vector_score"), F.col("vector_rank").cast("bigint").alias("vector_rank"))
+
+
 @query(f"with {_TEXT.format(k=40)} select chunk_id, round(text_score, 6) as text_score, cast(text_rank as bigint) as text_rank from tr")
 def text_rank_cover_density(t):
     """The 40 documents with the densest covers of two words."""

@@ -36,6 +36,35 @@ def test_hybrid_search(spark):
     assert search.hybrid_search(chunks.limit(0), [1.0, 0.0], ["red"]).count() == 0
 
 
+def test_every_row_is_a_query(spark, tmp_path):
+    import numpy as np
+
+    from lodestone.plans import queries
+
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(60, 8)).astype("float32")
+    v[7] = v[3]
+    spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
+    cos = np.round(unit @ unit.T, 9)
+    got = {}
+    for r in queries.QUERIES["vector_topk_all"](spark, str(tmp_path)).collect():
+        got.setdefault(r.query_id, []).append((r.vector_rank, r.chunk_id, r.vector_score))
+    for q in range(60):
+        order = sorted(range(60), key=lambda c: (-cos[q, c], c))[:40]
+        assert [c for _, c, _ in sorted(got[q])] == order
+        assert [s for *_, s in sorted(got[q])] == pytest.approx([cos[q, c] for c in order], abs=2e-6)
+    chunks = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "chunk_id string, embedding array<float>")
+    two = spark.createDataFrame([(1, [1.0, 0.1]), (2, [0.1, 1.0])], "query_id int, q array<float>")
+    near = search.vector_topk(chunks, two, 1, by="query_id")
+    assert {(r.query_id, r.chunk_id) for r in near.collect()} == {(1, "a"), (2, "b")}
+    with pytest.raises(Exception, match="query key"):
+        search.vector_topk(chunks, two, 1).collect()
+    texts = search.text_topk(spark.createDataFrame([(1, "b", 0.2), (1, "a", 0.1), (2, "a", 0.3)], "query_id int, chunk_id string, text_score double"), 1, by="query_id")
+    fused = search.fuse(near, texts, 2, by="query_id").collect()
+    assert {(r.query_id, r.chunk_id, r.vector_rank, r.text_rank) for r in fused} == {(1, "a", 1, 999999), (1, "b", 999999, 1), (2, "b", 1, 999999), (2, "a", 999999, 1)}
+
+
 def test_cover_density(spark):
     chunks = spark.createDataFrame([(1, "a x b"), (2, "a b a"), (3, "a")], "chunk_id int, text string")
     got = {r.chunk_id: r.text_score for r in search.cover_density(chunks, ["a", "b"]).collect()}
