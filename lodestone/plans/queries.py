@@ -227,6 +227,14 @@ def missing_tokens(t):
     return got.select("token", F.col("missing").cast("bigint").alias("missing"))
 
 
+@query(f"""with a as (select token, count(*) as n from ({_BAG.format('benchmark')}) group by 1), b as (select token, count(*) as m from ({_BAG.format("documents")}) group by 1)
+select token, cast(n - coalesce(m, 0) as bigint) as missing from a left join b using (token) where n > coalesce(m, 0) order by missing desc, token limit 50""")
+def missing_tokens_all(t):
+    """Words of the benchmark that all documents, whatever their language, say less often, the 50 most frequent."""
+    got = audit.missing_tokens(t("benchmark"), t("documents"))
+    return got.select("token", F.col("missing").cast("bigint").alias("missing"))
+
+
 @query(f"""with a as (select conv_id, token, count(*) as n from (select conv_id, unnest({WORDS.format('text')}) as token from conversations where role = 'user') group by all),
 b as (select conv_id, token, count(*) as m from (select conv_id, unnest({WORDS.format('text')}) as token from conversations where role = 'assistant') group by all),
 c as (select conv_id, sum(n) as expected, sum(least(n, coalesce(m, 0))) as covered from a left join b using (conv_id, token) group by 1)

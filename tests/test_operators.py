@@ -65,6 +65,15 @@ def test_every_row_is_a_query(spark, tmp_path):
     assert {(r.query_id, r.chunk_id, r.vector_rank, r.text_rank) for r in fused} == {(1, "a", 1, 999999), (1, "b", 999999, 1), (2, "b", 1, 999999), (2, "a", 999999, 1)}
 
 
+def test_missing_tokens_in_all_languages(spark, tmp_path):
+    from lodestone.plans import queries
+
+    spark.createDataFrame([(1, "red red fox haus nulle den")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, "red fox", "en"), (2, "Haus", "de"), (3, "nulle", None)], "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["missing_tokens_all"](spark, str(tmp_path)).collect()
+    assert {(r.token, r.missing) for r in got} == {("red", 1), ("den", 1)}
+
+
 def test_cover_density(spark):
     chunks = spark.createDataFrame([(1, "a x b"), (2, "a b a"), (3, "a")], "chunk_id int, text string")
     got = {r.chunk_id: r.text_score for r in search.cover_density(chunks, ["a", "b"]).collect()}
