@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,12 +22,15 @@ _tables: dict[str, list[tuple[SparkSession, str]]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a private one only where that is unset, as in tests."""
+    """The folder named in ``spark.checkpoint.dir``. Where that is unset, a private one in local mode; elsewhere an error,
+    as executors on other machines wouldn't see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
         if have.isDefined():
             return have.get()
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         local = tempfile.mkdtemp(prefix="corpus-")
         atexit.register(shutil.rmtree, local, True)
         folder = f"file://{local}"
@@ -88,6 +93,25 @@ def append(df: DataFrame, column: str, make: Callable[[pa.RecordBatch], dict[str
     return src.mapInArrow(run, schema)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], flush: int = 4_000_000) -> Iterator[pa.Table]:
+    """Tables of about ``flush`` bytes that hold all rows of each group, from batches sorted by the keys."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        held.append(pa.Table.from_batches([batch]))
+        if sum(t.nbytes for t in held) > flush:
+            t = pa.concat_tables(held).combine_chunks()
+            same = np.ones(len(t), bool)
+            for k in keys:
+                c = t.column(k).to_numpy()
+                same &= c == c[-1]
+            done = len(t) - int(np.argmin(same[::-1])) if not same.all() else 0  # where the last group begins
+            if done:
+                yield t.slice(0, done)
+            held = [t.slice(done)]
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
 def row_id(doc_id: str = "doc_id", text: str = "text"):
     """64-bit identity of a row by id and text; equal rows share it, and a null differs from an empty text."""
     c = lambda name: F.col(f"`{name}`")

@@ -26,27 +26,39 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of documents whose sets of word 3-grams have a Jaccard similarity of at least 0.5."""
-    return ngram_join.join(_table(spark, sf_dir, "documents"))
+    """All documents with the class that word 3-gram sets with a Jaccard similarity of at least 0.5 tie them to."""
+    return ngram_join.classes(_table(spark, sf_dir, "documents"))
 
 
 OP3_SQL = r"""
-with w as (
-  select distinct doc_id, text, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') as ws
-  from documents where doc_id is not null and text is not null
+with recursive d as (
+  select distinct doc_id, text from documents where doc_id is not null and text is not null
+), t as (
+  select *, row_number() over () as k from (select text, min(doc_id) as low, count(*) as copies from d group by text)
+), w as (
+  select k, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') as ws from t
 ), s as (
-  select doc_id, text, unnest(list_distinct(case when len(ws) < 3 then [array_to_string(ws, ' ')]
+  select k, unnest(list_distinct(case when len(ws) < 3 then [array_to_string(ws, ' ')]
     else list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) end)) as g
   from w where len(ws) > 0
 ), c as (
-  select doc_id, text, count(*) as n from s group by doc_id, text
+  select k, count(*) as n from s group by k
 ), p as (
-  select a.doc_id as doc_a, a.text as ta, b.doc_id as doc_b, b.text as tb, count(*) as m
-  from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all
+  select a.k as a, b.k as b, count(*) as m from s a join s b on a.g = b.g and a.k != b.k group by all
+), e as (
+  select a, b from p join c x on x.k = a join c y on y.k = b where m >= 0.5 * (x.n + y.n - m)
+), r(a, b) as (
+  select distinct a, a from e union select r.a, e.b from r join e on e.a = r.b
+), q as (
+  select r.a as k, min(low) as class_id from r join t on t.k = r.b group by r.a
+), l as (
+  select a as k, count(*) as links from e group by a
+), z as (
+  select k from c
 )
-select doc_a, doc_b, max(m / cast(x.n + y.n - m as double)) as jaccard
-from p join c x on x.doc_id = doc_a and x.text = ta join c y on y.doc_id = doc_b and y.text = tb
-where m >= 0.5 * (x.n + y.n - m) group by doc_a, doc_b
+select d.doc_id, case when z.k is null then d.doc_id else coalesce(class_id, low) end as class_id,
+  cast(case when z.k is null then 1 else copies end as bigint) as copies, cast(coalesce(links, 0) as bigint) as links
+from d join t using (text) left join z on z.k = t.k left join q on q.k = t.k left join l on l.k = t.k
 """
 
 

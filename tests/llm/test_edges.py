@@ -1,5 +1,6 @@
 """Every operator and stage with nulls, empty and very long texts, ties, repeated rows, empty tables, clashing names."""
 
+import collections
 import math
 import os
 
@@ -43,7 +44,7 @@ def rows_of(df):
 OPERATORS = {
     "op1": lambda d, la: fertility.assess(d),
     "op2": lambda d, la: toxicity.classify(d, la),
-    "op3": lambda d, la: ngram_join.join(d),
+    "op3": lambda d, la: ngram_join.classes(d),
     "op4": lambda d, la: langid.identify(d, langid.fit(d)),
     "op5": lambda d, la: hilbert.shard(d, rows_per_run=7),
     "op6": lambda d, la: resample.resample(d, la.where("quality = 1").select("doc_id")),
@@ -142,15 +143,77 @@ def test_join_against_brute_force(docs):
         w = re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
         return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} if w else set()
 
-    sets = sorted((r.doc_id, grams(r.text)) for r in docs.where("doc_id is not null").dropDuplicates(["doc_id"]).collect())
-    want = {}
+    rows = {(r.doc_id, r.text) for r in docs.where("doc_id is not null and text is not null").collect()}
+    low, copies = {}, {}
+    for d, t in rows:
+        low[t], copies[t] = min(d, low.get(t, d)), copies.get(t, 0) + 1
+    sets = sorted((d, grams(t)) for t, d in low.items())
+    want, root = {}, {d: d for d, _ in sets}
     for i, (a, x) in enumerate(sets):
         for b, y in sets[i + 1 :]:
             if x and y and len(x & y) >= 0.5 * len(x | y):
                 want[a, b] = len(x & y) / len(x | y)
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {d: new if r == old else r for d, r in root.items()}
+    n_links = collections.Counter(d for p in want for d in p)
+    told = {(d, root[low[t]] if grams(t) else d, copies[t] if grams(t) else 1, n_links[low[t]]) for d, t in rows}
     for block in (2000, 2):
-        assert {(r.doc_a, r.doc_b): r.jaccard for r in ngram_join.join(docs, block=block).collect()} == want
-    assert want
+        assert {(r.doc_a, r.doc_b): r.jaccard for r in ngram_join.pairs(docs, block=block).collect()} == want
+        assert sorted(map(tuple, ngram_join.classes(docs, block=block).collect())) == sorted(told)
+    assert want and len({r[1] for r in told}) < len(told)
+
+
+def test_join_sql(docs):
+    import duckdb
+
+    from lodestone.llm import queries
+
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text").toArrow())
+    got = ngram_join.classes(docs)
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(queries.OP3_SQL).select(", ".join(got.columns)).fetchall())
+
+
+def test_join_of_string_ids(spark, docs):
+    named = docs.withColumn("doc_id", F.format_string("u%05d", "doc_id")).where("doc_id not like '%null%'")
+    plain = {(r.doc_id, r.class_id, r.copies, r.links) for r in ngram_join.classes(docs).collect()}
+    assert {(int(r.doc_id[1:]), int(r.class_id[1:]), r.copies, r.links) for r in ngram_join.classes(named).collect()} == plain
+    kept = [r.doc_id for r in ngram_join.keep_one(named).collect()]
+    assert "u00000" in kept and "u00030" not in kept
+
+
+def test_chain_and_hot_copies(spark):
+    """A chain of texts of which only neighbours are alike, next to very many copies, some of them with one word changed."""
+    words = [f"w{k}" for k in range(400)]
+    chain = [" ".join(words[5 * k : 5 * k + 40]) for k in range(60)]
+    hot = " ".join(f"h{k}" for k in range(90))
+    rows = [(k, t) for k, t in enumerate(chain)] + [(1000 + k, hot) for k in range(20_000)] + [(50_000 + k, f"{hot} x{k}") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id int, text string").repartition(4)
+    for block in (2000, 50):
+        got = {r.doc_id: r for r in ngram_join.classes(df, block=block).collect()}
+        assert {got[k].class_id for k in range(60)} == {0} and [got[k].links for k in (0, 59)] == [2, 2] and got[30].links == 4
+        assert {r.class_id for d, r in got.items() if d >= 1000} == {1000}
+        assert got[1005].copies == 20_000 and got[1005].links == got[50_007].links == 300
+    kept = {r.doc_id for r in ngram_join.keep_one(df).collect()}
+    assert kept == {0, 1000}
+
+
+def test_components(spark):
+    from lodestone.llm import graph
+
+    rng = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 3000, (1500, 2))] + [(k, k + 1) for k in range(5000, 5300)] + [(9000, k) for k in range(9001, 9500)] + [(None, 1), (4, 4)]
+    root = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for a, b in edges:
+        if None not in (a, b) and a != b:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    want = {(k, find(k)) for k in root}
+    df = spark.createDataFrame(edges, "u bigint, v bigint")
+    for small in (10**6, 0):
+        assert set(map(tuple, graph.components(df, small).collect())) == want
+        assert graph.components(df.limit(0), small).count() == 0
 
 
 def test_join_recall_over_similarities(spark):
@@ -165,7 +228,7 @@ def test_join_recall_over_similarities(spark):
     df = spark.createDataFrame(rows, "doc_id int, text string")
     sets = [{tuple(t.split()[i : i + 3]) for i in range(198)} for _, t in rows]
     want = {(a, a + 1) for a in range(0, 300, 2) if len(sets[a] & sets[a + 1]) >= 0.5 * len(sets[a] | sets[a + 1])}
-    got = {(r.doc_a, r.doc_b) for r in ngram_join.join(df).collect()}
+    got = {(r.doc_a, r.doc_b) for r in ngram_join.pairs(df).collect()}
     assert got <= want and len(got) >= 0.9 * len(want)
 
 
