@@ -6,30 +6,38 @@ neither all left nor all right neighbours agree; the end of a text agrees with n
 How it stays small: every window of ``min_words`` words has an anchor, the word 12-gram in it with the least hash, so
 occurrences of a repeat share the anchor of their first window. Anchors of all windows of all texts are counted.
 Where all occurrences of an anchor follow the same 39 words, no repeat can begin at windows of that anchor. For the
-other anchors that occur more than once, suffixes go to the partition of the anchor, up to the end of the run of
-windows whose anchors repeat, beyond which no common prefix reaches. There the suffixes that begin with the same
-window are sorted (an enhanced suffix array with common-prefix lengths and left neighbours); one scan with a stack
-gives the intervals of the common-prefix tree, and those whose left neighbours differ are the repeats. Nothing is
-sampled: the result is that of one suffix array over all texts.
+other anchors that occur more than once, suffixes are made, up to the end of the run of windows whose anchors repeat,
+beyond which no common prefix reaches. Equal suffixes are one class, aggregated before the shuffle: its words, the
+number of its places, and the least and greatest of the words before them, which say whether their left neighbours
+differ. So a passage that a third of all documents have is a few rows in the partition of its anchor. There the classes
+that begin with the same window are sorted (an enhanced suffix array with common-prefix lengths and left neighbours; a
+class of several places stands twice, once with either neighbour); one scan with a stack gives the intervals of the
+common-prefix tree, and those whose left neighbours differ are the repeats. A join gives each class its places back.
+Nothing is sampled: the result is that of one suffix array over all texts.
 
 Periodic runs: words that go on with a period of at most 25 words (half of ``min_words`` if that is less) for
 ``min_words`` and a period more. A word said a thousand times would be a thousand nested repeats of a thousand places
-each, so what lies wholly inside runs is told compactly: a row with a ``period`` lists the first places only, and
-``runs`` says for how many words the period goes on from each; the row stands for all its shifts by the period and all
-its shorter forms in these runs. Each run is in such a row: with the runs that have as many of its words in common, or
-by itself, as the run without its last period, at its first two places. Repeats that begin inside a run and go on
-after its end are rows like others, with all their places: where the runs are longer, only tails that are as long as
+each, so what lies wholly inside runs is told compactly: a repeat with a ``period`` has the first places only, and
+``run`` says for how many words the period goes on from each; it stands for all its shifts by the period and all
+its shorter forms in these runs. Each run is in such a repeat: with the runs that have as many of its words in common,
+or by itself, as the run without its last period, at its first two places. Repeats that begin inside a run and go on
+after its end are told like others, with all their places: where the runs are longer, only tails that are as long as
 a whole run can begin one, as others have the same word before them everywhere.
 
-Words are compared by 32-bit hashes inside a bucket of equal 64-bit anchor hashes.
+Words are compared by 32-bit hashes inside a bucket of equal 64-bit anchor hashes: 50 unlike words agree with a
+probability of 2**-1600, a single word at an end of a repeat with 2**-32. Equal suffixes are told by 128 bits.
 
 Defined cases: null and empty texts and texts under ``min_words`` words have no repeats. Rows with equal id and text
-are one document. A null id stays a null in the lists, after the others. Empty tables give empty results. Extra
-columns are ignored by ``repeats`` and kept by ``cut_repeats``, whatever their names.
+are one document. doc_id may have any orderable type; a null one stays null, and comes last in the order. Very long
+texts are taken whole; one text is one row of a Python worker. Ties: of equally early occurrences (null ids) that of the
+least row hash is the first. Empty tables give empty results. Extra columns are ignored by ``repeats`` and kept by
+``cut_repeats``, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,15 +45,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from . import common
 from . import textkit as tk
 from . import units as U
 
 MIN_WORDS, ANCHOR, PERIOD = 50, 12, 25
-FLUSH_BYTES, LISTED = 4_000_000, 200_000
-OCCURRENCES = "n_words int, period int, occurrences array<struct<id: bigint, rid: bigint, start: int, run: int>>"
+LISTED, KNOWN = 200_000, 100_000
 
 
 class Windows:
@@ -108,8 +115,11 @@ def _anchors(col: pa.Array, rid: np.ndarray, size: int):
     return row, (q - begin).astype(np.int32), w.span(q, q + k).view(np.int64), before.view(np.int64)
 
 
-def _suffixes(part: pa.RecordBatch, size: int) -> pa.RecordBatch:
-    """A row per anchor at which a repeat may begin, with the words from its first window to the end of the run."""
+def _suffixes(part: pa.RecordBatch, size: int, known: set[bytes]) -> pa.RecordBatch:
+    """A row per anchor at which a repeat may begin, with the words from its first window to the end of the run.
+
+    ``mask`` has the windows of the anchor, ``c`` names the class of the suffix; words of a ``known`` class are left out.
+    """
     w = Windows(tk.words_of(U.text_column(part, "txt")), size)
     first, lists = w.words.first, part.column(part.schema.get_field_index("marks"))
     flat, off = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
@@ -131,16 +141,26 @@ def _suffixes(part: pa.RecordBatch, size: int) -> pa.RecordBatch:
     mask = np.zeros(len(head), np.int64)
     np.bitwise_or.at(mask, group, np.left_shift(np.int64(1), mine - base[group]))
     row = w.words.row[base]
-    lead = (base > first[row]).astype(np.int64)
     low = (w.words.hash & np.uint64(0xFFFFFFFF)).astype(">u4")
-    from_, length = base - lead, stop[base] - base + lead
-    data = U.ragged(low, from_, length).tobytes()
-    offsets = np.concatenate([[0], np.cumsum(length * 4)])
-    blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(head), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
-    k = min(ANCHOR, size)
+    length = stop[base] - base
+    data = U.ragged(low, base, length).tobytes()
+    off = np.concatenate([[0], np.cumsum(length * 4)]).tolist()
     ids = part.column(part.schema.get_field_index("id")).take(pa.array(row))
-    rids = part.column(part.schema.get_field_index("rid")).take(pa.array(row))
-    return pa.RecordBatch.from_arrays([pa.array(w.span(a, a + k).view(np.int64)), ids, rids, pa.array((base - first[row]).astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(mask), blob], names=["a", "id", "rid", "base", "lead", "mask", "words"])
+    rid = part.column(part.schema.get_field_index("rid")).to_numpy()[row]
+    # the start of a text has a left neighbour like no other
+    none = (1 << 32) + (tk.mix64(rid.view(np.uint64)) >> np.uint64(2)).astype(np.int64)
+    left = np.where(base > first[row], low[np.maximum(base - 1, 0)].astype(np.int64), none) if len(base) else none
+    k = min(ANCHOR, size)
+    a = w.span(a, a + k).view(np.int64)
+    key, words = [], []
+    for h, m, x, y in zip(a.tolist(), mask.tolist(), off[:-1], off[1:]):
+        name = hashlib.blake2b(data[x:y], digest_size=16, key=h.to_bytes(8, "big", signed=True) + m.to_bytes(8, "big")).digest()
+        key.append(name)
+        words.append(None if name in known else data[x:y])
+        known.add(name)
+        if len(known) > KNOWN:
+            known.clear()
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(a), pa.array(mask), pa.array(left), ids, pa.array(rid), pa.array((base - first[row]).astype(np.int32)), pa.array(words, pa.binary())], names=["c", "a", "mask", "left", "id", "rid", "base", "words"])
 
 
 def tree(suffix: list[bytes], left: list[int], size: int) -> Iterator[tuple[int, list[int]]]:
@@ -214,30 +234,36 @@ def _periods(sums: np.ndarray, inv: np.ndarray, at: np.ndarray, size: int) -> np
 
 
 def _repeats(table: pa.Table, size: int) -> Iterator[pa.RecordBatch]:
-    """The repeats of whole buckets, in batches of about LISTED occurrences."""
-    a = table.column("a").to_numpy()
-    lead, mask = table.column("lead").to_numpy(), table.column("mask").to_numpy()
-    blobs = table.column("words").combine_chunks()
-    raw, off = tk.string_buffers(blobs.chunk(0) if isinstance(blobs, pa.ChunkedArray) else blobs)
+    """The repeats of whole buckets of classes, a row for each class and place in it, in batches of about LISTED rows."""
+    a, mask, count = (table.column(c).to_numpy() for c in ("a", "mask", "n"))
+    raw, off = tk.string_buffers(table.column("words").chunk(0))
     data, off = np.frombuffer(raw.tobytes(), ">u4").astype(np.uint64), off // 4
-    bits = (mask[:, None] >> np.arange(size)) & 1 if len(mask) else np.zeros((0, size), np.int64)
+    bits = (mask[:, None] >> np.arange(size)) & 1
     row, shift = np.nonzero(bits)
-    at = off[:-1][row] + lead[row] + shift
+    # a class of several places stands twice, with the least and the greatest of what is before them
+    twice = np.repeat(np.arange(len(row)), np.minimum(count[row], 2))
+    second = np.concatenate([[False], twice[1:] == twice[:-1]]) if len(twice) else np.zeros(0, bool)
+    row, shift = row[twice], shift[twice]
+    at = off[:-1][row] + shift
     p, inv = tk._power(len(data) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * p[: len(data)], dtype=np.uint64)])
     key = tk.mix64(tk.mix64((sums[at + size] - sums[at]) * inv[at]) ^ tk.mix64(a[row].view(np.uint64)))
-    none = (lead[row] == 0) & (shift == 0)
-    left = np.where(none, (1 << 32) + np.arange(len(at)), data[np.maximum(at - 1, 0)].astype(np.int64))
+    before = np.where(second, table.column("high").to_numpy()[row], table.column("low").to_numpy()[row])
+    left = np.where(shift == 0, before, data[np.maximum(at - 1, 0)].astype(np.int64))
     order = np.lexsort((left, key))
     edge = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1], [True]])) if len(order) else np.zeros(1, np.int64)
     lo, hi = edge[:-1], edge[1:]
     period = _periods(sums, inv, at[order[lo]], size) if len(lo) else np.zeros(0, np.int64)
     keep = ((hi - lo > 1) & (left[order[lo]] != left[order[hi - 1]])) | (period > 0) if len(lo) else np.zeros(0, bool)
-    ids, rids = table.column("id").combine_chunks(), table.column("rid").to_numpy()
-    id_key, null = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False)
-    base, raw = table.column("base").to_numpy(), raw.tobytes()
-    where = base[row] + shift
-    words: list[int] = []
+    names, first = table.column("c").chunk(0), table.column("first").chunk(0)
+    # the place of each class among all in the order of its first occurrence: null, id, rid, base
+    ids = first.field("id")
+    kinds = pc.unique(ids.drop_null())
+    rank = pc.fill_null(pc.index_in(ids, kinds.take(pc.array_sort_indices(kinds)), skip_nulls=True), len(kinds)).to_numpy()
+    rids, base = first.field("rid").to_numpy(), first.field("base").to_numpy()
+    short = np.frombuffer(b"".join(names.to_pylist()), np.uint64).reshape(-1, 2)[:, 0] if len(names) else np.zeros(0, np.uint64)
+    raw = raw.tobytes()
+    lengths: list[int] = []
     cycle: list[int] = []
     found: list[np.ndarray] = []
     skips: list[np.ndarray] = []
@@ -246,29 +272,33 @@ def _repeats(table: pa.Table, size: int) -> Iterator[pa.RecordBatch]:
 
     def batch() -> pa.RecordBatch:
         flat, node = np.concatenate(found), np.repeat(np.arange(len(found)), [len(f) for f in found])
-        r, begin, run = row[flat], where[flat] + np.concatenate(skips), np.concatenate(goes)
-        order = np.lexsort((begin, rids[r], id_key[r], null[r], node))
-        begin, run, node, r = begin[order], run[order], node[order], r[order]
+        r, ahead, run = row[flat], shift[flat] + np.concatenate(skips), np.concatenate(goes)
+        order = np.lexsort((ahead, r, node))
+        r, ahead, run, node = r[order], ahead[order], run[order], node[order]
         new = np.ones(len(r), bool)
-        new[1:] = (node[1:] != node[:-1]) | (rids[r][1:] != rids[r][:-1]) | (begin[1:] != begin[:-1]) | (id_key[r][1:] != id_key[r][:-1])
-        begin, run, node, r = begin[new], run[new], node[new], r[new]
-        many = np.bincount(node, minlength=len(found))
-        some = many > 1  # else all are the same place of repeated rows
-        begin, run, r = begin[some[node]], run[some[node]], r[some[node]]
-        offsets = np.concatenate([[0], np.cumsum(many[some])]).astype(np.int32)
-        entry = pa.StructArray.from_arrays([ids.take(pa.array(r)), pa.array(rids[r]), pa.array(begin.astype(np.int32)), pa.array(run.astype(np.int32))], names=["id", "rid", "start", "run"])
-        return pa.RecordBatch.from_arrays([pa.array(np.array(words, np.int32)[some]), pa.array(np.array(cycle, np.int32)[some]), pa.ListArray.from_arrays(pa.array(offsets), entry)], names=["n_words", "period", "occurrences"])
+        new[1:] = (node[1:] != node[:-1]) | (r[1:] != r[:-1]) | (ahead[1:] != ahead[:-1])
+        r, ahead, run, node = r[new], ahead[new], run[new], node[new]
+        total = np.bincount(node, count[r], len(found)).astype(np.int64)
+        some = total[node] > 1
+        words, cyclic = np.array(lengths), np.array(cycle)
+        name = np.zeros(len(found), np.uint64)
+        np.add.at(name, node, tk.mix64(short[r] ^ tk.mix64(ahead.astype(np.uint64))))
+        name = tk.mix64(name * tk._P + (words * (size + 1) + cyclic).astype(np.uint64)).view(np.int64)
+        order = np.lexsort((base[r] + ahead, rids[r], rank[r], node))
+        lead = order[np.concatenate([[True], node[order][1:] != node[order][:-1]])] if len(order) else order
+        head_rid, head_start = np.zeros(len(found), np.int64), np.zeros(len(found), np.int32)
+        head_rid[node[lead]], head_start[node[lead]] = rids[r[lead]], base[r[lead]] + ahead[lead]
+        out = {"repeat_id": name[node], "n_words": words[node].astype(np.int32), "period": cyclic[node].astype(np.int32), "n_occurrences": total[node], "first_rid": head_rid[node], "first_start": head_start[node], "ahead": ahead.astype(np.int32), "run": run.astype(np.int32)}
+        return pa.RecordBatch.from_arrays([*(pa.array(x[some]) for x in out.values()), names.take(pa.array(r[some]))], names=[*out, "c"])
 
     for x, y, p in zip(lo[keep].tolist(), hi[keep].tolist(), period[keep].tolist()):
         mine = order[x:y]
-        if p:  # equal rows have the same runs
-            mine = mine[np.unique(np.stack([rids[row[mine]], where[mine]]), axis=1, return_index=True)[1]]
         suffix = [raw[4 * s : 4 * e] for s, e in zip(at[mine].tolist(), off[row[mine] + 1].tolist())]
         lefts = left[mine].tolist()
         nodes = periodic(suffix, lefts, p, size) if p else ((n, 0, [(k, 0) for k in members], [0] * len(members)) for n, members in tree(suffix, lefts, size))
         for length, cyclic, places, run in nodes:
             members, skip = np.array(places).T
-            words.append(length)
+            lengths.append(length)
             cycle.append(cyclic)
             found.append(mine[members])
             skips.append(skip)
@@ -276,16 +306,19 @@ def _repeats(table: pa.Table, size: int) -> Iterator[pa.RecordBatch]:
             held += len(members)
             if held > LISTED:
                 yield batch()
-                words, cycle, found, skips, goes, held = [], [], [], [], [], 0
+                lengths, cycle, found, skips, goes, held = [], [], [], [], [], 0
     if found:
         yield batch()
 
 
-def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(n_words, period, occurrences) of all maximal repeats; occurrences are (id, rid, start word, words that the period
-    goes on for) in that order, nulls last. Both are 0 but for repeats inside periodic runs."""
-    size = min_words
-    rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("txt"), common.row_id(doc_id, text).alias("rid"))
+def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(repeat_id, n_words, n_occurrences, period, id, rid, start, run, first) of all maximal repeats: a row per occurrence.
+
+    ``period`` and ``run`` are 0 but for repeats inside periodic runs. ``first`` is the occurrence with the least id
+    (nulls last), row hash and start of its repeat.
+    """
+    size, kind = min_words, docs.schema[doc_id].dataType
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("txt"), common.row_id(doc_id, text).alias("rid"))
     rows = rows.where(F.octet_length("txt") >= 2 * size - 1)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,43 +329,40 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
                 yield pa.RecordBatch.from_arrays([pa.array(rid[row]), pa.array(q), pa.array(a), pa.array(before)], names=["rid", "q", "a", "before"])
         common.tidy()
 
-    # one shuffle: the window sees all occurrences of an anchor without a second pass over the texts
-    of = Window.partitionBy("a")
-    every = rows.select("rid", "txt").mapInArrow(anchors, "rid bigint, q int, a bigint, before bigint")
-    counted = every.withColumns({"n": F.count(F.lit(1)).over(of), "diverse": F.min("before").over(of) != F.max("before").over(of)}).where("n > 1")
-    marks = counted.groupBy("rid").agg(F.collect_list(F.struct("q", "diverse")).alias("marks"), F.max("diverse").alias("any")).where("any").select("rid", "marks")
+    owner = uuid.uuid4().hex
+    every = common.written(rows.select("rid", "txt").mapInArrow(anchors, "rid bigint, q int, a bigint, before bigint"), owner)
+    counted = every.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("before").alias("x"), F.max("before").alias("y")).where("n > 1").select("a", (F.col("x") != F.col("y")).alias("diverse"))
+    marks = every.select("rid", "q", "a").join(counted, "a").groupBy("rid").agg(F.collect_list(F.struct("q", "diverse")).alias("marks"), F.max("diverse").alias("any")).where("any").select("rid", "marks")
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[bytes] = set()
         for batch in batches:
             for part in tk.byte_slices(batch, "txt"):
-                yield _suffixes(part, size)
+                yield _suffixes(part, size, known)
         common.tidy()
 
-    told = rows.join(marks, "rid").select("id", "rid", "txt", "marks").mapInArrow(suffixes, "a bigint, id bigint, rid bigint, base int, lead int, mask bigint, words binary")
+    fields = [("c", T.BinaryType()), ("a", T.LongType()), ("mask", T.LongType()), ("left", T.LongType()), ("id", kind), ("rid", T.LongType()), ("base", T.IntegerType()), ("words", T.BinaryType())]
+    single = rows.dropDuplicates(["rid"]).join(marks, "rid").select("id", "rid", "txt", "marks")
+    told = common.written(single.mapInArrow(suffixes, T.StructType([T.StructField(*f) for f in fields])))
+    common.drop_written(owner)
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "rid", "base")
+    classes = told.groupBy("c").agg(F.first("a").alias("a"), F.first("mask").alias("mask"), F.count(F.lit(1)).alias("n"), F.min("left").alias("low"), F.max("left").alias("high"), F.min(order).alias("first"), F.first("words", ignorenulls=True).alias("words"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        for batch in batches:
-            held.append(pa.Table.from_batches([batch]))
-            if sum(t.nbytes for t in held) > FLUSH_BYTES:
-                t = pa.concat_tables(held)
-                a = t.column("a").to_numpy()
-                done = int(np.searchsorted(a, a[-1]))
-                if done:
-                    yield from _repeats(t.slice(0, done), size)
-                    held = [t.slice(done)]
-        if held:
-            yield from _repeats(pa.concat_tables(held), size)
+        for t in common.whole_groups(batches, ["a"]):
+            if len(t):
+                yield from _repeats(t, size)
         common.tidy()
 
-    return told.repartition("a").sortWithinPartitions("a").mapInArrow(scan, OCCURRENCES)
+    found = classes.repartition("a").sortWithinPartitions("a").mapInArrow(scan, "repeat_id bigint, n_words int, period int, n_occurrences bigint, first_rid bigint, first_start int, ahead int, run int, c binary")
+    placed = found.join(told.select("c", "id", "rid", "base"), "c").withColumn("start", F.col("base") + F.col("ahead"))
+    return placed.select("repeat_id", "n_words", "n_occurrences", "period", "id", "rid", "start", "run", ((F.col("rid") == F.col("first_rid")) & (F.col("start") == F.col("first_start"))).alias("first"))
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(n_words, n_occurrences, n_docs, doc_ids, starts, period, runs) of all maximal repeats; lists have an entry per
-    occurrence, in periodic runs the first of each run."""
-    occ = F.col("occurrences")
-    return groups(docs, doc_id, text, min_words).select("n_words", F.size(occ).alias("n_occurrences"), F.size(F.array_distinct(occ.rid)).alias("n_docs"), occ.id.alias("doc_ids"), occ.start.alias("starts"), "period", occ.run.alias("runs"))
+    """(repeat_id, n_words, n_occurrences, doc_id, start, period, run) of all maximal repeats: a row per occurrence, in
+    periodic runs for the first of each run. ``start`` counts words."""
+    return occurrences(docs, doc_id, text, min_words).select("repeat_id", "n_words", "n_occurrences", F.col("id").alias("doc_id"), "start", "period", "run")
 
 
 def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", min_words: int = MIN_WORDS) -> DataFrame:
@@ -342,11 +372,11 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_c
     A cut goes from the first word of a repeat to the word after it. ``n_chars``, if there, is counted again where a
     text was cut. Rows stay, even with nothing left in them.
     """
-    start, end, inside = F.col("o.start"), F.col("o.start") + F.col("n_words"), (F.col("period") > 0) & (F.col("o.run") >= min_words + F.col("period"))
+    start, end, inside = F.col("start"), F.col("start") + F.col("n_words"), (F.col("period") > 0) & (F.col("run") >= min_words + F.col("period"))
     # of a run only the first period can be the first occurrence
-    gone = groups(docs, doc_id, text, min_words).select("n_words", "period", F.posexplode("occurrences").alias("k", "o")).where((F.col("k") > 0) | inside)
-    s, e = F.when(F.col("k") > 0, start).otherwise(start + F.col("period")), F.when(inside, start + F.col("o.run")).otherwise(end)
-    spans = gone.groupBy(F.col("o.rid").alias("rid")).agg(F.collect_list(F.struct(s.alias("s"), e.alias("e"))).alias("spans"))
+    gone = occurrences(docs, doc_id, text, min_words).where(~F.col("first") | inside)
+    s, e = F.when(~F.col("first"), start).otherwise(start + F.col("period")), F.when(inside, start + F.col("run")).otherwise(end)
+    spans = gone.groupBy("rid").agg(F.collect_list(F.struct(s.alias("s"), e.alias("e"))).alias("spans"))
     rid, cuts = common.fresh(docs, "rid"), common.fresh(docs, "spans")
     rows = docs.withColumn(rid, common.row_id(doc_id, text)).join(spans.select(F.col("rid").alias(rid), F.col("spans").alias(cuts)), rid, "left")
     names = docs.columns

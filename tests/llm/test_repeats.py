@@ -32,6 +32,20 @@ def brute(texts, size):
     return out
 
 
+def told(df, **more):
+    """(n_words, ((id, start), ...)) -> (period, runs), from the rows of occurrences."""
+    by = {}
+    for r in repeats.repeats(df, **more).collect():
+        by.setdefault((r.repeat_id, r.n_words, r.period, r.n_occurrences), []).append((r.doc_id, r.start, r.run))
+    assert all(len(rows) == k[3] for k, rows in by.items())
+    out = {}
+    for (_, n, period, _), rows in by.items():
+        rows.sort()
+        assert (n, tuple((d, s) for d, s, _ in rows)) not in out
+        out[n, tuple((d, s) for d, s, _ in rows)] = period, [g for *_, g in rows]
+    return out
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_all_maximal_repeats(spark, seed):
     rng = random.Random(seed)
@@ -50,8 +64,7 @@ def test_all_maximal_repeats(spark, seed):
         texts.append(" ".join(w))
     texts += [" ".join(base[0])] * 3
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    got = repeats.repeats(df, min_words=20).collect()
-    assert {(r.n_words, tuple(zip(r.doc_ids, r.starts))) for r in got} == brute(texts, 20)
+    assert set(told(df, min_words=20)) == brute(texts, 20)
     left = repeats.cut_repeats(df, min_words=20)
     whole = {(w, d) for d, t in enumerate(texts) for w in t.lower().split()}
     kept = {(w, r.doc_id) for r in left.collect() for w in r.text.lower().split()}
@@ -60,8 +73,7 @@ def test_all_maximal_repeats(spark, seed):
 
 def test_runs_of_one_word(spark):
     rows = [(1, "la " * 400), (2, "la " * 400), (3, "x " + "la " * 300)]
-    got = repeats.repeats(spark.createDataFrame(rows, "doc_id int, text string")).collect()
-    assert {(r.n_words, tuple(zip(r.doc_ids, r.starts))) for r in got} == {(400, ((1, 0), (2, 0))), (300, ((1, 0), (2, 0), (3, 1)))}
+    assert set(told(spark.createDataFrame(rows, "doc_id int, text string"))) == {(400, ((1, 0), (2, 0))), (300, ((1, 0), (2, 0), (3, 1)))}
 
 
 def windows_cut(texts, size):
@@ -111,19 +123,18 @@ def test_periodic_runs_against_the_unrestricted_search(spark, seed):
         run = (line * (2 + 4 * size // len(line)))[turn : turn + rng.randint(size // 2, 3 * size)]
         texts.append(" ".join(rng.choice([[], some(3), *heads]) + run + rng.choice([[], some(2), *passages, *passages]) + rng.choice([[], [], run])))
     texts += [texts[0], texts[1] + " end"]
-    got = repeats.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), min_words=size).collect()
     want, runs, most = brute(texts, size), runs_of(texts, size, size // 2), size // 2
-    rows = {(r.n_words, tuple(zip(r.doc_ids, r.starts))): r for r in got}
+    rows = told(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), min_words=size)
     split = [t.split() for t in texts]
     cyclic = lambda n, at: any(split[at[0][0]][at[0][1] + p : at[0][1] + n] == split[at[0][0]][at[0][1] : at[0][1] + n - p] for p in range(1, most + 1))
     plain = {k for k in want if not cyclic(*k)}
-    assert plain == {k for k, r in rows.items() if r.period == 0} and plain
-    inside = {(n, d, s, g, r.period) for (n, at), r in rows.items() if r.period for (d, s), g in zip(at, r.runs)}
+    assert plain == {k for k, (p, _) in rows.items() if p == 0} and plain
+    inside = {(n, d, s, g, p) for (n, at), (p, gs) in rows.items() if p for (d, s), g in zip(at, gs)}
     assert {(d, s, g, p) for _, d, s, g, p in inside if g >= size + p and not any(d == x and y <= s and s + g == y + m and p == q for x, y, m, q in runs)} == set()
     assert runs <= {(d, s, g, p) for _, d, s, g, p in inside}
-    for (n, at), r in rows.items():
-        if r.period:  # with the shifts that it stands for it's a repeat of the unrestricted search
-            shifts = {(d, s + k) for (d, s), g in zip(at, r.runs) for k in range(0, g - n + 1, r.period)}
+    for (n, at), (p, gs) in rows.items():
+        if p:  # with the shifts that it stands for it's a repeat of the unrestricted search
+            shifts = {(d, s + k) for (d, s), g in zip(at, gs) for k in range(0, g - n + 1, p)}
             assert (n, tuple(sorted(shifts))) in want
     left = repeats.cut_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), min_words=size)
     assert [r.text.split() for r in left.orderBy("doc_id").collect()] == windows_cut(texts, size)
@@ -133,8 +144,29 @@ def test_passage_after_runs_of_different_lengths(spark):
     line, passage = [f"l{i}" for i in range(10)], [f"p{i}" for i in range(70)]
     rows = [(1, line * 6 + passage), (2, line * 10 + passage), (3, [f"q{i}" for i in range(20)] * 5)]
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id int, text string")
-    got = {(r.n_words, tuple(zip(r.doc_ids, r.starts))) for r in repeats.repeats(df).collect()}
+    got = told(df)
     assert (130, ((1, 0), (2, 40))) in got and (80, ((3, 0), (3, 20))) in got
     kept = {r.doc_id: r.text.split() for r in repeats.cut_repeats(df).collect()}
     assert kept[2] == [] and kept[1] == line * 6 + passage or kept[1] == line + passage
     assert len(kept[3]) == 20
+
+
+def test_passage_of_very_many_documents(spark):
+    """A hot passage, after and before words of its own in each document: few classes, all places."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(k, f"a{k} b{k} {passage} c{k}") for k in range(3000)] + [(5000 + k, passage) for k in range(500)]
+    df = spark.createDataFrame(rows, "doc_id int, text string").repartition(4)
+    got = told(df)
+    assert set(got) == {(60, (*((k, 2) for k in range(3000)), *((5000 + k, 0) for k in range(500))))}
+    left = {r.doc_id: r.text.split() for r in repeats.cut_repeats(df).collect()}
+    assert len(left[0]) == 63 and all(len(left[k]) == 3 for k in range(1, 3000)) and left[5000] == []
+
+
+def test_repeated_rows_and_ids_of_any_type(spark):
+    passage = " ".join(f"p{i}" for i in range(55))
+    rows = [("b", f"x {passage}"), ("b", f"x {passage}"), (None, passage), ("a", f"{passage} y"), (None, None), ("c", "")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = repeats.repeats(df).collect()
+    assert sorted((r.doc_id or "", r.start, r.n_words, r.n_occurrences) for r in got) == [("", 0, 55, 3), ("a", 0, 55, 3), ("b", 1, 55, 3)]
+    left = sorted((r.doc_id or "", r.text or "") for r in repeats.cut_repeats(df).collect())
+    assert left == [("", ""), ("", ""), ("a", f"{passage} y"), ("b", "x "), ("b", "x "), ("c", "")]
