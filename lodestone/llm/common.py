@@ -45,11 +45,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, owner: str = "") -> DataFrame:
+def written(df: DataFrame, owner: str = "", compression: str = "snappy") -> DataFrame:
     """The rows as a Parquet table in the shared folder, for tables that hold texts; see ``drop_written``."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     _tables.setdefault(owner, []).append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

@@ -15,14 +15,22 @@ class of several places stands twice, once with either neighbour); one scan with
 common-prefix tree, and those whose left neighbours differ are the repeats. A join gives each class its places back.
 Nothing is sampled: the result is that of one suffix array over all texts.
 
+The result. Copies of g texts have about g nested repeats of g places each, so a row per repeat and occurrence would
+grow with the square of a group. Repeats are told by intervals instead: each place at which repeats begin is one row,
+with the longest of them, its own ``place`` in the order of the suffixes of its ``group_id`` (those that begin with the
+same window), and that repeat's ``first_place`` and ``last_place``. The occurrences of a repeat are all rows of its group
+whose place is in the interval; ``expand`` lists them. A repeat that is nowhere the longest has a row of its own, at its
+first occurrence, without a place.
+
 Periodic runs: words that go on with a period of at most 25 words (half of ``min_words`` if that is less) for
 ``min_words`` and a period more. A word said a thousand times would be a thousand nested repeats of a thousand places
 each, so what lies wholly inside runs is told compactly: a repeat with a ``period`` has the first places only, and
 ``run`` says for how many words the period goes on from each; it stands for all its shifts by the period and all
 its shorter forms in these runs. Each run is in such a repeat: with the runs that have as many of its words in common,
 or by itself, as the run without its last period, at its first two places. Repeats that begin inside a run and go on
-after its end are told like others, with all their places: where the runs are longer, only tails that are as long as
-a whole run can begin one, as others have the same word before them everywhere.
+after its end have all their places: where the runs are longer, only tails that are as long as a whole run can begin
+one, as others have the same word before them everywhere. Repeats that begin inside runs have a row per occurrence and
+no ``first_place``.
 
 Words are compared by 32-bit hashes inside a bucket of equal 64-bit anchor hashes: 50 unlike words agree with a
 probability of 2**-1600, a single word at an end of a repeat with 2**-32. Equal suffixes are told by 128 bits.
@@ -46,13 +54,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
 from . import textkit as tk
 from . import units as U
 
 MIN_WORDS, ANCHOR, PERIOD = 50, 12, 25
-LISTED, KNOWN = 200_000, 100_000
+LISTED, KNOWN, BUCKETS = 100_000, 20_000, 1 << 20
 
 
 class Windows:
@@ -115,11 +124,9 @@ def _anchors(col: pa.Array, rid: np.ndarray, size: int):
     return row, (q - begin).astype(np.int32), w.span(q, q + k).view(np.int64), before.view(np.int64)
 
 
-def _suffixes(part: pa.RecordBatch, size: int, known: set[bytes]) -> pa.RecordBatch:
-    """A row per anchor at which a repeat may begin, with the words from its first window to the end of the run.
-
-    ``mask`` has the windows of the anchor, ``c`` names the class of the suffix; words of a ``known`` class are left out.
-    """
+def _suffixes(part: pa.RecordBatch, size: int, classes: dict[bytes, list]) -> Iterator[pa.RecordBatch]:
+    """A row per anchor at which a repeat may begin, with the class of the words from its first window to the end of the
+    run; the classes are counted in ``classes``, with ``mask``, the windows of the anchor."""
     w = Windows(tk.words_of(U.text_column(part, "txt")), size)
     first, lists = w.words.first, part.column(part.schema.get_field_index("marks"))
     flat, off = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
@@ -152,19 +159,37 @@ def _suffixes(part: pa.RecordBatch, size: int, known: set[bytes]) -> pa.RecordBa
     left = np.where(base > first[row], low[np.maximum(base - 1, 0)].astype(np.int64), none) if len(base) else none
     k = min(ANCHOR, size)
     a = w.span(a, a + k).view(np.int64)
-    key, words = [], []
-    for h, m, x, y in zip(a.tolist(), mask.tolist(), off[:-1], off[1:]):
+    first_at = (base - first[row]).astype(np.int32)
+    key = []
+    for h, m, x, y, n, i, r, at_ in zip(a.tolist(), mask.tolist(), off[:-1], off[1:], left.tolist(), ids.to_pylist(), rid.tolist(), first_at.tolist()):
         name = hashlib.blake2b(data[x:y], digest_size=16, key=h.to_bytes(8, "big", signed=True) + m.to_bytes(8, "big")).digest()
         key.append(name)
-        words.append(None if name in known else data[x:y])
-        known.add(name)
-        if len(known) > KNOWN:
-            known.clear()
-    return pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(a), pa.array(mask), pa.array(left), ids, pa.array(rid), pa.array((base - first[row]).astype(np.int32)), pa.array(words, pa.binary())], names=["c", "a", "mask", "left", "id", "rid", "base", "words"])
+        order = (i is None, i, r, at_)
+        have = classes.get(name)
+        if have is None:
+            classes[name] = [h, m, 1, n, n, order, data[x:y]]
+        else:
+            have[2] += 1
+            have[3], have[4] = min(have[3], n), max(have[4], n)
+            have[5] = min(have[5], order)
+    none_ = pa.nulls(len(key))
+    yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), *(none_.cast(t) for t in (pa.int64(),) * 5), ids, pa.array(rid), pa.array(first_at), none_.cast(pa.binary())], names=NAMES)
 
 
-def tree(suffix: list[bytes], left: list[int], size: int) -> Iterator[tuple[int, list[int]]]:
-    """(length in words, suffixes) of the maximal repeats of at least ``size`` words among suffixes of 4-byte words."""
+NAMES = ["c", "a", "mask", "n", "low", "high", "id", "rid", "base", "words"]
+
+
+def _told(classes: dict[bytes, list], kind: pa.DataType) -> pa.RecordBatch:
+    """The rows of ``classes``, which is emptied; its id, rid and base are those of the first place."""
+    a, mask, n, low, high, order, words = zip(*classes.values())
+    out = pa.RecordBatch.from_arrays([pa.array(list(classes), pa.binary()), *(pa.array(x, pa.int64()) for x in (a, mask, n, low, high)), pa.array([o[1] for o in order], kind), pa.array([o[2] for o in order], pa.int64()), pa.array([o[3] for o in order], pa.int32()), pa.array(words, pa.binary())], names=NAMES)
+    classes.clear()
+    return out
+
+
+def intervals(suffix: list[bytes], left: list[int], size: int) -> tuple[list[int], list[int], list[tuple[int, int, int]]]:
+    """Suffixes of 4-byte words in order, the common-prefix length of each with the next, and the maximal repeats of at
+    least ``size`` words as (length, first, last) in that order, longer ones before those that hold them."""
     order = sorted(range(len(suffix)), key=suffix.__getitem__)
     lcp = []
     for x, y in zip(order[:-1], order[1:]):
@@ -178,15 +203,42 @@ def tree(suffix: list[bytes], left: list[int], size: int) -> Iterator[tuple[int,
     run = [0] * len(order)  # where the run of equal left neighbours that ends here begins
     for i in range(1, len(order)):
         run[i] = run[i - 1] if left[order[i]] == left[order[i - 1]] else i
+    found = []
     stack: list[tuple[int, int]] = []
     for i, h in enumerate([*lcp, 0]):
         at = i
         while stack and stack[-1][0] > h:
             length, at = stack.pop()
             if length >= size and run[i] > at:
-                yield length, order[at : i + 1]
+                found.append((length, at, i))
         if h and (not stack or stack[-1][0] < h):
             stack.append((h, at))
+    return order, lcp, found
+
+
+def tree(suffix: list[bytes], left: list[int], size: int) -> Iterator[tuple[int, list[int]]]:
+    """(length in words, suffixes) of the maximal repeats of at least ``size`` words."""
+    order, _, found = intervals(suffix, left, size)
+    for length, at, end in found:
+        yield length, order[at : end + 1]
+
+
+def nested(found: list[tuple[int, int, int]], places: int) -> tuple[list[int], list[int]]:
+    """The innermost interval of each place (-1 if it has none), and the one around each interval (-1)."""
+    owner, around = [-1] * places, [-1] * len(found)
+    open_: list[int] = []
+    at = 0
+    pending: list[int] = []
+    for k, (_, first, last) in enumerate(found):
+        while at <= last:
+            pending.append(at)
+            at += 1
+        while pending and pending[-1] >= first:
+            owner[pending.pop()] = k
+        while open_ and found[open_[-1]][1] >= first:
+            around[open_.pop()] = k
+        open_.append(k)
+    return owner, around
 
 
 def periodic(suffix: list[bytes], left: list[int], period: int, size: int) -> Iterator[tuple[int, int, list[tuple[int, int]], list[int]]]:
@@ -233,9 +285,30 @@ def _periods(sums: np.ndarray, inv: np.ndarray, at: np.ndarray, size: int) -> np
     return out
 
 
+def _merged(t: pa.Table) -> pa.Table:
+    """One row per class of the rows that several tasks have for it."""
+    t = t.combine_chunks()
+    code = t.column("c").chunk(0).dictionary_encode().indices.to_numpy()
+    ids = t.column("id").chunk(0)
+    kinds = pc.unique(ids.drop_null())
+    rank = pc.fill_null(pc.index_in(ids, kinds.take(pc.array_sort_indices(kinds)), skip_nulls=True), len(kinds)).to_numpy()
+    order = np.lexsort((t.column("base").to_numpy(), t.column("rid").to_numpy(), rank, code))
+    head = order[np.concatenate([[True], code[order][1:] != code[order][:-1]])]
+    n, low, high = (t.column(c).to_numpy() for c in ("n", "low", "high"))
+    total, least, most = np.zeros(len(head), np.int64), low[head].copy(), high[head].copy()
+    np.add.at(total, code, n)
+    np.minimum.at(least, code, low)
+    np.maximum.at(most, code, high)
+    out = t.take(pa.array(head))
+    for c, v in (("n", total), ("low", least), ("high", most)):
+        out = out.set_column(out.schema.get_field_index(c), c, pa.array(v))
+    return out.append_column("rank", pa.array(rank[head])).combine_chunks()
+
+
 def _repeats(table: pa.Table, size: int) -> Iterator[pa.RecordBatch]:
-    """The repeats of whole buckets of classes, a row for each class and place in it, in batches of about LISTED rows."""
-    a, mask, count = (table.column(c).to_numpy() for c in ("a", "mask", "n"))
+    """The repeats of whole buckets of classes: a row for each class and place in it, in batches of about LISTED rows."""
+    table = _merged(table)
+    a, mask, count, rank, rids, base = (table.column(c).to_numpy() for c in ("a", "mask", "n", "rank", "rid", "base"))
     raw, off = tk.string_buffers(table.column("words").chunk(0))
     data, off = np.frombuffer(raw.tobytes(), ">u4").astype(np.uint64), off // 4
     bits = (mask[:, None] >> np.arange(size)) & 1
@@ -255,67 +328,90 @@ def _repeats(table: pa.Table, size: int) -> Iterator[pa.RecordBatch]:
     lo, hi = edge[:-1], edge[1:]
     period = _periods(sums, inv, at[order[lo]], size) if len(lo) else np.zeros(0, np.int64)
     keep = ((hi - lo > 1) & (left[order[lo]] != left[order[hi - 1]])) | (period > 0) if len(lo) else np.zeros(0, bool)
-    names, first = table.column("c").chunk(0), table.column("first").chunk(0)
-    # the place of each class among all in the order of its first occurrence: null, id, rid, base
-    ids = first.field("id")
-    kinds = pc.unique(ids.drop_null())
-    rank = pc.fill_null(pc.index_in(ids, kinds.take(pc.array_sort_indices(kinds)), skip_nulls=True), len(kinds)).to_numpy()
-    rids, base = first.field("rid").to_numpy(), first.field("base").to_numpy()
-    short = np.frombuffer(b"".join(names.to_pylist()), np.uint64).reshape(-1, 2)[:, 0] if len(names) else np.zeros(0, np.uint64)
+    # how the first occurrences of all entries are ordered: null, id, rid, start
+    begin = base[row] + shift
+    by = np.lexsort((begin, rids[row], rank[row]))
+    early = np.empty(len(by), np.int64)
+    early[by] = np.arange(len(by))
+    names, ids = table.column("c").chunk(0), table.column("id").chunk(0)
+    short = np.frombuffer(b"".join(names.to_pylist()), np.uint64).reshape(-1, 2)[:, 0]
     raw = raw.tobytes()
-    lengths: list[int] = []
-    cycle: list[int] = []
-    found: list[np.ndarray] = []
-    skips: list[np.ndarray] = []
-    goes: list[np.ndarray] = []
-    held = 0
+    weight = np.where(second, 0, count[row])
+    out: list[tuple] = []
 
     def batch() -> pa.RecordBatch:
-        flat, node = np.concatenate(found), np.repeat(np.arange(len(found)), [len(f) for f in found])
-        r, ahead, run = row[flat], shift[flat] + np.concatenate(skips), np.concatenate(goes)
-        order = np.lexsort((ahead, r, node))
-        r, ahead, run, node = r[order], ahead[order], run[order], node[order]
-        new = np.ones(len(r), bool)
-        new[1:] = (node[1:] != node[:-1]) | (r[1:] != r[:-1]) | (ahead[1:] != ahead[:-1])
-        r, ahead, run, node = r[new], ahead[new], run[new], node[new]
-        total = np.bincount(node, count[r], len(found)).astype(np.int64)
-        some = total[node] > 1
-        words, cyclic = np.array(lengths), np.array(cycle)
-        name = np.zeros(len(found), np.uint64)
-        np.add.at(name, node, tk.mix64(short[r] ^ tk.mix64(ahead.astype(np.uint64))))
-        name = tk.mix64(name * tk._P + (words * (size + 1) + cyclic).astype(np.uint64)).view(np.int64)
-        order = np.lexsort((base[r] + ahead, rids[r], rank[r], node))
-        lead = order[np.concatenate([[True], node[order][1:] != node[order][:-1]])] if len(order) else order
-        head_rid, head_start = np.zeros(len(found), np.int64), np.zeros(len(found), np.int32)
-        head_rid[node[lead]], head_start[node[lead]] = rids[r[lead]], base[r[lead]] + ahead[lead]
-        out = {"repeat_id": name[node], "n_words": words[node].astype(np.int32), "period": cyclic[node].astype(np.int32), "n_occurrences": total[node], "first_rid": head_rid[node], "first_start": head_start[node], "ahead": ahead.astype(np.int32), "run": run.astype(np.int32)}
-        return pa.RecordBatch.from_arrays([*(pa.array(x[some]) for x in out.values()), names.take(pa.array(r[some]))], names=[*out, "c"])
+        entry, ahead, run, words, cyclic, total, name, group, place, first, last, lead, other, own = (np.concatenate(col) for col in zip(*out))
+        f = row[lead]
+        whole = lambda x: pa.array(x.astype(np.int32), mask=x < 0)
+        # a repeat by itself has no class: its row is its first occurrence
+        c = pc.if_else(pa.array(own > 0), names.take(pa.array(row[entry])), pa.scalar(None, pa.binary()))
+        start = begin[lead] + np.maximum(own - 1, 0)
+        return pa.RecordBatch.from_arrays([*map(pa.array, (name, words.astype(np.int32), cyclic.astype(np.int32), total, other, ahead.astype(np.int32), run.astype(np.int32), group)), whole(place), whole(first), whole(last), c, ids.take(pa.array(f)), pa.array(rids[f]), pa.array(start.astype(np.int32))], names=list(FOUND))
 
+    held = 0
     for x, y, p in zip(lo[keep].tolist(), hi[keep].tolist(), period[keep].tolist()):
         mine = order[x:y]
         suffix = [raw[4 * s : 4 * e] for s, e in zip(at[mine].tolist(), off[row[mine] + 1].tolist())]
-        lefts = left[mine].tolist()
-        nodes = periodic(suffix, lefts, p, size) if p else ((n, 0, [(k, 0) for k in members], [0] * len(members)) for n, members in tree(suffix, lefts, size))
-        for length, cyclic, places, run in nodes:
-            members, skip = np.array(places).T
-            lengths.append(length)
-            cycle.append(cyclic)
-            found.append(mine[members])
-            skips.append(skip)
-            goes.append(np.array(run))
-            held += len(members)
-            if held > LISTED:
-                yield batch()
-                lengths, cycle, found, skips, goes, held = [], [], [], [], [], 0
-    if found:
+        group = int(key[mine[0]].view(np.int64))
+        if p:
+            for length, cyclic, places, run in periodic(suffix, left[mine].tolist(), p, size):
+                members, skip = np.array(places).T
+                e, run = mine[members], np.array(run)
+                one = np.unique(np.stack([row[e], shift[e] + skip]), axis=1, return_index=True)[1]
+                e, skip, run = e[one], skip[one], run[one]
+                total = int(count[row[e]].sum())
+                if total < 2:
+                    continue
+                with np.errstate(over="ignore"):
+                    name = tk.mix64(np.array([tk.mix64(short[row[e]] ^ tk.mix64((shift[e] + skip).astype(np.uint64))).sum() * tk._P + np.uint64(length * (size + 1) + cyclic)], np.uint64)).view(np.int64)[0]
+                start = begin[e] + skip
+                lead = np.lexsort((start, rids[row[e]], rank[row[e]]))[0]
+                k = np.ones(len(e), np.int64)
+                out.append((e, shift[e] + skip, run, k * length, k * cyclic, k * total, k * name, k * group, -k, -k, -k, k * e[lead], k * 0, k * (1 + skip[lead])))
+                held += len(e)
+        else:
+            ordered, lcp, found = intervals(suffix, left[mine].tolist(), size)
+            entries = mine[ordered]
+            owner, around = nested(found, len(entries))
+            place = np.concatenate([[0], np.cumsum([suffix[i] != suffix[j] for i, j in zip(ordered[:-1], ordered[1:])])]).astype(np.int64)
+            sums_ = np.concatenate([[0], np.cumsum(weight[entries])])
+            firsts, least = [len(row)] * len(found), early[entries].tolist()
+            inside: list[list[int]] = [[] for _ in found]
+            for i, k in enumerate(owner):
+                if k >= 0:
+                    inside[k].append(i)
+            for k, up in enumerate(around):  # inner ones come first
+                firsts[k] = min([firsts[k], *(least[i] for i in inside[k])])
+                if up >= 0:
+                    firsts[up] = min(firsts[up], firsts[k])
+            rest = [0] * len(found)
+            for k in range(len(found) - 1, -1, -1):
+                up = around[k]
+                if up >= 0:
+                    rest[k] = found[up][0] if firsts[up] != firsts[k] else rest[up]
+            for k, (length, first, last) in enumerate(found):
+                total = int(sums_[last + 1] - sums_[first])
+                name = int(tk.mix64(np.array([group & (1 << 64) - 1], np.uint64) ^ tk.mix64(np.array([length << 32 | int(place[first])], np.uint64))).view(np.int64)[0])
+                i = np.array([j for j in inside[k] if weight[entries[j]]], np.int64)
+                own = len(i) > 0
+                e = entries[i] if own else by[[firsts[k]]]
+                n = np.ones(len(e), np.int64)
+                out.append((e, shift[e], n * 0, n * length, n * 0, n * total, n * name, n * group, place[i] if own else -n, n * place[first], n * place[last], n * by[firsts[k]], n * rest[k], n * own))
+                held += len(e)
+        if held > LISTED:
+            yield batch()
+            out, held = [], 0
+    if out:
         yield batch()
 
 
-def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(repeat_id, n_words, n_occurrences, period, id, rid, start, run, first) of all maximal repeats: a row per occurrence.
+FOUND = {"repeat_id": "bigint", "n_words": "int", "period": "int", "n_occurrences": "bigint", "other": "bigint", "ahead": "int", "run": "int", "group_id": "bigint", "place": "int", "first_place": "int", "last_place": "int", "c": "binary", "lead_id": "", "lead_rid": "bigint", "lead_start": "int"}
+
 
-    ``period`` and ``run`` are 0 but for repeats inside periodic runs. ``first`` is the occurrence with the least id
-    (nulls last), row hash and start of its repeat.
+def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, owner: str = "") -> DataFrame:
+    """The rows of ``repeats`` with ``rid`` and ``cut``, the words that all but the first occurrences of repeats cover here.
+
+    The first occurrence of a repeat is that with the least id (nulls last), row hash and start.
     """
     size, kind = min_words, docs.schema[doc_id].dataType
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("txt"), common.row_id(doc_id, text).alias("rid"))
@@ -329,24 +425,31 @@ def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
                 yield pa.RecordBatch.from_arrays([pa.array(rid[row]), pa.array(q), pa.array(a), pa.array(before)], names=["rid", "q", "a", "before"])
         common.tidy()
 
-    owner = uuid.uuid4().hex
-    every = common.written(rows.select("rid", "txt").mapInArrow(anchors, "rid bigint, q int, a bigint, before bigint"), owner)
+    mine = uuid.uuid4().hex
+    every = common.written(rows.select("rid", "txt").mapInArrow(anchors, "rid bigint, q int, a bigint, before bigint"), mine)
     counted = every.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("before").alias("x"), F.max("before").alias("y")).where("n > 1").select("a", (F.col("x") != F.col("y")).alias("diverse"))
-    marks = every.select("rid", "q", "a").join(counted, "a").groupBy("rid").agg(F.collect_list(F.struct("q", "diverse")).alias("marks"), F.max("diverse").alias("any")).where("any").select("rid", "marks")
+    marks = common.written(every.select("rid", "q", "a").join(counted, "a").groupBy("rid").agg(F.collect_list(F.struct("q", "diverse")).alias("marks"), F.max("diverse").alias("any")).where("any").select("rid", "marks"), mine)
+    # texts of which no row has a mark needn't be sent to the join: a table of at most BUCKETS rows tells most of them
+    bucket = F.pmod(F.col("rid"), F.lit(BUCKETS))
+    some = common.cut(marks.select(bucket.alias("bucket")).distinct())
+    here = rows if some.count() > BUCKETS // 2 else rows.join(F.broadcast(some), bucket == F.col("bucket"), "left_semi")
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set[bytes] = set()
+        classes: dict[bytes, list] = {}
         for batch in batches:
             for part in tk.byte_slices(batch, "txt"):
-                yield _suffixes(part, size, known)
+                yield from _suffixes(part, size, classes)
+                if len(classes) > KNOWN:
+                    yield _told(classes, ids)
+        if classes:
+            yield _told(classes, ids)
         common.tidy()
 
-    fields = [("c", T.BinaryType()), ("a", T.LongType()), ("mask", T.LongType()), ("left", T.LongType()), ("id", kind), ("rid", T.LongType()), ("base", T.IntegerType()), ("words", T.BinaryType())]
-    single = rows.dropDuplicates(["rid"]).join(marks, "rid").select("id", "rid", "txt", "marks")
-    told = common.written(single.mapInArrow(suffixes, T.StructType([T.StructField(*f) for f in fields])))
-    common.drop_written(owner)
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "rid", "base")
-    classes = told.groupBy("c").agg(F.first("a").alias("a"), F.first("mask").alias("mask"), F.count(F.lit(1)).alias("n"), F.min("left").alias("low"), F.max("left").alias("high"), F.min(order).alias("first"), F.first("words", ignorenulls=True).alias("words"))
+    ids = to_arrow_type(kind)
+    fields = [T.StructField(n, t) for n, t in zip(NAMES, (T.BinaryType(), *[T.LongType()] * 5, kind, T.LongType(), T.IntegerType(), T.BinaryType()))]
+    single = here.dropDuplicates(["rid"]).join(marks, "rid").select("id", "rid", "txt", "marks")
+    told = common.written(single.mapInArrow(suffixes, T.StructType(fields)), owner, compression="zstd")
+    common.drop_written(mine)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in common.whole_groups(batches, ["a"]):
@@ -354,28 +457,44 @@ def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
                 yield from _repeats(t, size)
         common.tidy()
 
-    found = classes.repartition("a").sortWithinPartitions("a").mapInArrow(scan, "repeat_id bigint, n_words int, period int, n_occurrences bigint, first_rid bigint, first_start int, ahead int, run int, c binary")
-    placed = found.join(told.select("c", "id", "rid", "base"), "c").withColumn("start", F.col("base") + F.col("ahead"))
-    return placed.select("repeat_id", "n_words", "n_occurrences", "period", "id", "rid", "start", "run", ((F.col("rid") == F.col("first_rid")) & (F.col("start") == F.col("first_start"))).alias("first"))
+    found = told.where("n is not null").repartition("a").sortWithinPartitions("a").mapInArrow(scan, ", ".join(f"{n} {t or kind.simpleString()}" for n, t in FOUND.items()))
+    member = told.where("n is null").select("c", "id", "rid", "base")
+    placed = found.join(member, "c", "left").withColumn("start", F.coalesce(F.col("base") + F.col("ahead"), F.col("lead_start")))
+    lone = F.col("c").isNull()
+    first = (F.col("rid") == F.col("lead_rid")) & (F.col("start") == F.col("lead_start"))
+    cut = F.when(lone, 0).when(first, F.col("other")).otherwise(F.col("n_words")).cast("int")
+    return placed.select("repeat_id", "n_words", "n_occurrences", "period", F.when(lone, F.col("lead_id")).otherwise(F.col("id")).alias("id"), F.coalesce("rid", "lead_rid").alias("rid"), "start", "run", "group_id", "place", "first_place", "last_place", first.alias("first"), cut.alias("cut"))
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(repeat_id, n_words, n_occurrences, doc_id, start, period, run) of all maximal repeats: a row per occurrence, in
-    periodic runs for the first of each run. ``start`` counts words."""
-    return occurrences(docs, doc_id, text, min_words).select("repeat_id", "n_words", "n_occurrences", F.col("id").alias("doc_id"), "start", "period", "run")
+    """(doc_id, start, repeat_id, n_words, n_occurrences, period, run, group_id, place, first_place, last_place): the places
+    at which repeats begin, each with the longest of them. ``start`` counts words; see above, and ``expand``."""
+    return occurrences(docs, doc_id, text, min_words).select(F.col("id").alias("doc_id"), "start", "repeat_id", "n_words", "n_occurrences", "period", "run", "group_id", "place", "first_place", "last_place")
+
+
+def expand(found: DataFrame) -> DataFrame:
+    """(repeat_id, n_words, n_occurrences, period, run, doc_id, start): every occurrence of every repeat of ``repeats``.
+
+    Its rows grow with the square of a group of near copies.
+    """
+    told = ("repeat_id", "n_words", "n_occurrences", "period", "run")
+    whole = found.where("first_place is null").select(*told, "doc_id", "start")
+    each = found.where("first_place is not null").select("group_id", *told, "first_place", "last_place").distinct()
+    at = found.where("place is not null").select("group_id", "place", "doc_id", "start")
+    return each.join(at, "group_id").where("place between first_place and last_place").select(*told, "doc_id", "start").union(whole)
 
 
-def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", min_words: int = MIN_WORDS) -> DataFrame:
+def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", min_words: int = MIN_WORDS, owner: str = "") -> DataFrame:
     """``docs`` with all occurrences of each repeat but the first (by id, then start) cut from the texts; of a periodic
     run one period stays at most.
 
     A cut goes from the first word of a repeat to the word after it. ``n_chars``, if there, is counted again where a
     text was cut. Rows stay, even with nothing left in them.
     """
-    start, end, inside = F.col("start"), F.col("start") + F.col("n_words"), (F.col("period") > 0) & (F.col("run") >= min_words + F.col("period"))
+    start, inside = F.col("start"), (F.col("period") > 0) & (F.col("run") >= min_words + F.col("period"))
     # of a run only the first period can be the first occurrence
-    gone = occurrences(docs, doc_id, text, min_words).where(~F.col("first") | inside)
-    s, e = F.when(~F.col("first"), start).otherwise(start + F.col("period")), F.when(inside, start + F.col("run")).otherwise(end)
+    gone = occurrences(docs, doc_id, text, min_words, owner).where((F.col("cut") > 0) | inside)
+    s, e = F.when(inside & F.col("first"), start + F.col("period")).otherwise(start), F.when(inside, start + F.col("run")).otherwise(start + F.col("cut"))
     spans = gone.groupBy("rid").agg(F.collect_list(F.struct(s.alias("s"), e.alias("e"))).alias("spans"))
     rid, cuts = common.fresh(docs, "rid"), common.fresh(docs, "spans")
     rows = docs.withColumn(rid, common.row_id(doc_id, text)).join(spans.select(F.col("rid").alias(rid), F.col("spans").alias(cuts)), rid, "left")

@@ -35,7 +35,7 @@ def brute(texts, size):
 def told(df, **more):
     """(n_words, ((id, start), ...)) -> (period, runs), from the rows of occurrences."""
     by = {}
-    for r in repeats.repeats(df, **more).collect():
+    for r in repeats.expand(repeats.repeats(df, **more)).collect():
         by.setdefault((r.repeat_id, r.n_words, r.period, r.n_occurrences), []).append((r.doc_id, r.start, r.run))
     assert all(len(rows) == k[3] for k, rows in by.items())
     out = {}
@@ -166,7 +166,7 @@ def test_repeated_rows_and_ids_of_any_type(spark):
     passage = " ".join(f"p{i}" for i in range(55))
     rows = [("b", f"x {passage}"), ("b", f"x {passage}"), (None, passage), ("a", f"{passage} y"), (None, None), ("c", "")]
     df = spark.createDataFrame(rows, "doc_id string, text string")
-    got = repeats.repeats(df).collect()
+    got = repeats.expand(repeats.repeats(df)).collect()
     assert sorted((r.doc_id or "", r.start, r.n_words, r.n_occurrences) for r in got) == [("", 0, 55, 3), ("a", 0, 55, 3), ("b", 1, 55, 3)]
     left = sorted((r.doc_id or "", r.text or "") for r in repeats.cut_repeats(df).collect())
     assert left == [("", ""), ("", ""), ("a", f"{passage} y"), ("b", "x "), ("b", "x "), ("c", "")]
