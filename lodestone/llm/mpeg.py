@@ -2,17 +2,21 @@
 
 A stream is read frame by frame. A header counts when its fields are valid and another header of the same version,
 layer and sample rate follows where the frame ends, or the stream (or a tag at its end) does; otherwise the reader
-moves on a byte and counts a resynchronisation when it finds the next frame. Tags: ID3v2.2 to 2.4 in front (text
-frames, any text encoding) and ID3v1 at the end. A first frame with a Xing, Info or VBRI table is no audio; its frame
-count, and the encoder's delay and padding, are kept. Checksums (CRC-16) of protected frames are verified for layers I
-and III; those of layer II, whose extent depends on allocation tables, are counted as unchecked.
+moves on a byte and counts a resynchronisation when it finds the next frame. Frames of free format get their size from
+the first two such headers that are as far apart as a third, or the end, is from the second. Tags: ID3v2.2 to 2.4 in
+front (text frames, any text encoding) and ID3v1 at the end. A first frame with a Xing, Info or VBRI table is no audio;
+its frame and byte counts and its seek table are kept (``seek_offsets``: the byte, counted from that frame, that the
+table names for each hundredth or entry), and the encoder's delay and padding. Checksums (CRC-16) of protected frames are
+verified in all layers: over the side information (III), the bit allocation (I), and the bit allocation and scale factor
+selection (II), with the bound of joint stereo.
 
 The duration is exact: the samples of all audio frames, each by its own rate, less delay and padding. ``offsets`` has the
 byte at which each audio frame begins, which is what a player seeks by.
 
 Defined cases: a null or empty value and one without a frame give no frames, duration 0 and null header fields. A last
-frame that the stream cuts off is left out and counted in ``truncated``. Free-format frames are skipped like noise.
-Repeated rows are read alike; empty tables give empty results; extra columns are ignored.
+frame that the stream cuts off is left out and counted in ``truncated``. Protected frames that are too short for what
+their checksum covers are counted as unchecked. Very long streams are read whole, one at a time. Repeated rows are read
+alike; ids may have any type and be null; empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,7 +48,7 @@ for _b in range(256):
         _x = (_x << 1) ^ 0x8005 if _x & 0x8000 else _x << 1
     _crc[_b] = _x & 0xFFFF
 
-SCHEMA = "title string, artist string, version string, layer int, sample_rate int, channels int, table string, declared_frames bigint, n_frames bigint, n_samples bigint, duration double, crc_good bigint, crc_bad bigint, crc_unchecked bigint, resyncs bigint, truncated bigint, offsets array<bigint>"
+SCHEMA = "title string, artist string, version string, layer int, sample_rate int, channels int, table string, declared_frames bigint, n_frames bigint, n_samples bigint, duration double, crc_good bigint, crc_bad bigint, crc_unchecked bigint, resyncs bigint, truncated bigint, offsets array<bigint>, declared_bytes bigint, seek_offsets array<bigint>"
 VERSIONS = {3: "1", 2: "2", 0: "2.5"}
 
 
@@ -56,6 +60,61 @@ def crc16(rows: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Layer II: bits of the allocation of each subband, MPEG-1, at low rates, and lower sampling rates.
+_ALLOCATION = (*[4] * 11, *[3] * 12, *[2] * 7)
+_ALLOCATION_LOW = (4, 4, *[3] * 10)
+_ALLOCATION_LSF = (*[4] * 4, *[3] * 7, *[2] * 19)
+_table = _crc.tolist()
+
+
+def crc16_bits(data: bytes, bits: int) -> int:
+    """CRC-16 of the first ``bits`` bits."""
+    crc = 0xFFFF
+    for b in data[: bits >> 3]:
+        crc = (crc << 8) & 0xFFFF ^ _table[(crc >> 8) ^ b]
+    for k in range(bits & 7):
+        top = (crc >> 15) ^ (data[bits >> 3] >> (7 - k) & 1)
+        crc = (crc << 1) & 0xFFFF ^ (0x8005 if top else 0)
+    return crc
+
+
+def allocation(version: int, kbps: int, rate_at: int, mode: int) -> tuple[int, ...]:
+    """Bits of the allocation of each subband of a layer II frame; ``kbps`` is 0 in free format."""
+    if version != 3:
+        return _ALLOCATION_LSF
+    each = (kbps if mode == 3 else kbps // 2) or 192
+    if each < 56:
+        return _ALLOCATION_LOW[: 12 if rate_at == 2 else 8]
+    return _ALLOCATION if each >= 96 and rate_at != 1 else _ALLOCATION[:27]
+
+
+def layer2_bits(body: bytes, bits: tuple[int, ...], mode: int, extension: int) -> int:
+    """How many bits of ``body`` are bit allocation and scale factor selection."""
+    bound = {1: 4 * (extension + 1), 3: 0}.get(mode, len(bits))
+    left = 8 * len(body)
+    value, used, chosen = int.from_bytes(body, "big"), 0, 0
+    for k, n in enumerate(bits):
+        for _ in range(2 if k < bound else 1):
+            used += n
+            if used <= left and value >> (left - used) & ((1 << n) - 1):
+                chosen += 1 if k < bound or mode == 3 else 2
+    return used + 2 * chosen
+
+
+def _free_size(p: list[int], kind: list[int], pad: list[int], slot: int, end: int) -> int:
+    """Size without padding of free-format frames, by headers p of equal kind; 0 if there is none. Frames have at most 16 KB."""
+    at = set(zip(p, kind))
+    for i in range(len(p)):
+        for j in range(i + 1, len(p)):
+            if p[j] - p[i] > 16384:
+                break
+            size = p[j] - p[i] - pad[i] * slot
+            past = p[j] + size + pad[j] * slot
+            if kind[j] == kind[i] and size > 4 and ((past, kind[i]) in at or past == end):
+                return size
+    return 0
+
+
 def _syncsafe(b: bytes) -> int:
     return (b[0] & 127) << 21 | (b[1] & 127) << 14 | (b[2] & 127) << 7 | (b[3] & 127)
 
@@ -111,7 +170,7 @@ def read(data: bytes | None) -> tuple:
             if value:
                 tags.setdefault(name, value)
     raw = np.frombuffer(data, np.uint8)[:end]
-    none = (tags.get("title"), tags.get("artist"), None, None, None, None, None, None, 0, 0, 0.0, 0, 0, 0, 0, 0, [])
+    none = (tags.get("title"), tags.get("artist"), None, None, None, None, None, None, 0, 0, 0.0, 0, 0, 0, 0, 0, [], None, None)
     if end - at < 4:
         return none
     p = np.flatnonzero((raw[at : end - 3] == 0xFF) & (raw[at + 1 : end - 2] >= 0xE0)) + at
@@ -120,9 +179,16 @@ def read(data: bytes | None) -> tuple:
     rate, bits, pad = _rate[version, (b2 >> 2) & 3], _bitrate[version, layer, b2 >> 4], (b2 >> 1) & 1
     per = _samples[version, layer]
     size = np.where(layer == 3, (12000 * bits // np.maximum(rate, 1) + pad) * 4, per // 8 * 1000 * bits // np.maximum(rate, 1) + pad)
-    ok = (rate > 0) & (bits > 0) & (per > 0)
-    p, version, layer, protected, rate, per, size, b3, kind = (x[ok] for x in (p, version, layer, protected, rate, per, size, b3, b1 & 0xFE))
-    kind = kind << 2 | (b2[ok] >> 2) & 3  # version, layer and sample rate
+    kind = (b1 & 0xFE) << 2 | (b2 >> 2) & 3  # version, layer and sample rate
+    ok = (rate > 0) & (b2 >> 4 < 15) & (per > 0)
+    free = ok & (bits == 0)
+    for one in np.unique(kind[free]):
+        m = free & (kind == one)
+        slot = 4 if layer[m][0] == 3 else 1
+        known = _free_size(p[m].tolist(), kind[m].tolist(), pad[m].tolist(), slot, end)
+        size[m] = known + pad[m] * slot
+        ok[m] = known > 0
+    p, version, layer, protected, rate, per, size, b2, b3, bits, kind = (x[ok] for x in (p, version, layer, protected, rate, per, size, b2, b3, bits, kind))
     after = p + size
     j = np.searchsorted(p, after)
     inside = np.minimum(j, max(len(p) - 1, 0))
@@ -147,8 +213,11 @@ def read(data: bytes | None) -> tuple:
     if not frames:
         return none
     f = np.array(frames)
-    channels = np.where((b3[f] >> 6) == 3, 1, 2)
-    side = np.where(layer[f] == 1, np.where(version[f] == 3, np.where(channels == 1, 17, 32), np.where(channels == 1, 9, 17)), 16 * channels)
+    mode, extension = b3[f] >> 6, (b3[f] >> 4) & 3
+    channels = np.where(mode == 3, 1, 2)
+    side = np.where(version[f] == 3, np.where(channels == 1, 17, 32), np.where(channels == 1, 9, 17))
+    # layer I: four bits of allocation for each subband, of both channels up to the bound
+    side = np.where(layer[f] == 3, np.where(mode == 1, (36 + 4 * extension) // 2, 16 * channels), side)
     good_crc = bad_crc = unchecked = 0
     for n_side in np.unique(side):
         for lay in (1, 3):
@@ -158,28 +227,45 @@ def read(data: bytes | None) -> tuple:
                 rows = raw[np.concatenate([at_ + 2, at_ + 3, at_ + 6 + np.arange(n_side)], axis=1)]
                 right = crc16(rows) == raw[p[m] + 4].astype(np.uint16) * 256 + raw[p[m] + 5]
                 good_crc, bad_crc = good_crc + int(right.sum()), bad_crc + int((~right).sum())
+    two = np.flatnonzero((layer[f] == 2) & protected[f])
+    for n, begin, total, v, kbps, r, m, e in zip(f[two].tolist(), *(x[f[two]].tolist() for x in (p, size, version, bits)), ((b2[f[two]] >> 2) & 3).tolist(), mode[two].tolist(), extension[two].tolist()):
+        body = data[begin + 6 : begin + min(total, 70)]
+        n_bits = layer2_bits(body, allocation(v, kbps, r, m), m, e)
+        if n_bits <= 8 * len(body):
+            right_ = crc16_bits(data[begin + 2 : begin + 4] + body, 16 + n_bits) == int.from_bytes(data[begin + 4 : begin + 6], "big")
+            good_crc, bad_crc = good_crc + right_, bad_crc + (not right_)
     unchecked = int(protected[f].sum()) - good_crc - bad_crc
-    k, table, declared, trim = f[0], None, None, 0
+    k, table, declared, n_bytes, seek, trim = f[0], None, None, None, None, 0
     a = int(p[k])
-    x = a + 4 + int(side[0]) + (2 if protected[k] else 0) if layer[k] == 1 else end
-    for x in dict.fromkeys((x, a + 4 + int(side[0]))):
+    for x in dict.fromkeys((a + 4 + int(side[0]) + (2 if protected[k] else 0), a + 4 + int(side[0]))):
         if layer[k] == 1 and data[x : x + 4] in (b"Xing", b"Info"):
             table, flags = data[x : x + 4].decode(), int.from_bytes(data[x + 4 : x + 8], "big")
-            declared = int.from_bytes(data[x + 8 : x + 12], "big") if flags & 1 else None
-            y = x + 8 + 4 * (flags & 1) + 2 * (flags & 2) + 25 * (flags & 4) + (flags & 8) // 2
+            y = x + 8
+            if flags & 1:
+                declared, y = int.from_bytes(data[y : y + 4], "big"), y + 4
+            if flags & 2:
+                n_bytes, y = int.from_bytes(data[y : y + 4], "big"), y + 4
+            if flags & 4:
+                whole = n_bytes if n_bytes is not None else end - a
+                seek, y = [b * whole // 256 for b in data[y : y + 100]], y + 100
+            y += flags & 8 and 4
             if y + 24 <= after[k] and data[y : y + 4] in (b"LAME", b"Lavf", b"Lavc"):
                 t = int.from_bytes(data[y + 21 : y + 24], "big")
                 trim = (t >> 12) + (t & 0xFFF)
             break
     if table is None and data[a + 36 : a + 40] == b"VBRI":
-        table, declared = "VBRI", int.from_bytes(data[a + 50 : a + 54], "big")
+        table, n_bytes, declared = "VBRI", int.from_bytes(data[a + 46 : a + 50], "big"), int.from_bytes(data[a + 50 : a + 54], "big")
+        entries, scale, width = (int.from_bytes(data[a + y : a + y + 2], "big") for y in (54, 56, 58))
+        entries = min(entries, (int(after[k]) - a - 62) // width) if width else 0
+        steps = [int.from_bytes(data[a + 62 + width * i : a + 62 + width * (i + 1)], "big") * scale for i in range(entries)]
+        seek = (int(size[k]) + np.cumsum(np.array(steps, np.int64))).tolist()  # the steps count from the end of this frame
     audio = f[1:] if table else f
     samples = int(per[audio].sum())
     trim = min(trim, samples)
     seconds = float(np.bincount(rate[audio], per[audio]) @ (1 / np.maximum(np.arange(rate[audio].max() + 1), 1))) if len(audio) else 0.0
     if len(audio) and (rate[audio] == rate[k]).all():
         seconds = (samples - trim) / int(rate[k])
-    return (tags.get("title"), tags.get("artist"), VERSIONS[int(version[k])], 4 - int(layer[k]), int(rate[k]), int(channels[0]), table, declared, len(audio), samples - trim, seconds, good_crc, bad_crc, unchecked, resyncs, truncated, p[audio].tolist())
+    return (tags.get("title"), tags.get("artist"), VERSIONS[int(version[k])], 4 - int(layer[k]), int(rate[k]), int(channels[0]), table, declared, len(audio), samples - trim, seconds, good_crc, bad_crc, unchecked, resyncs, truncated, p[audio].tolist(), n_bytes, seek)
 
 
 def parse(media: DataFrame, media_id: str, audio: str = "audio") -> DataFrame:
@@ -200,42 +286,59 @@ def parse(media: DataFrame, media_id: str, audio: str = "audio") -> DataFrame:
 
 
 def synthesise(number: int, title: str | None, payload: bytes | None) -> bytes | None:
-    """A deterministic layer III stream whose frames carry ``payload``; a null payload gives null.
+    """A deterministic stream whose frames carry ``payload``; a null payload gives null.
 
-    The number picks version, channels, checksums, table, tag encodings, and noise between frames.
+    The number picks version, layer (III as a rule), channels, checksums, table, free format, tag encodings, and noise
+    between frames.
     """
     if payload is None:
         return None
-    version = 3 if number % 5 else 2
-    mono, protect, vbr, noisy = number % 3 == 0, number % 2 == 0, number % 4 == 1, number % 7 == 3
+    version, layer = 3 if number % 5 else 2, {6: 2, 8: 3}.get(number % 9, 1)
+    mono, protect, vbr, noisy, free = number % 3 == 0, number % 2 == 0, number % 4 == 1, number % 7 == 3, number % 13 == 5
+    table = ("Xing" if number % 8 == 1 else "VBRI") if layer == 1 and vbr and not free else None
+    extension = number % 4
     side = (17 if mono else 32) if version == 3 else (9 if mono else 17)
+    if layer == 3:
+        side = 16 if mono else (36 + 4 * extension) // 2
     rate_at = number % 3
-    rate, per = RATES[version][rate_at], 1152 if version == 3 else 576
+    rate, per = RATES[version][rate_at], int(_samples[version, layer])
 
     def header(step: int) -> tuple[bytes, int]:
-        b = 5 + (number + step) % 8 if vbr else 5 + number % 8
+        b = 0 if free else 5 + (number + step) % 8 if vbr else 5 + number % 8
         pad = (step * 7 + number) % 3 == 0
-        kbps = _bitrate[version, 1, b]
-        return bytes([0xFF, 0xE0 | version << 3 | 2 | (not protect), b << 4 | rate_at << 2 | pad << 1, 0xC0 if mono else 0x40]), int(per // 8 * 1000 * kbps // rate) + pad
+        kbps = 100 if free else int(_bitrate[version, layer, b])
+        size = (12000 * kbps // rate + pad) * 4 if layer == 3 else per // 8 * 1000 * kbps // rate + pad
+        return bytes([0xFF, 0xE0 | version << 3 | layer << 1 | (not protect), b << 4 | rate_at << 2 | pad << 1, 0xC0 if mono else 0x40 | extension << 4]), size
 
     heads, bodies, at, step = [], [], 0, 0
-    while at < len(payload) or not heads:
+    while at < len(payload) or not heads or free and len(heads) < 3:
         h, size = header(step)
         room = size - 4 - 2 * protect
         bodies.append(payload[at : at + room].ljust(room, b"\0"))
         heads.append(h)
         at, step = at + room, step + 1
     sums = [b""] * len(heads)
-    if protect:
+    if protect and layer == 2:
+        mode = 3 if mono else 1
+        bits = [allocation(version, int(_bitrate[version, 2, h[2] >> 4]), rate_at, mode) for h in heads]
+        sums = [crc16_bits(h[2:] + b, 16 + layer2_bits(b[:64], n, mode, extension)).to_bytes(2, "big") for h, b, n in zip(heads, bodies, bits)]
+    elif protect:
         rows = np.frombuffer(b"".join(h[2:] + b[:side] for h, b in zip(heads, bodies)), np.uint8).reshape(len(heads), 2 + side)
         sums = [int(c).to_bytes(2, "big") for c in crc16(rows)]
-        if number % 10 == 4:
-            sums[-1] = bytes(x ^ 1 for x in sums[-1])
+    if protect and number % 10 == 4:
+        sums[-1] = bytes(x ^ 1 for x in sums[-1])
     frames = [h + c + b for h, c, b in zip(heads, sums, bodies)]
-    if vbr:
+    if table:
         h, size = header(2)
-        body = bytes(2 * protect + side) + b"Xing" + (1).to_bytes(4, "big") + len(frames).to_bytes(4, "big")
-        frames.insert(0, h + body.ljust(size - 4, b"\0"))
+        total = size + sum(map(len, frames))
+        ends = np.cumsum([size, *map(len, frames)])
+        if table == "Xing":
+            toc = bytes(int(min(255, ends[len(frames) * k // 100] * 256 // total)) for k in range(100))
+            body = bytes(2 * protect + side) + b"Xing" + (7).to_bytes(4, "big") + len(frames).to_bytes(4, "big") + total.to_bytes(4, "big") + toc
+        else:
+            some = np.diff(ends[:: max(1, len(frames) // 40)])[: (size - 62) // 4].tolist()
+            body = bytes(32) + b"VBRI" + bytes([0, 1, 0, 0, 0, 50]) + total.to_bytes(4, "big") + len(frames).to_bytes(4, "big") + len(some).to_bytes(2, "big") + bytes([0, 1, 0, 4, 0, max(1, len(frames) // 40) & 255]) + b"".join(int(x).to_bytes(4, "big") for x in some)
+        frames.insert(0, h + body.ljust(size - 4, b"\0")[: size - 4])
     if noisy:
         for k in range(len(frames) - 2, 0, -3):
             frames.insert(k, b"\xff\xfb\xff\xe3noise\xff"[: 3 + (k + number) % 7])
@@ -259,7 +362,7 @@ def from_text(rows: DataFrame, key: str, title: str, payload: str) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                made = [synthesise(k or 0, t, None if p is None else p.encode()) for k, t, p in zip(*(c.to_pylist() for c in part.columns))]
+                made = [synthesise(k if isinstance(k, int) else len(str(k or '')), t, None if p is None else p.encode()) for k, t, p in zip(*(c.to_pylist() for c in part.columns))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], names=[key, "audio"])
 
     return rows.select(f"`{key}`", f"`{title}`", f"`{payload}`").mapInArrow(run, f"`{key}` {kind}, audio binary")
