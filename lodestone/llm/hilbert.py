@@ -2,16 +2,20 @@
 
 Dimensions are quantised to ``BITS`` bits by rank: a value's cell is the number of rows with smaller values, scaled to
 2**BITS; nulls come first, and equal values share a cell, so hot values take wide ranges. The cells become an index on
-the Hilbert curve (Skilling's transform, tabled for all cells). Rows are sorted by index, then id; runs of about
-``rows_per_run`` rows are cut where the index changes, and an index with more rows than that is split evenly by id.
-Each run is contiguous in the result and meant to be a file; ``manifest`` has the least and largest value of each
-dimension in every run, which is what a reader prunes by.
-
-The counts have a row per distinct value of a dimension, the driver sees the at most 2**BITS first values of cells, and
-the cut table has a row per index (at most 2**(BITS * dims)), so nothing but the one sort moves documents.
-
-Defined cases: nulls in any dimension, id or text are kept. Repeated rows share index and run. Empty tables give empty
-results. All columns of the table are kept; the new ones get underscores in front where a name is taken.
+the Hilbert curve (Skilling's transform, tabled for all cells). Rows are sorted by index, then id, and cut in runs of
+about ``rows_per_run`` units of weight where the index changes; an index with more than that is split evenly by id. A
+row weighs one, and one more for each ``unit`` of its ``weight`` column (characters), as long texts lie side by side on
+the curve. Each run is contiguous in the result and meant to be a file; ``manifest`` has the least and largest value of
+each dimension in every run, which is what a reader prunes by.
+
+The counts have a row per distinct value of a dimension and are sorted and summed by ranges; the driver sees the at
+most 2**BITS first values of cells, and the cut table has a row per index (at most 2**(BITS * dims)), so nothing but the
+one sort moves documents. Its number of partitions follows the number of runs.
+
+Defined cases: nulls in any dimension, id or text are kept; a null or negative weight is 0. Ties in all dimensions share
+an index and go by id. Repeated rows share index and run. doc_id may have any type; what isn't an integer is split by
+its hash. Empty and very long texts are rows like others. Empty tables give empty results. All columns of the table are
+kept; the new ones get underscores in front where a name is taken.
 """
 
 from __future__ import annotations
@@ -19,21 +23,29 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import common
 
-BITS, ROWS_PER_RUN = 4, 2000
+BITS, ROWS_PER_RUN, UNIT, RUNS_PER_TASK = 4, 2000, 4096, 8
 DIMENSIONS = ("n_chars", "lang", "source")
 
 
 def cell(df: DataFrame, column: str, bits: int = BITS) -> Column:
     """The cell of ``column`` as an expression: how many of the (at most 2**bits) first values of cells it reaches."""
     count = df.groupBy(F.col(f"`{column}`").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    # one row per distinct value: a window over all of them is small
-    before = F.sum("n").over(Window.orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
-    total = F.sum("n").over(Window.partitionBy())
-    cells = count.select("value", F.floor(F.coalesce(before, F.lit(0)) * (1 << bits) / total).cast("int").alias("cell"))
+    # ranges of values, numbered in order; the rows before a value are those of the ranges before and of its own so far
+    ranged = common.cut(count.repartitionByRange(F.col("value").asc_nulls_first()).withColumn("range", F.spark_partition_id()))
+    total, before = 0, []
+    for r in sorted(ranged.groupBy("range").agg(F.sum("n").alias("n")).collect()):
+        before.append((r.range, total))
+        total += r.n
+    if not total:
+        return F.lit(0)
+    ahead = F.create_map(*(F.lit(x) for pair in before for x in pair))[F.col("range")]
+    own = F.sum("n").over(Window.partitionBy("range").orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
+    cells = ranged.select("value", F.floor((ahead + F.coalesce(own, F.lit(0))) * (1 << bits) / total).cast("int").alias("cell"))
     first = cells.where("value is not null").groupBy("cell").agg(F.min("value").alias("value")).orderBy("cell").collect()
     out: Column = F.lit(0)
     for r in first:
@@ -82,21 +94,25 @@ def index(cells: list[Column], bits: int = BITS) -> Column:
     return F.get(F.from_json(F.lit(f"[{text}]"), "array<bigint>"), code.cast("int"))
 
 
-def shard(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, doc_id: str = "doc_id", bits: int = BITS, rows_per_run: int = ROWS_PER_RUN) -> DataFrame:
+def shard(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, doc_id: str = "doc_id", bits: int = BITS, rows_per_run: int = ROWS_PER_RUN, weight: str = "n_chars", unit: int = UNIT) -> DataFrame:
     """``docs`` with ``hilbert`` (index) and ``run``, sorted by both and the id; each run lies in one partition."""
     hilbert, run = common.fresh(docs, "hilbert"), common.fresh(docs, "run")
     now = docs.withColumn(hilbert, index([cell(docs, d, bits) for d in dimensions], bits))
+    heavy = F.lit(1) + F.greatest(F.coalesce(F.floor(F.col(f"`{weight}`") / unit), F.lit(0)), F.lit(0)) if weight in docs.columns else F.lit(1)
     h_, n_, first_, parts_ = (common.fresh(now, x) for x in ("h_", "n_", "first_", "parts_"))
-    count = now.groupBy(F.col(f"`{hilbert}`").alias(h_)).agg(F.count(F.lit(1)).alias(n_))
+    # at most 2**(bits * dimensions) rows whatever the data
+    count = common.cut(now.groupBy(F.col(f"`{hilbert}`").alias(h_)).agg(F.sum(heavy).alias(n_)))
+    runs = -(-(count.agg(F.sum(n_)).first()[0] or 0) // rows_per_run)
     before = F.coalesce(F.sum(n_).over(Window.orderBy(h_).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cuts = count.select(h_, F.floor(before / rows_per_run).alias(first_), F.ceil(F.col(n_) / rows_per_run).alias(parts_))
-    # at most 2**(bits * dimensions) rows whatever the data
     out = now.join(F.broadcast(cuts), F.col(f"`{hilbert}`") == F.col(h_), "left")
-    part = F.pmod(F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit(0)), F.col(parts_))
+    whole = isinstance(docs.schema[doc_id].dataType, T.IntegralType)
+    number = F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit(0)) if whole else F.xxhash64(F.col(f"`{doc_id}`"))
     # the runs of one index follow each other: there is room for 2**20
-    out = out.withColumn(run, (F.col(first_) * (1 << 20) + F.when(F.col(parts_) > 1, part + 1).otherwise(0)).cast("bigint"))
+    out = out.withColumn(run, (F.col(first_) * (1 << 20) + F.when(F.col(parts_) > 1, F.pmod(number, F.col(parts_)) + 1).otherwise(0)).cast("bigint"))
     out = out.select(*(F.col(f"`{c}`") for c in docs.columns), F.col(f"`{hilbert}`"), F.col(f"`{run}`"))
-    return out.repartitionByRange(F.col(f"`{run}`")).sortWithinPartitions(run, hilbert, doc_id)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs // RUNS_PER_TASK))
+    return out.repartitionByRange(parts, F.col(f"`{run}`")).sortWithinPartitions(run, hilbert, doc_id)
 
 
 def manifest(sharded: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, run: str = "run") -> DataFrame:
@@ -107,7 +123,7 @@ def manifest(sharded: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, run:
     return sharded.groupBy(F.col(f"`{run}`").alias("run")).agg(*aggs)
 
 
-def sql(table: str, columns: list[str], dimensions: tuple[str, ...] = DIMENSIONS, doc_id: str = "doc_id", bits: int = BITS, rows_per_run: int = ROWS_PER_RUN) -> str:
+def sql(table: str, columns: list[str], dimensions: tuple[str, ...] = DIMENSIONS, doc_id: str = "doc_id", bits: int = BITS, rows_per_run: int = ROWS_PER_RUN, weight: str = "n_chars", unit: int = UNIT) -> str:
     """DuckDB SQL for the rows of ``shard``."""
     n = len(dimensions)
     ctes, joins = [], []
@@ -143,7 +159,7 @@ def sql(table: str, columns: list[str], dimensions: tuple[str, ...] = DIMENSIONS
     step(**{f"x{i}": f"xor(x{i}, {t})" for i in range(n)})
     h = " + ".join(f"((x{i} >> {b}) & 1) * {1 << (b * n + n - 1 - i)}" for b in range(bits) for i in range(n))
     cols = ", ".join(columns)
-    ctes.append(f"h as (select {cols}, cast({h} as bigint) as hilbert from s{at})")
-    ctes.append(f"k as (select hilbert as h_, cast(floor(coalesce(sum(count(*)) over (order by hilbert rows between unbounded preceding and 1 preceding), 0) / {rows_per_run}) as bigint) as f_, cast(ceil(count(*) / {rows_per_run}) as bigint) as p_ from h group by hilbert)")
+    ctes.append(f"h as (select {cols}, cast({h} as bigint) as hilbert, 1 + greatest(coalesce(cast(floor({weight} / {unit}) as bigint), 0), 0) as w_ from s{at})")
+    ctes.append(f"k as (select hilbert as h_, cast(floor(coalesce(sum(sum(w_)) over (order by hilbert rows between unbounded preceding and 1 preceding), 0) / {rows_per_run}) as bigint) as f_, cast(ceil(sum(w_) / {rows_per_run}) as bigint) as p_ from h group by hilbert)")
     m = f"coalesce({doc_id}, 0)"
     return f"with {', '.join(ctes)} select {cols}, hilbert, f_ * {1 << 20} + case when p_ > 1 then (({m} % p_) + p_) % p_ + 1 else 0 end as run from h join k on hilbert = h_"
