@@ -8,7 +8,8 @@ found exactly by narrowing histograms.
 
 Target texts are the documents that ``labels`` calls good; raw text is everything.
 
-Defined cases: null and empty texts have log weight 0. Rows that tie at the cut, as repeated rows may, all stay.
+Defined cases: null and empty texts have log weight 0. Very long texts count with all their n-grams. Rows that tie at
+the cut, as repeated rows may, all stay. doc_id may have any type.
 Without target rows all weights are 0 and the sample is uniform. Null ids never join a label. Labels that repeat an id
 count once. Empty tables give empty results; extra columns are ignored.
 """
@@ -27,7 +28,7 @@ from . import common
 from . import textkit as tk
 from . import units as U
 
-BITS, FRACTION, SEED, BINS, BROADCAST_IDS = 16, 0.85, 11, 4096, 4_000_000
+BITS, FRACTION, SEED, BINS, BROADCAST_IDS = 16, 0.85, 11, 4096, 1_000_000
 
 
 def grams(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +57,7 @@ def models(docs: DataFrame, doc_id: str, text: str, good: DataFrame) -> np.ndarr
     n = 1 << BITS
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("txt"))
     ids = good.select(F.col(good.columns[0]).alias("id"), F.lit(True).alias("good")).distinct()
-    # a checked size: ids of more documents than BROADCAST_IDS are joined by a shuffle
+    # a checked size, some 60 bytes an id: ids of more documents than BROADCAST_IDS are joined by a shuffle
     ids = F.broadcast(ids) if good.count() <= BROADCAST_IDS else ids
     marked = rows.join(ids, "id", "left").select("txt", F.coalesce("good", F.lit(False)).alias("good"))
 
