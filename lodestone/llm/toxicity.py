@@ -1,10 +1,12 @@
 """Toxicity by weak supervision: a generative label model over lexicon and pattern voters, then a linear classifier.
 
-Voters. Lexicon voters fire when a word of the text begins with one of their stems. The stems are a short public list
-of English insults and stems mined from a bounded sample of labelled rows (``seed_rows``): word prefixes of 4 to 8
-letters that follow far more different words in toxic documents than in others. Sure stems, which others hardly ever
-have, fire alone; density voters fire when unsure stems begin at least a given share of the words. Pattern voters fire
-on runs of exclamation marks, on shouting and on texts in which no stem occurs. Each voter fires or abstains.
+Voters. Each fires or abstains. Public lexicon voters, one for each kind of insult in English and one for each of
+four other groups of languages, fire when a word of the text begins with one of their stems. Mined lexicon voters do
+the same with stems mined from labelled rows: word prefixes of 4 to 8 letters that follow far more different words in
+toxic documents than in others, which is the only way to learn the insults of a language that no public list has. The
+labelled sample is dealt in FOLDS parts, and each mined lexicon leaves another part out. It fires on a sure stem, which
+other documents hardly ever have, or when its stems, unsure ones included, begin enough of the words. Pattern voters look at no word list of insults: runs of exclamation marks, shouting, words masked by symbols, letters or words
+said over and over, and forms of address in every other sentence.
 
 Label model. The number of documents with each combination of votes is counted over all documents (at most 2**VOTERS
 rows). Expectation-maximisation fits the class prior and, for each class, how often each voter fires: its accuracy.
@@ -12,13 +14,17 @@ Voters that still depend on each other given the class are linked in a forest (m
 conditional mutual information), and the model is fitted again with each voter depending on its parent as well: its
 correlations. No label enters the fit but through the mined stems.
 
-Classifier. A logistic regression over how densely words and word prefixes occur in a text is trained by stochastic gradient descent
-with an L1 penalty on the posteriors of a bounded sample of documents (``train_docs``, of which at most TRAIN_CLEAN are
-clean ones) and judges every document.
+Classifier. A logistic regression over how densely words and word prefixes occur in a text is trained by stochastic
+gradient descent with an L1 penalty on the posteriors of a bounded sample of documents, drawn by the posterior: at most
+about ``train_toxic`` with one of at least one half, and ``train_clean`` others. It judges every document.
 
-Defined cases: null and empty texts are not toxic. Labels with nulls, or for ids that no document has, are ignored;
-without labels the public list stands alone. Repeated rows are judged alike. Empty tables give empty results; extra
-columns are ignored.
+Bounds: the sample of labelled rows (``seed_rows``) and that of the classifier, both of texts of up to ``train_bytes``;
+longer texts vote and are judged whole like others.
+
+Defined cases: null and empty texts are not toxic. Labels with nulls, or for ids that no document has, are ignored; of
+labels that repeat an id one counts; without labels the public lists stand alone. A probability of exactly one half is
+toxic. Repeated rows are judged alike; doc_id may have any type. Empty tables give empty results; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -36,13 +42,24 @@ from . import common
 from . import textkit as tk
 from . import units as U
 
-PUBLIC = ("idiot", "moron", "stupid", "loser", "scum", "pathetic", "worthless", "disgusting", "imbecile", "bastard", "bitch", "fuck", "slut", "retard")
-SURE_LEXICONS, DENSITIES, PATTERNS = 8, (0.008, 0.016, 0.03), 3
-LEXICONS = SURE_LEXICONS + len(DENSITIES)
+#: Stems of insults that are on many public lists of abusive words, by kind.
+PUBLIC = {
+    "intellect": "idiot moron imbecile stupid cretin dimwit halfwit retard dumbass nitwit simpleton brainless braindead",
+    "worth": "worthless pathetic loser scum trash garbage lowlife vermin parasite useless subhuman nobody deadbeat",
+    "disgust": "disgusting repulsive filthy vile repugnant sickening loathsome revolting scumbag slimy stinking",
+    "ridicule": "clown buffoon jackass laughingstock crybaby weakling coward creep freak weirdo",
+    "vulgar": "fuck motherfuck shit bullshit bitch bastard asshole cunt slut whore dickhead prick twat wanker douche",
+    "germanic": "trottel dummkopf schwachkopf arschloch abschaum wertlos widerlich erbärmlich blödmann vollidiot scheiß hurensohn missgeburt klootzak sukkel",
+    "romance": "imbécile crétin connard connasse salope ordure débile abruti merde putain enculé idiota estúpid imbécil gilipollas pendejo mierda cabrón payaso escoria asqueros inútil stronzo coglione",
+    "slavic": "идиот дурак дура тупой тупиц придур мразь ублюд ничтожеств сволоч дебил мерзав мерзк урод кретин",
+}
+YOU = "you your yours yourself u ur du dich dir dein deine ihr euch tu toi ton ta tes vous votre tú eres usted ustedes ты тебя тебе твой вы вас ваш".split()
+FOLDS, PATTERNS = 3, 6
+LEXICONS = len(PUBLIC) + FOLDS
 VOTERS = LEXICONS + PATTERNS
 #: Words added to a text's own before densities are taken, so that one word of a short text is no flood.
-SMOOTH = 50
-SEED_ROWS, TRAIN_DOCS, TRAIN_CLEAN = 4_000, 8_000, 5_000
+SMOOTH, DENSE, ADDRESS = 50, 0.01, 0.03
+SEED_ROWS, TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_BYTES = 6_000, 4_000, 5_000, 32_000
 PREFIXES = (4, 5, 6, 8)
 LIFT, LEAST, SURE = 10.0, 0.003, 0.97
 
@@ -115,16 +132,23 @@ def fit_label_model(votes: np.ndarray, counts: np.ndarray, voters: int = VOTERS,
     return maximise(guess)
 
 
-def mine(docs: DataFrame, labels: DataFrame, seed_rows: int = SEED_ROWS, seed: int = 3) -> list[list[str]]:
-    """Sure stems in SURE_LEXICONS groups, then the unsure ones. ``docs``: id and txt, ``labels``: id and toxic (0/1)."""
+def mine(docs: DataFrame, labels: DataFrame, seed_rows: int = SEED_ROWS, seed: int = 3, train_bytes: int = TRAIN_BYTES) -> list[list[str]]:
+    """The stems of the lexicon voters, then the unsure ones of the mined ones. ``docs``: id and txt, ``labels``: id and toxic (0/1)."""
     known = labels.where("id is not null and toxic is not null").dropDuplicates(["id"])
     share = min(1.0, 0.9 * seed_rows / max(known.count(), 1))
     some = known.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20))).limit(seed_rows)
-    got = docs.join(F.broadcast(some), "id").where("txt is not null").select("txt", "toxic").toArrow()  # some: bounded by seed_rows
-    toxic = got.column("toxic").to_numpy().astype(bool)
-    stems, unsure = _stems(pa.array(got.column("txt").to_pylist(), pa.string()), toxic) if 0 < toxic.sum() < len(toxic) else ([], [])
-    stems += [s for s in PUBLIC if not any(s.startswith(t) for t in stems)]
-    return [*(stems[k::SURE_LEXICONS] for k in range(SURE_LEXICONS)), unsure]
+    got = docs.where(F.octet_length("txt") <= train_bytes).join(F.broadcast(some), "id").select("txt", "toxic", F.xxhash64("id").alias("h")).orderBy("h", "txt").toArrow()  # some: bounded by seed_rows
+    toxic, col = got.column("toxic").to_numpy().astype(bool), pa.array(got.column("txt").to_pylist(), pa.string())
+    fold = np.arange(len(toxic)) % FOLDS
+    mined: list[list[str]] = []
+    weak: list[list[str]] = []
+    for k in range(FOLDS):
+        rest = np.flatnonzero(fold != k)
+        part = toxic[rest]
+        sure, unsure = _stems(col.take(pa.array(rest)), part) if 0 < part.sum() < len(part) else ([], [])
+        mined.append(sure)
+        weak.append(unsure)
+    return [*(v.split() for v in PUBLIC.values()), *mined, *weak]
 
 
 def _stems(col: pa.Array, toxic: np.ndarray) -> tuple[list[str], list[str]]:
@@ -191,28 +215,41 @@ def _prefixes(col: pa.Array, n: int) -> tuple[tk.Words, np.ndarray, np.ndarray,
 
 
 def _stem_table(groups: list[list[str]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By length in bytes: sorted hashes of stems and the bit of their voter."""
-    table: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    by: dict[int, list[tuple[bytes, int]]] = {}
+    """By length in bytes: sorted hashes of stems and the bits of their voters."""
+    bits: dict[bytes, int] = {}
     for k, stems in enumerate(groups):
         for s in stems:
-            by.setdefault(len(s.encode()), []).append((s.encode(), k))
-    for n, pairs in by.items():
-        raw = np.frombuffer(b"".join(s for s, _ in pairs), np.uint8)
-        at = np.arange(len(pairs)) * n
+            bits[s.encode()] = bits.get(s.encode(), 0) | 1 << k
+    by: dict[int, list[bytes]] = {}
+    for s in bits:
+        by.setdefault(len(s), []).append(s)
+    table: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for n, stems in by.items():
+        raw = np.frombuffer(b"".join(stems), np.uint8)
+        at = np.arange(len(stems)) * n
         h = tk.span_hash(raw, at, at + n)
         order = np.argsort(h)
-        table[n] = (h[order], np.array([1 << pairs[i][1] for i in order], np.int64))
+        table[n] = (h[order], np.array([bits[stems[i]] for i in order], np.int64))
     return table
 
 
+def _hashes(words: list[str]) -> np.ndarray:
+    raw = np.frombuffer("".join(words).encode(), np.uint8)
+    end = np.cumsum([len(w.encode()) for w in words])
+    return np.sort(tk.span_hash(raw, np.concatenate([[0], end[:-1]]), end))
+
+
+_you = _hashes(YOU)
+
+
 def votes_of(col: pa.Array, table: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Bit mask of the voters that fire, per text."""
     w = tk.words_of(col)
-    out = np.zeros(len(w.first) - 1, np.int64)
+    n_rows = len(w.first) - 1
+    out = np.zeros(n_rows, np.int64)
     p, inv = tk._power(len(w.raw) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((w.raw.astype(np.uint64) + np.uint64(1)) * p[: len(w.raw)], dtype=np.uint64)])
-    unsure = np.zeros(len(out))
+    dense = np.zeros((FOLDS, n_rows), np.int64)
     for n, (known, bit) in table.items():
         long = np.flatnonzero(w.end - w.start >= n)
         a = w.start[long]
@@ -220,20 +257,34 @@ def votes_of(col: pa.Array, table: dict[int, tuple[np.ndarray, np.ndarray]]) ->
         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
         hit = np.flatnonzero(known[at] == h)
         row, fired = w.row[long[hit]], bit[at[hit]]
-        weak = fired == 1 << SURE_LEXICONS
-        np.bitwise_or.at(out, row[~weak], fired[~weak])
-        unsure += np.bincount(row[weak], minlength=len(out))
-    for k, least in enumerate(DENSITIES):
-        out |= (unsure >= least * (w.counts + SMOOTH)).astype(np.int64) << (SURE_LEXICONS + k)
+        np.bitwise_or.at(out, row, fired & ((1 << LEXICONS) - 1))
+        for k in range(FOLDS):
+            both = 1 << (len(PUBLIC) + k) | 1 << (LEXICONS + k)
+            dense[k] += np.bincount(row[(fired & both) != 0], minlength=n_rows)
+    for k in range(FOLDS):
+        out |= (dense[k] >= DENSE * (w.counts + SMOOTH)).astype(np.int64) << (len(PUBLIC) + k)
     raw, off = tk.string_buffers(col)
+    upper, lower = (raw >= 65) & (raw <= 90), (raw >= 97) & (raw <= 122)
+    letter = upper | lower
     bang = np.zeros(len(raw), bool)
     bang[1:] = (raw[1:] == 33) & (raw[:-1] == 33)
-    upper, lower = (raw >= 65) & (raw <= 90), (raw >= 97) & (raw <= 122)
-    shout = tk.segment_sum(upper, off) > tk.segment_sum(lower, off)
-    clean = (out == 0) & (w.counts > 0)
-    out |= (tk.segment_sum(bang, off) > 0).astype(np.int64) << LEXICONS
-    out |= shout.astype(np.int64) << (LEXICONS + 1)
-    out |= clean.astype(np.int64) << (LEXICONS + 2)
+    symbol = (raw == 42) | (raw == 64) | (raw == 35) | (raw == 36) | (raw == 37)  # * @ # $ %
+    masked, stretched = np.zeros(len(raw), bool), np.zeros(len(raw), bool)
+    if len(raw) >= 4:
+        masked[3:] = letter[:-3] & symbol[1:-2] & symbol[2:-1] & letter[3:]
+        stretched[3:] = letter[3:] & (raw[3:] == raw[2:-1]) & (raw[3:] == raw[1:-2]) & (raw[3:] == raw[:-3])
+        for mark in (masked, stretched):  # not across texts
+            inner = off[1:-1]
+            for k in range(3):
+                mark[np.minimum(inner + k, len(raw) - 1)] = False
+    again = np.zeros(len(w.hash), bool)
+    if len(again) >= 4:
+        again[3:] = (w.hash[3:] == w.hash[2:-1]) & (w.hash[3:] == w.hash[1:-2]) & (w.hash[3:] == w.hash[:-3]) & (w.row[3:] == w.row[:-3])
+    at = np.minimum(np.searchsorted(_you, w.hash), len(_you) - 1)
+    address = np.bincount(w.row[_you[at] == w.hash], minlength=n_rows)
+    patterns = (tk.segment_sum(bang, off) > 0, tk.segment_sum(upper, off) > tk.segment_sum(lower, off), tk.segment_sum(masked, off) > 0, tk.segment_sum(stretched, off) > 0, tk.segment_sum(again, w.first) > 0, address >= ADDRESS * (w.counts + SMOOTH))
+    for k, fires in enumerate(patterns):
+        out |= fires.astype(np.int64) << (LEXICONS + k)
     return out
 
 
@@ -322,31 +373,27 @@ def train_classifier(texts: list[str], target: np.ndarray, epochs: int = 8, rate
     return Classifier(keys[some], weight[some], bias)
 
 
-def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", seed_rows: int = SEED_ROWS, train_docs: int = TRAIN_DOCS, seed: int = 3) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", seed_rows: int = SEED_ROWS, train_toxic: int = TRAIN_TOXIC, train_clean: int = TRAIN_CLEAN, train_bytes: int = TRAIN_BYTES, seed: int = 3) -> DataFrame:
     """(doc_id, votes, posterior, probability, flagged) of all documents; flagged: probability of at least one half."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("txt"))
     lab = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{toxic}`").cast("int").alias("toxic"))
-    table = _stem_table(mine(rows, lab, seed_rows, seed))
-
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << VOTERS, np.int64)
-        for batch in batches:
-            for part in tk.byte_slices(batch, "txt"):
-                total += np.bincount(votes_of(U.text_column(part, "txt"), table), minlength=1 << VOTERS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["votes", "n"])
-
-    seen = rows.select("txt").mapInArrow(vote, "votes bigint, n bigint").groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").toArrow()
+    table = _stem_table(mine(rows, lab, seed_rows, seed, train_bytes))
+    # 16 bytes a document: what the model counts, and what the sample is drawn by
+    key = F.xxhash64("id", "txt", F.lit(seed + 1))
+    ballots = common.cut(common.append(rows.withColumn("h", key), "txt", lambda part: {"votes": pa.array(votes_of(U.text_column(part, "txt"), table))}, [("votes", T.LongType())], ["h"]))
+    seen = ballots.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).orderBy("votes").toArrow()
     kinds, counts = seen.column("votes").to_numpy(), seen.column("n").to_numpy().astype(float)
     model = fit_label_model(kinds, counts) if len(kinds) else LabelModel(0.01, [-1] * VOTERS, np.full((2, VOTERS, 2), 0.5))
-    total = counts.sum()
-    share = int(min(1.0, train_docs / max(total, 1)) * (1 << 30))
-    sample = rows.where("txt is not null").where(F.pmod(F.xxhash64("id", "txt", F.lit(seed + 1)), F.lit(1 << 30)) < share).select("txt").toArrow().column("txt").to_pylist()
-    sample.sort()
-    target = np.concatenate([np.zeros(0), *(model.posterior(votes_of(part, table)) for _, part in _slices(pa.array(sample, pa.string())))])
-    clean = np.flatnonzero(target < 0.5)
-    use = np.sort(np.concatenate([np.flatnonzero(target >= 0.5), np.random.default_rng(seed).permutation(clean)[:TRAIN_CLEAN]])).astype(np.int64)
-    judge = train_classifier([sample[i] for i in use], target[use])
+    guess = model.posterior(kinds)
+    bad = [int(v) for v in kinds[guess >= 0.5]]
+    share = lambda most, n: int(min(1.0, most / max(n, 1)) * (1 << 30))
+    is_bad = F.col("votes").isin(bad) if bad else F.lit(False)
+    drawn = ballots.where(F.pmod("h", F.lit(1 << 30)) < F.when(is_bad, share(train_toxic, counts[guess >= 0.5].sum())).otherwise(share(train_clean, counts[guess < 0.5].sum())))
+    picked = drawn.select("h").distinct().limit(2 * (train_toxic + train_clean))  # about half of that are drawn
+    sample = rows.where(F.octet_length("txt") <= train_bytes).withColumn("h", key).join(F.broadcast(picked), "h").select("h", "txt").dropDuplicates(["h"]).toArrow()
+    texts = [t for _, t in sorted(zip(sample.column("h").to_pylist(), sample.column("txt").to_pylist()))]
+    target = np.concatenate([np.zeros(0), *(model.posterior(votes_of(part, table)) for _, part in _slices(pa.array(texts, pa.string())))])
+    judge = train_classifier(texts, target)
 
     def make(part: pa.RecordBatch) -> dict[str, pa.Array]:
         col = U.text_column(part, "txt")
