@@ -6,11 +6,14 @@ byte-level BPE with the usual public pre-token pattern returns, so tokens of a t
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 from . import textkit as tk
 
+LONG = 256
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 
@@ -51,6 +54,9 @@ class UnitCache:
         if len(start) < 2:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         h = tk.span_hash(raw, start[:-1], start[1:])
+        for i in np.flatnonzero(np.diff(start) >= LONG).tolist():
+            # polynomials modulo 2**64 have known collisions from 1,024 bytes on
+            h[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : start[i + 1]].tobytes(), digest_size=8).digest(), "big")
         uniq, at, inverse = np.unique(h, return_index=True, return_inverse=True)
         if len(self.keys) > self.limit:
             self.clear()
