@@ -10,8 +10,11 @@ bytes), ``width`` on the other. ``tight`` was chosen on the labelled rows of eve
 that costs at most 1 % of the clean documents more than ``width`` on both sides. Cells of fewer than ``min_cell`` documents take the band of their language, and those
 of small languages the band over everything.
 
-Defined cases: null texts count as empty and are rejected (``empty``). Repeated rows are each measured and count
-each. An empty table gives an empty result. Extra columns are left alone, clashing names included. Rows whose doc_id
+Quartiles are those of the measures rounded down to a grid of 1/1024, with linear interpolation. A value on the edge of
+its band is in it.
+
+Defined cases: null texts count as empty and are rejected (``empty``). Very long texts are measured whole. Repeated rows
+are each measured and count each. An empty table gives an empty result. Extra columns are left alone, clashing names included. Rows whose doc_id
 is null are measured like others.
 """
 
@@ -31,7 +34,7 @@ MEASURES = ("chars_per_token", "chars_per_piece", "byte_share", "token_entropy")
 FLOORS = {"chars_per_token": 0.08, "chars_per_piece": 0.08, "byte_share": 0.02, "token_entropy": 0.15}
 FIELDS = [("script", T.StringType()), ("n_tokens", T.LongType()), *((m, T.DoubleType()) for m in MEASURES)]
 JUNK = {"chars_per_token": -1, "chars_per_piece": -1, "byte_share": 1, "token_entropy": -1}  # the side where it lies
-WIDTH, TIGHT, MIN_CELL, BROADCAST_CELLS = 5.0, 2.75, 50, 100_000
+WIDTH, TIGHT, MIN_CELL, BROADCAST_CELLS, GRID = 5.0, 2.75, 50, 100_000, 1024.0
 
 _caches: dict[tuple, U.UnitCache] = {}
 _SCRIPTS = ("latin", "greek", "cyrillic", "semitic", "indic", "east_asian", "other", "none")
@@ -102,12 +105,15 @@ def judge(measured: DataFrame, language: str = "lang", prefix: str = "", width:
     c = lambda n: F.col(f"`{p}{n}`")
     lang = F.col(f"`{language}`").cast("string") if language in measured.columns else F.lit(None).cast("string")
     have = measured.withColumns({p + "key": F.when(F.trim(lang) != "", lang).otherwise(F.concat(F.lit("script:"), c("script"))), p + "bin": F.floor(F.log2(F.greatest(c("n_tokens"), F.lit(1)))).cast("int")})
-    bands = lambda by: [F.count(F.lit(1)).alias(f"{p}n{by}"), *(F.percentile_approx(c(m), [0.25, 0.5, 0.75], 1000).alias(f"{p}{m}{by}") for m in MEASURES)]
-    some = have.filter(c("n_tokens") > 0)
+    # histograms on a fixed grid: the same whatever the partitions, and bounded by the range of the measures
+    told = F.explode(F.array(*(F.struct(F.lit(m).alias("m"), (F.floor(c(m) * GRID) / GRID).alias("v")) for m in MEASURES))).alias("x")
+    hist = common.cut(have.filter(c("n_tokens") > 0).select(c("key").alias("key"), c("bin").alias("bin"), told).groupBy("key", "bin", "x.m", "x.v").agg(F.count(F.lit(1)).alias("n")))
     out = have
     for by, keys in (("0", []), ("1", ["key"]), ("2", ["key", "bin"])):
+        quarters = hist.groupBy(*keys, "m", "v").agg(F.sum("n").alias("n")).groupBy(*keys, "m").agg(F.percentile("v", [0.25, 0.5, 0.75], F.col("n")).alias("q"), F.sum("n").alias("n"))
+        wide = [F.max("n").alias(f"{p}n{by}"), *(F.max(F.when(F.col("m") == m, F.col("q"))).alias(f"{p}{m}{by}") for m in MEASURES)]
         # a row per language and size: once counted, they are sent to the texts while they are few
-        stats = common.cut(some.groupBy(*(c(k).alias(f"{p}{k}_{by}") for k in keys)).agg(*bands(by)))
+        stats = common.cut(quarters.groupBy(*(F.col(k).alias(f"{p}{k}_{by}") for k in keys)).agg(*wide))
         if keys:
             stats = F.broadcast(stats) if stats.count() <= BROADCAST_CELLS else stats
             on = [c(k) == F.col(f"`{p}{k}_{by}`") for k in keys]
