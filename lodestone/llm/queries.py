@@ -99,7 +99,8 @@ def op6_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All maximal repeats of at least 50 words with all their occurrences."""
+    """All places at which maximal repeats of at least 50 words begin, with the longest one and the intervals that tell all
+    occurrences of each."""
     return repeats_.repeats(_table(spark, sf_dir, "documents"))
 
 

@@ -91,6 +91,20 @@ def test_decisions_take_effect(spark, docs):
     assert cut[41].text.split() == ["end"] and cut[41].n_chars == len(cut[41].text)
 
 
+def test_run_leaves_nothing_behind(spark, docs, tmp_path):
+    from lodestone.llm import common
+
+    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    folder = common.shared_folder(spark).removeprefix("file://")
+    tables = lambda: {x for x in os.listdir(folder) if os.path.exists(f"{folder}/{x}/_SUCCESS")}
+    before = tables()
+    bins = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    packed = {d for r in bins for d in r.doc_ids}
+    assert tables() <= before
+    assert set(range(2, 30)) - {4} <= packed and not packed & {30, 31, 32, 33, 34}
+    assert all(sum(r.lengths) == r.used <= packing.CAPACITY for r in bins)
+
+
 def test_fertility_defined_cases(docs):
     got = {r.doc_id: r for r in fertility.assess(docs.where("doc_id is not null")).collect()}
     assert got[32].reject == got[33].reject == "empty" and got[5].reject is None
@@ -101,6 +115,31 @@ def test_fertility_defined_cases(docs):
     assert got[5].chars_per_token == pytest.approx(len(prose(5, 120)) / len(ids))
 
 
+def test_bands_against_brute_force(spark):
+    """Every verdict again from all measures, with numpy percentiles of the values on the grid."""
+    rng = np.random.default_rng(11)
+    rows = [(k, ("en", "de", None)[k % 3], "latin", int(2 ** rng.uniform(4, 9)), *(float(x) for x in rng.normal((4, 3.5, 0.1, 6), (0.4, 0.3, 0.05, 0.7)))) for k in range(900)]
+    rows += [(900 + k, "xx", "latin", 30, 4.0, 3.5, 0.0, 6.0) for k in range(4)] + [(910, "en", "latin", 0, 0.0, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "doc_id int, lang string, script string, n_tokens bigint, chars_per_token double, chars_per_piece double, byte_share double, token_entropy double")
+    key = lambda r: r[1] or "script:latin"
+    size = lambda r: int(math.log2(r[3]))
+    some = [r for r in rows if r[3]]
+    want = {}
+    for r in rows:
+        want[r[0]] = None if r[3] else "empty"
+        for i, m in enumerate(fertility.MEASURES if r[3] else ()):
+            cells = [[x for x in some if key(x) == key(r) and size(x) == size(r)], [x for x in some if key(x) == key(r)], some]
+            cell = next(c for c in cells if len(c) >= fertility.MIN_CELL or c is some)
+            lo, mid, hi = np.percentile([math.floor(x[4 + i] * 1024) / 1024 for x in cell], (25, 50, 75))
+            spread = max((hi - lo) / 1.349, fertility.FLOORS[m])
+            off = (r[4 + i] - mid) * fertility.JUNK[m]
+            if want[r[0]] is None and (off > fertility.TIGHT * spread or off < -fertility.WIDTH * spread):
+                want[r[0]] = m
+    for parts in (1, 7):
+        assert {r.doc_id: r.reject for r in fertility.judge(df.repartition(parts)).collect()} == want
+    assert 5 < sum(v is not None for v in want.values()) < 300
+
+
 def test_byte_fallback_and_bands(spark):
     rows = [(k, prose(k, 200), "en") for k in range(80)] + [(100, "漢字仮名交じり文" * 40, "en"), (101, "Ly " * 400, "en")]
     got = {r.doc_id: r for r in fertility.assess(spark.createDataFrame(rows, "doc_id int, text string, lang string")).collect()}
@@ -252,6 +291,51 @@ def test_language_accuracy(spark):
     assert langid.fit(df.withColumn("lang", F.lit(None).cast("string"))).languages == []
 
 
+def test_language_scores_against_brute_force():
+    """Probabilities from the average of gram scores, gram by gram in plain Python."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    kinds = (["ba", "du", "ki", "lo"], ["stra", "pft", "ung", "sch"])
+    texts = [" ".join("".join(rng.choice(kinds[k % 2], 3)) for _ in range(25)) for k in range(400)]
+    model = langid.train(texts, [("aa", "zz")[k % 2] for k in range(400)])
+    some = [texts[0], texts[1], "Abba cede", "", None, "123", "漢字かな交じり文" * 4, "qqrr ppoo nnmm llkk jjii", "a"]
+    got = langid.predict(model, pa.array(some, pa.string()))
+    P, M = int(langid.tk._P), (1 << 64) - 1
+    for text, lang, prob, ok in zip(some, got[0].to_pylist(), got[1], got[2]):
+        data = [b if 97 <= b < 123 or b >= 128 else 32 for b in (text or "").lower().encode()]
+        total, n = np.zeros(3), 0
+        for size in langid.GRAMS:
+            for i in range(len(data) - size + 1):
+                g = data[i : i + size]
+                if any(b != 32 for b in g):
+                    acc = size
+                    for b in g:
+                        acc = (acc * P + b + 1) & M
+                    acc = (acc * 0xBF58476D1CE4E5B9) & M
+                    total += model.table[acc >> (64 - langid.BITS)]
+                    n += 1
+        if not n:
+            assert (lang, prob, ok) == ("und", 0.0, False)
+            continue
+        e = np.exp((total / n + model.bias) / model.temperature)
+        e /= e.sum()
+        assert prob == pytest.approx(e[:2].max(), abs=1e-5) and lang == ["aa", "zz", "und"][int(e.argmax())]
+        assert ok == (lang != "und" and prob >= model.threshold)
+    assert got[0].to_pylist()[:2] == ["aa", "zz"] and got[2][:2].all() and not got[2][6:8].any()
+
+
+def test_one_known_language_rejects_others(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null and length(text) > 300")
+    model = langid.fit(docs.where("lang = 'en'"))
+    assert model.languages == ["en"]
+    foreign = spark.createDataFrame([(10**6, "Это предложение написано на совсем другом языке, и модель не должна его узнать."), (10**6 + 1, "這是用另一種語言寫的句子模型不應該認出它"), (10**6 + 2, "xqzv jkwq zzxv qqjk vwxz kjqx zxqv wvkj")], "doc_id bigint, text string")
+    assert not any(r.accepted for r in langid.identify(foreign, model).collect())
+    share = {r.lang: r.s for r in langid.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.avg(F.col("accepted").cast("double")).alias("s")).collect()}
+    print("accepted by a model of English alone", share)
+    assert share["en"] > 0.9 and max(v for k, v in share.items() if k != "en") < 0.5
+
+
 def test_hilbert(spark, docs):
     grid = np.array([(x, y, z) for x in range(16) for y in range(16) for z in range(16)])
     walk = grid[np.argsort(hilbert.curve(grid))]
@@ -263,6 +347,16 @@ def test_hilbert(spark, docs):
     assert got.select("_run", F.spark_partition_id().alias("p")).distinct().groupBy("_run").count().where("count > 1").count() == 0
 
 
+def test_hilbert_prunes(spark, tmp_path):
+    """Files of runs, and how many of them a reader of a box must open, by their least and largest values."""
+    rng = np.random.default_rng(9)
+    rows = [(k, "t", f"l{int(rng.integers(0, 16))}", f"s{int(rng.integers(0, 16))}", int(rng.integers(0, 4000))) for k in range(20_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    runs = hilbert.manifest(hilbert.shard(df, rows_per_run=200)).collect()
+    box = lambda r: r.min_lang <= "l3" <= r.max_lang and r.min_source <= "s5" <= r.max_source and r.min_n_chars <= 1500 and r.max_n_chars >= 1000
+    assert len(runs) >= 90 and sum(box(r) for r in runs) <= 0.06 * len(runs)
+
+
 def test_hilbert_sql(spark, docs):
     import duckdb
 
@@ -279,28 +373,59 @@ def test_resample_against_brute_force(docs, labels):
     good = labels.where("quality = 1").select("doc_id")
     import collections
 
+    import struct
+
+    import xxhash
+
+    M, P = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def mix(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & M
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & M
+        return x ^ x >> 31
+
+    def grams(text):
+        import re
+
+        h = [mix(sum((b + 1) * pow(P, i, 1 << 64) for i, b in enumerate(w)) & M) for w in re.findall(rb"[^\t\n\x0b\x0c\r\x1c-\x20]+", (text or "").encode())]
+        return [x >> 48 for x in [*h, *(mix((a * P + b) & M) for a, b in zip(h, h[1:]))]]
+
+    def noise(r):  # the engine's chain of hashes: nulls leave the seed as it is
+        h = xxhash.xxh64_intdigest(struct.pack("<i", resample.SEED), 42)
+        h = h if r.doc_id is None else xxhash.xxh64_intdigest(struct.pack("<q", r.doc_id), h)
+        h = h if r.text is None else xxhash.xxh64_intdigest(r.text.encode(), h)
+        return -math.log(-math.log(((h >> 11) + 0.5) / (1 << 53)))
+
     ids = {r.doc_id for r in good.collect()}
     raw, target = collections.Counter(), collections.Counter()
-    import pyarrow as pa
-
     rows = docs.collect()
     for r in rows:
-        b, _ = resample.grams(pa.array([r.text], pa.string()))
-        raw.update(b.tolist())
+        raw.update(grams(r.text))
         if r.doc_id in ids and r.doc_id is not None:
-            target.update(b.tolist())
+            target.update(grams(r.text))
     n = 1 << resample.BITS
     a, z = sum(raw.values()) + n, sum(target.values()) + n
-    weight = lambda t: sum(math.log((target[x] + 1) / z) - math.log((raw[x] + 1) / a) for x in resample.grams(pa.array([t], pa.string()))[0].tolist())
+    weight = lambda t: sum(math.log((target[x] + 1) / z) - math.log((raw[x] + 1) / a) for x in grams(t))
     got = resample.resample(docs, good, fraction=1.0).collect()
     assert len(got) == len(rows)
     assert sorted(r.log_weight for r in got) == pytest.approx(sorted(weight(r.text) for r in rows), abs=1e-6)
     keys = sorted((r.gumbel_key for r in got), reverse=True)
+    assert keys == pytest.approx(sorted((weight(r.text) + noise(r) for r in rows), reverse=True), abs=1e-6)
     some = resample.resample(docs, good, fraction=0.5).collect()
     k = round(0.5 * len(rows))
     assert sorted((r.gumbel_key for r in some), reverse=True) == [x for x in keys if x >= keys[k - 1]]
 
 
+def test_ties_at_the_cut_stay(spark):
+    rows = [(7, "same words here")] * 6 + [(k, f"other {k}") for k in range(10, 14)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    keys = sorted((r.gumbel_key for r in resample.resample(df, df.select("doc_id").limit(0), fraction=1.0).collect()), reverse=True)
+    got = [r.gumbel_key for r in resample.resample(df, df.select("doc_id").limit(0), fraction=0.5).collect()]
+    assert sorted(got, reverse=True) == [x for x in keys if x >= keys[4]] and len(got) >= 5
+
+
 def test_kth_largest(spark):
     rng = np.random.default_rng(1)
     for values in (rng.normal(0, 1e6, 500).tolist(), [1.0] * 20, [0.0, 1e300, -1e300, 5.0], [1.0, 1.0 + 2**-52]):
@@ -331,6 +456,25 @@ def test_packing_against_first_fit(docs):
         assert len(free) == len(bins) and [64 - f for f in free] == [r.used for r in bins]
 
 
+def test_packing_of_string_ids_and_hot_rows(spark):
+    rows = [(f"u{k}", "a b c d " * (k % 9)) for k in range(40)] + [("hot", "x y z w")] * 500 + [(None, "n o p q")] * 20
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    got = packing.pack(df, group_docs=50, capacity=16).collect()
+    packed = collections.Counter()
+    for r in got:
+        assert sum(r.lengths) == r.used <= 16
+        for d, n in zip(r.doc_ids, r.lengths):
+            packed[d] += n
+    want = collections.Counter()
+    for d, t in rows:
+        want[d] += -(-len(t) // 4)
+    assert packed == +want
+    sizes = collections.Counter()
+    for r in got:
+        sizes[r.group] += len(r.doc_ids)
+    assert max(sizes.values()) < 120  # equal rows are spread
+
+
 def test_packed_sizes_are_tokens(spark, docs):
     enc = bpe.vocab.byte_bpe(bpe.vocab.DEFAULT_FOLDER).enc
     some = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
@@ -371,6 +515,14 @@ def test_label_model_finds_accuracies_and_correlations():
     fire.append(np.where(rng.random(40000) < 0.95, fire[3], ~fire[3]))  # says what the fourth says
     votes, counts = np.unique(sum(f.astype(int) << k for k, f in enumerate(fire)), return_counts=True)
     model = toxicity.fit_label_model(votes, counts.astype(float), voters=5, lexicons=5)
+    # the same posterior by the chain rule, document by document
+    for v, got in zip(votes.tolist(), model.posterior(votes)):
+        joint = [1 - model.prior, model.prior]
+        for c in (0, 1):
+            for j, p in enumerate(model.parent):
+                f = model.fires[c, j, v >> p & 1 if p >= 0 else 0]
+                joint[c] *= f if v >> j & 1 else 1 - f
+        assert got == pytest.approx(joint[1] / sum(joint))
     assert {(3, 4), (4, 3)} & {(j, p) for j, p in enumerate(model.parent)}
     assert model.prior == pytest.approx(0.15, abs=0.05)
     sure = model.posterior(votes)
@@ -378,6 +530,56 @@ def test_label_model_finds_accuracies_and_correlations():
     assert right / len(y) > 0.93
 
 
+def slow_votes(text, groups):
+    """The votes of a text, voter by voter, without hashes."""
+    import re
+
+    words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", (text or "").lower())
+    many = len(words) + toxicity.SMOOTH
+    n = toxicity.LEXICONS
+    fires = [any(w.startswith(s) for w in words for s in g) for g in groups[:n]]
+    for k in range(toxicity.FOLDS):
+        sure, unsure = groups[n - toxicity.FOLDS + k], groups[n + k]
+        fires[n - toxicity.FOLDS + k] |= sum(w.startswith(s) for w in words for s in {*sure, *unsure}) >= toxicity.DENSE * many
+    t = text or ""
+    fires.append("!!" in t)
+    fires.append(len(re.findall("[A-Z]", t)) > len(re.findall("[a-z]", t)))
+    fires.append(re.search(r"[A-Za-z][*@#$%]{2}[A-Za-z]", t) is not None)
+    fires.append(re.search(r"([A-Za-z])\1\1\1", t) is not None)
+    fires.append(any(len(set(words[i : i + 4])) == 1 for i in range(len(words) - 3)))
+    fires.append(sum(w in toxicity.YOU for w in words) >= toxicity.ADDRESS * many)
+    return sum(int(f) << k for k, f in enumerate(fires))
+
+
+def test_votes_and_scores_against_brute_force():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(12)
+    bits = ["idiot", "Idioten", "the", "of", "you", "дурак", "f**king", "sooooo", "stop!!", "HA", "ha", "Trash", "erbärmlich", "zorgle", "zorgling", "blib", "$$ x", "%%", "naïve", "", "\n"]
+    texts = [" ".join(rng.choice(bits, int(rng.integers(0, 40)))) for _ in range(400)] + [None, "", "HA HA HA HA", "aaa", "a", "*", "x**", "**y"]
+    groups = [*(v.split() for v in toxicity.PUBLIC.values()), ["zorgl"], ["zorgle", "blib"], ["nothing"], ["th", "idio"], [], ["blib", "of"]]
+    assert len(groups) == toxicity.LEXICONS + toxicity.FOLDS
+    col = pa.array(texts, pa.string())
+    assert toxicity.votes_of(col, toxicity._stem_table(groups)).tolist() == [slow_votes(t, groups) for t in texts]
+    judge = toxicity.train_classifier([t or "" for t in texts], np.array([float("idiot" in (t or "").lower()) for t in texts]))
+    h, row, scale = toxicity.features(col)
+    weight = dict(zip(judge.keys.tolist(), judge.weights.tolist()))
+    for k, got in enumerate(judge.probability(col)):
+        score = judge.bias + sum(weight.get(x, 0.0) for x in h[row == k].tolist()) * scale[k]
+        assert got == pytest.approx(1 / (1 + math.exp(-score)))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_toxicity_held_out(spark):
+    """Labels of even ids for the mined lexicons, those of odd ids for the score."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.classify(docs, labels.where("doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1"), "doc_id").select("toxic", "flagged").collect()
+    caught = np.mean([r.flagged for r in got if r.toxic])
+    wrong = np.mean([r.flagged for r in got if not r.toxic])
+    print("held out: toxic caught, others flagged", caught, wrong, len(got))
+    assert caught >= 0.85 and wrong <= 0.01
+
+
 def test_toxicity_on_labelled_rows(spark):
     rng = np.random.default_rng(8)
     rows, lab = [], []
