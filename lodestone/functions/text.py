@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = "([0-9A-Za-zА-Яа-яЁё]+)"
+LOWER_WORD = "([0-9a-zа-яё]+)"
 NBSP = " "
 
 
@@ -33,8 +34,8 @@ def slug(c: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    """Lower-case word tokens."""
-    return F.transform(F.regexp_extract_all(c, F.lit(WORD), 1), F.lower)
+    """Word tokens of the lower-case text."""
+    return F.regexp_extract_all(F.lower(c), F.lit(LOWER_WORD), 1)
 
 
 def middle_truncate(c: Column, most: int, marker: str = " [...] ") -> Column:
@@ -137,3 +138,50 @@ def reference(c: Column) -> Column:
 
 def sha1_prefix(c: Column, length: int = 12) -> Column:
     return F.left(F.sha1(c), F.lit(length))
+
+
+def one_line(c: Column) -> Column:
+    """All runs of Unicode white space become one space; ends are cut."""
+    return F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), "^ | $", "")
+
+
+def numbering_value(c: Column) -> Column:
+    """A numbering label without opening brackets in front and points and closing brackets behind."""
+    return F.regexp_replace(F.trim(c), r"^[(\[\s]+|[.)\]\s]+$", "")
+
+
+def end_truncate(c: Column, most: int, marker: str = "…") -> Column:
+    """The beginning of texts longer than ``most`` characters, with a marker, that long in all."""
+    return F.when(F.length(c) > most, F.concat(F.rtrim(F.left(c, F.lit(most - len(marker)))), F.lit(marker))).otherwise(c)
+
+
+def keep_end(c: Column, most: int, marker: str = "… ") -> Column:
+    """The end of texts longer than ``most`` characters behind a marker, that long in all."""
+    return F.when(F.length(c) > most, F.concat(F.lit(marker), F.ltrim(F.right(c, F.lit(most - len(marker)))))).otherwise(c)
+
+
+def redact_url(c: Column) -> Column:
+    """An address without its password."""
+    return F.regexp_replace(c, r"(?<=://)([^/@:\s]*):[^/@\s]*@", "$1:***@")
+
+
+def base_url(c: Column) -> Column:
+    """An address without white space, query, fragment and slashes at its end."""
+    return F.regexp_replace(F.regexp_replace(F.trim(c), r"[?#].*$", ""), "/+$", "")
+
+
+def chat_endpoint(c: Column) -> Column:
+    """Where a service at a base address completes chats."""
+    b = base_url(c)
+    return F.when(b.rlike("/chat/completions$"), b).when(b.rlike("/v\\d+$"), F.concat(b, F.lit("/chat/completions"))).otherwise(F.concat(b, F.lit("/v1/chat/completions")))
+
+
+def safe_name(c: Column) -> Column:
+    """The last part of a URL-encoded path without NUL; ``document.docx`` where nothing is left."""
+    name = F.trim(F.element_at(F.split(F.translate(F.url_decode(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25")), "\x00", ""), r"[/\\]"), -1))
+    return F.when(F.coalesce(name, F.lit("")) == "", "document.docx").otherwise(name)
+
+
+def relative(c: Column) -> Column:
+    """Whether a path is relative and stays below its root."""
+    return F.coalesce((F.trim(c) != "") & ~c.rlike(r"^(?:/|\\|[A-Za-z]:)") & ~c.rlike(r"(?:^|[/\\])\.\.(?:[/\\]|$)"), F.lit(False))

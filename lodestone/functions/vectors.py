@@ -22,3 +22,13 @@ def dot(a: Column, b: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; null for zero vectors and vectors of different lengths."""
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def text_literal(values: Sequence[float]) -> str:
+    """A vector as text, eight significant digits a number."""
+    return "[" + ",".join(f"{float(v):.8g}" for v in values) + "]"
+
+
+def from_text(c: Column) -> Column:
+    """The vector that a text literal says."""
+    return F.from_json(c, "array<float>")

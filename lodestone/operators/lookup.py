@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,11 +49,18 @@ def structural(chunks: DataFrame, kind: str, number: str, appendix: str | None =
 
 
 def anchors(found: DataFrame, descendants: bool = False, number: str | None = None) -> DataFrame:
-    """Distinct places that a structural lookup hit; more than one means that the reference is ambiguous."""
-    keys = [F.col("doc_id"), F.coalesce("appendix_number", F.lit("")).alias("appendix")]
-    path = F.nullif(F.concat_ws("/", "section_path"), F.lit(""))
-    what = F.when(F.col("structural_match") == "item", F.concat_ws("|", path, F.lit(number) if descendants and number else F.col("item_number"))).when(F.col("structural_match") == "section", F.lit((number or "").casefold())).otherwise("")
-    return found.select("structural_match", *keys, what.alias("anchor")).groupBy("structural_match", "doc_id", "appendix", "anchor").agg(F.count(F.lit(1)).alias("chunks"))
+    """Distinct places that a structural lookup hit; more than one means that the reference is ambiguous.
+
+    An item is known by document, appendix, section path, number and blocks, so the parts of one split item are one
+    place, and by its root number instead of number and blocks if ``descendants`` were asked for; a section by document,
+    appendix and reference; an appendix by document and number.
+    """
+    path = F.concat_ws("/", F.coalesce("section_path", F.array().cast("array<string>")))
+    blocks = F.array_join("block_ids", ",") if "block_ids" in found.columns else F.lit("")
+    item = F.concat_ws("|", path, F.lit(number)) if descendants and number else F.concat_ws("|", path, F.coalesce("item_number", F.lit("")), F.coalesce(blocks, F.lit("")))
+    what = F.when(F.col("structural_match") == "item", item).when(F.col("structural_match") == "section", F.lit((number or "").casefold())).otherwise("")
+    keyed = found.select("structural_match", "doc_id", F.coalesce("appendix_number", F.lit("")).alias("appendix"), what.alias("anchor"))
+    return keyed.groupBy("structural_match", "doc_id", "appendix", "anchor").agg(F.count(F.lit(1)).alias("chunks"))
 
 
 def find(documents: DataFrame, query: str, limit: int = 5, names: tuple[str, ...] = ("document_title", "source_name", "index_code")) -> DataFrame:
@@ -57,31 +69,73 @@ def find(documents: DataFrame, query: str, limit: int = 5, names: tuple[str, ...
     scores = [F.coalesce(tx.similarity(F.col(n), q), F.lit(0.0)) for n in names]
     exact = F.lit(False)
     for n in names:
-        exact |= F.coalesce(F.lower(F.col(n)) == query.lower(), F.lit(False))
-    out = documents.withColumn("score", F.greatest(*scores) if len(scores) > 1 else scores[0]).withColumn("exact", exact)
+        exact |= F.coalesce(F.lower(F.trim(n)) == query.strip().lower(), F.lit(False))
+    out = documents.withColumn("score", F.round(F.greatest(*scores) if len(scores) > 1 else scores[0], 9)).withColumn("exact", exact)
     return out.where("exact or score > 0").orderBy(F.desc("exact"), F.desc("score"), *names[:1], "doc_id").limit(limit)
 
 
-def select(candidates: DataFrame, query: str, names: tuple[str, ...] = ("source_name", "index_code", "document_title"), least: float = 0.2, lead: float = 0.035) -> DataFrame:
-    """At most one of a few scored candidates: one equal name, else one contained name, else a clear leader."""
-    rows = candidates.collect()  # as many as ``find`` was asked for
-    q = query.strip().casefold()
-    value = lambda r, n: (r[n] or "").strip().casefold()
-    chosen = None
-    for n in names:
-        hits = [r for r in rows if value(r, n) == q and q]
-        if hits:
-            return candidates.where(F.col("doc_id") == hits[0]["doc_id"]) if len(hits) == 1 else candidates.limit(0)
-    for n in names:
-        hits = [r for r in rows if value(r, n) and value(r, n) in q]
-        if len(hits) == 1:
-            chosen = hits[0]
-            break
-    if chosen is None and rows:
-        by = sorted(rows, key=lambda r: -r["score"])
-        if by[0]["score"] >= least and (len(by) == 1 or by[0]["score"] - by[1]["score"] >= lead):
-            chosen = by[0]
-    return candidates.where(F.col("doc_id") == chosen["doc_id"]) if chosen else candidates.limit(0)
+def find_each(documents: DataFrame, queries: DataFrame, by: str = "query_id", limit: int = 5, name: str = "document_title", block: int = 2048) -> DataFrame:
+    """(by, doc_id, exact, score, place): ``find`` by one name for every phrase ``s`` of a table of queries.
+
+    Phrases and names are compared in pairs of blocks of about ``block``, as matrices of the trigrams in them; the best
+    ``limit`` of each phrase go on.
+    """
+    side = lambda df, key, text: df.select(F.col(key).alias("key"), F.trim(F.lower(F.col(text))).alias("low"), tx.trigrams(F.col(text)).alias("grams")).where("low is not null")
+
+    def blocks(df: DataFrame, out: str) -> DataFrame:
+        n = max(1, -(-df.count() // block))
+        return df.groupBy(F.pmod(F.xxhash64("key"), F.lit(n)).alias("b_")).agg(F.collect_list(F.struct("key", "low", "grams")).alias(out)).drop("b_")
+
+    def matrix(s: pa.Array, known: dict[str, int]) -> np.ndarray:
+        lists = s.field("grams")
+        m = np.zeros((len(s), len(known)), np.float32)
+        row = np.repeat(np.arange(len(s)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        m[row, [known[g] for g in lists.flatten().to_pylist()]] = 1
+        return m
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                qs, ds = (batch.column(j).slice(i, 1).flatten() for j in (0, 1))
+                known = {g: k for k, g in enumerate(dict.fromkeys([*qs.field("grams").flatten().to_pylist(), *ds.field("grams").flatten().to_pylist()]))}
+                a, b = matrix(qs, known), matrix(ds, known)
+                low, names, keys = qs.field("low").to_pylist(), np.array(ds.field("low").to_pylist(), object), ds.field("key")
+                order = np.lexsort((pc.rank(keys, sort_keys="ascending", tiebreaker="dense").to_numpy(), pc.rank(ds.field("low"), sort_keys="ascending", tiebreaker="dense").to_numpy()))
+                both = a @ b[order].T
+                score = np.round(both / np.maximum(a.sum(axis=1)[:, None].astype(float) + b[order].sum(axis=1)[None, :] - both, 1), 9)
+                exact = np.array([names[order] == x for x in low]).reshape(score.shape)
+                top = np.argsort(-(score + 2 * exact), axis=1, kind="stable")[:, :limit]
+                at = np.repeat(np.arange(len(qs)), top.shape[1])
+                s, e = np.take_along_axis(score, top, axis=1).ravel(), np.take_along_axis(exact, top, axis=1).ravel()
+                some = np.flatnonzero((s > 0) | e)
+                yield pa.RecordBatch.from_arrays([qs.field("key").take(pa.array(at[some])), keys.take(pa.array(order[top].ravel()[some])), ds.field("low").take(pa.array(order[top].ravel()[some])), pa.array(e[some]), pa.array(s[some])], names=["q", "d", "low", "exact", "score"])
+
+    kinds = {"q": queries.schema[by].dataType.simpleString(), "d": documents.schema["doc_id"].dataType.simpleString()}
+    pairs = blocks(side(queries, by, "s"), "qs").crossJoin(blocks(side(documents, "doc_id", name), "ds"))
+    found = pairs.mapInArrow(near, f"q {kinds['q']}, d {kinds['d']}, low string, exact boolean, score double")
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("exact"), F.desc("score"), "low", "d"))
+    return found.withColumn("place", place).where(F.col("place") <= limit).select(F.col("q").alias(by), F.col("d").alias("doc_id"), "exact", "score", "place")
+
+
+def select(candidates: DataFrame, query: str | Column, names: tuple[str, ...] = ("source_name", "index_code", "document_title"), least: float = 0.2, lead: float = 0.035, by: str | None = None) -> DataFrame:
+    """At most one of the scored candidates (of each query ``by``): one equal name, else one contained name, else a clear
+    leader. Several equal names give none."""
+    q = F.trim(F.lower(F.lit(query) if isinstance(query, str) else query))
+    low = lambda n: F.trim(F.lower(F.coalesce(F.col(n), F.lit(""))))
+    w = Window.partitionBy(*([by] if by else [F.lit(0)]))
+    rows = candidates.withColumn("q_", q)
+    for k, n in enumerate(names):
+        rows = rows.withColumn(f"same{k}_", (low(n) == F.col("q_")) & (F.col("q_") != "")).withColumn(f"in{k}_", (low(n) != "") & F.contains(F.col("q_"), low(n)))
+    # candidates are few for each query: what ``find`` was asked for
+    rows = rows.withColumns({f"n_{c}": F.count_if(c).over(w) for k in range(len(names)) for c in (f"same{k}_", f"in{k}_")})
+    rows = rows.withColumn("place_", F.row_number().over(w.orderBy(F.desc("score"), "doc_id"))).withColumn("next_", F.lead("score").over(w.orderBy(F.desc("score"), "doc_id")))
+    chosen = F.lit(None).cast("boolean")
+    for k in range(len(names)):
+        chosen = F.coalesce(chosen, F.when(F.col(f"n_same{k}_") == 1, F.col(f"same{k}_")).when(F.col(f"n_same{k}_") > 1, F.lit(False)))
+    for k in range(len(names)):
+        chosen = F.coalesce(chosen, F.when(F.col(f"n_in{k}_") == 1, F.col(f"in{k}_")))
+    clear = (F.col("place_") == 1) & (F.col("score") >= least) & (F.col("next_").isNull() | (F.round(F.col("score") - F.col("next_"), 9) >= lead))
+    return rows.where(F.coalesce(chosen, clear)).select(*candidates.columns)
 
 
 def catalog(documents: DataFrame, limit: int = 0) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -35,78 +35,84 @@ def _r6(*names: str) -> list:
     return [F.round(n, 6).alias(n) for n in names]
 
 
-_VEC = """q as (select embedding::double[] as q from embeddings where vec_id = 7),
-v as (select vec_id as chunk_id, list_cosine_similarity(embedding::double[], q) as vector_score from embeddings, q order by 2 desc, 1 limit {k}),
-vr as (select *, row_number() over (order by vector_score desc, chunk_id) as vector_rank from v)"""
-_TEXT = f"""tok as (select doc_id as chunk_id, unnest({WORDS.format('text')}) as term, unnest(range(len({WORDS.format('text')}))) as p from documents),
-h as (select *, row_number() over (partition by chunk_id order by p) as n,
-  max(p) filter (term = 'the') over w as t0, max(p) filter (term = 'of') over w as t1 from tok where term in ('the', 'of')
-  window w as (partition by chunk_id order by p rows unbounded preceding)),
-e as (select chunk_id, least(t0, t1) as l, min(p) as r, min(n) as nr from h where t0 is not null and t1 is not null group by 1, 2),
-ts as (select e.chunk_id, sum(0.1e0 / (1 + (r - l) - (nr - s.n))) as text_score from e join h s on s.chunk_id = e.chunk_id and s.p = e.l group by 1),
-t as (select * from ts order by text_score desc, chunk_id limit {{k}}),
-tr as (select *, row_number() over (order by text_score desc, chunk_id) as text_rank from t)"""
-_FUSED = """f as (select chunk_id, coalesce(vector_score, 0e0) as vector_score, coalesce(text_score, 0e0) as text_score, coalesce(vector_rank, 999999) as vector_rank, coalesce(text_rank, 999999) as text_rank from vr full join tr using (chunk_id)),
-g as (select *, case when vector_rank < 999999 then 0.72e0 / (60e0 + vector_rank) else 0e0 end + case when text_rank < 999999 then 0.28e0 / (60e0 + text_rank) else 0e0 end as hybrid_score from f)"""
+#: Queries of the searches: every row whose id is divisible by 50, against all rows. The search string of a document is
+#: its two longest words.
+_VEC = """q as (select vec_id as query_id, embedding::double[] as q from embeddings where vec_id % 50 = 0),
+v as (select query_id, vec_id as chunk_id, round(list_cosine_similarity(embedding::double[], q), 9) as vector_score from embeddings, q),
+vr as (select * from (select *, row_number() over (partition by query_id order by vector_score desc, chunk_id) as vector_rank from v where vector_score is not null) where vector_rank <= {k})"""
+_LONG = f"""w_ as (select doc_id as chunk_id, {WORDS.format('text')} as ws from documents),
+q2 as (select chunk_id as query_id, term, row_number() over (partition by chunk_id order by length(term) desc, term) as n from (select chunk_id, unnest(list_distinct(ws)) as term from w_ where chunk_id % 50 = 0))"""
+_TEXT = f"""{_LONG},
+tok as (select chunk_id, unnest(ws) as term, unnest(range(len(ws))) as p from w_),
+h0 as (select query_id, chunk_id, p, n from tok join q2 using (term) where n <= 2),
+many_ as (select query_id, count(*) as many from q2 where n <= 2 group by 1),
+h as (select *, row_number() over w as k, max(p) filter (n = 1) over w as t0, max(p) filter (n = 2) over w as t1 from h0 window w as (partition by query_id, chunk_id order by p rows unbounded preceding)),
+e as (select query_id, chunk_id, case when many = 1 then t0 else least(t0, t1) end as l, min(p) as r, min(k) as nr from h join many_ using (query_id) where t0 is not null and (many = 1 or t1 is not null) group by 1, 2, 3),
+ts as (select e.query_id, e.chunk_id, round(sum(0.1e0 / (1 + (r - l) - (nr - s.k))), 9) as text_score from e join h s on s.query_id = e.query_id and s.chunk_id = e.chunk_id and s.p = e.l group by 1, 2),
+tr as (select * from (select *, row_number() over (partition by query_id order by text_score desc, chunk_id) as text_rank from ts) where text_rank <= {{k}})"""
+_FUSED = """f as (select query_id, chunk_id, coalesce(vector_score, 0e0) as vector_score, coalesce(text_score, 0e0) as text_score, coalesce(vector_rank, 999999) as vector_rank, coalesce(text_rank, 999999) as text_rank from vr full join tr using (query_id, chunk_id)),
+g as (select *, round(case when vector_rank < 999999 then 0.72e0 / (60e0 + vector_rank) else 0e0 end + case when text_rank < 999999 then 0.28e0 / (60e0 + text_rank) else 0e0 end, 12) as hybrid_score from f)"""
 
 
-def _seven(t: Callable[[str], DataFrame]) -> DataFrame:
-    return t("embeddings").where("vec_id = 7").select(F.col("embedding").alias("q"))
+def _chunks(t: Callable[[str], DataFrame]) -> DataFrame:
+    return t("documents").withColumnRenamed("doc_id", "chunk_id")
 
 
-@query(f"with {_VEC.format(k=40)} select chunk_id, round(vector_score, 6) as vector_score, cast(vector_rank as bigint) as vector_rank from vr")
-def vector_topk(t):
-    """The 40 vectors nearest to vector 7."""
-    got = search.vector_topk(t("embeddings").withColumnRenamed("vec_id", "chunk_id"), _seven(t), 40)
-    return got.select("chunk_id", *_r6("vector_score"), F.col("vector_rank").cast("bigint").alias("vector_rank"))
+def _near(t: Callable[[str], DataFrame], k: int) -> DataFrame:
+    e = t("embeddings").withColumnRenamed("vec_id", "chunk_id")
+    return search.vector_topk(e, e.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("q")), k, by="query_id")
+
+
+def _longest(n: int) -> Column:
+    """The n longest words of a text, ties by alphabet."""
+    ranked = F.array_sort(F.transform(F.array_distinct(tx.words(F.col("text"))), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    return F.transform(F.slice(ranked, 1, n), lambda x: x["w"])
+
 
+def _said(t: Callable[[str], DataFrame], k: int) -> DataFrame:
+    queries = t("documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(F.transform(_longest(2), lambda w: F.concat(F.lit('"'), w, F.lit('"'))), " ").alias("s"))
+    return search.text_topk(search.text_search(_chunks(t), queries, stemmed=False, by="query_id"), k, by="query_id")
 
-@query("""with s as (select a.vec_id as query_id, b.vec_id as chunk_id, list_cosine_similarity(b.embedding::double[], a.embedding::double[]) as vector_score from embeddings a, embeddings b),
-r as (select *, row_number() over (partition by query_id order by vector_score desc, chunk_id) as vector_rank from s where vector_score is not null)
-select query_id, chunk_id, round(vector_score, 6) as vector_score, cast(vector_rank as bigint) as vector_rank from r where vector_rank <= 40""")
-def vector_topk_all(t):
-    """The 40 vectors nearest to every vector."""
-    e = t("embeddings")
-    got = search.vector_topk(e.withColumnRenamed("vec_id", "chunk_id"), e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 40, by="query_id")
-    return got.select("query_id", "chunk_id", *_r6("vector_score"), F.col("vector_rank").cast("bigint").alias("vector_rank"))
+
+@query(f"with {_VEC.format(k=40)} select query_id, chunk_id, round(vector_score, 6) as vector_score, cast(vector_rank as bigint) as vector_rank from vr")
+def vector_topk(t):
+    """The 40 vectors nearest to every vector whose id is divisible by 50."""
+    return _near(t, 40).select("query_id", "chunk_id", *_r6("vector_score"), F.col("vector_rank").cast("bigint").alias("vector_rank"))
 
 
-@query(f"with {_TEXT.format(k=40)} select chunk_id, round(text_score, 6) as text_score, cast(text_rank as bigint) as text_rank from tr")
+@query(f"with {_TEXT.format(k=40)} select query_id, chunk_id, round(text_score, 6) as text_score, cast(text_rank as bigint) as text_rank from tr")
 def text_rank_cover_density(t):
-    """The 40 documents with the densest covers of two words."""
-    got = search.text_topk(search.cover_density(t("documents").withColumnRenamed("doc_id", "chunk_id"), TERMS), 40)
-    return got.select("chunk_id", *_r6("text_score"), F.col("text_rank").cast("bigint").alias("text_rank"))
+    """The 40 documents with the densest covers of the two longest words of every document whose id is divisible by 50."""
+    return _said(t, 40).select("query_id", "chunk_id", *_r6("text_score"), F.col("text_rank").cast("bigint").alias("text_rank"))
 
 
-@query(f"with {_VEC.format(k=40)}, {_TEXT.format(k=40)}, {_FUSED} select chunk_id, source, round(vector_score, 6) as vector_score, round(text_score, 6) as text_score, round(hybrid_score, 6) as hybrid_score from g join documents on doc_id = chunk_id order by hybrid_score desc, vector_score desc, text_score desc, chunk_id limit 8")
+@query(f"with {_VEC.format(k=40)}, {_TEXT.format(k=40)}, {_FUSED}, o as (select *, row_number() over (partition by query_id order by hybrid_score desc, vector_score desc, text_score desc, chunk_id) as n from g join documents on doc_id = chunk_id) select query_id, chunk_id, source, round(vector_score, 6) as vector_score, round(text_score, 6) as text_score, round(hybrid_score, 6) as hybrid_score from o where n <= 8")
 def hybrid_rrf(t):
-    """Vector and text candidates fused by reciprocal ranks, the best 8."""
-    v = search.vector_topk(t("embeddings").withColumnRenamed("vec_id", "chunk_id"), _seven(t), 40)
-    x = search.text_topk(search.cover_density(t("documents").withColumnRenamed("doc_id", "chunk_id"), TERMS), 40)
-    docs = t("documents").withColumnRenamed("doc_id", "chunk_id").select("chunk_id", "source")
-    fused = search.fuse(v, x, 80).join(docs, "chunk_id")
-    return fused.orderBy(F.desc("hybrid_score"), F.desc("vector_score"), F.desc("text_score"), "chunk_id").limit(8).select("chunk_id", "source", *_r6("vector_score", "text_score", "hybrid_score"))
+    """Vector and text candidates of every id divisible by 50, fused by reciprocal ranks: the best 8 documents each."""
+    docs = _chunks(t).select("chunk_id", "source")
+    rows = search.fuse(_near(t, 40), _said(t, 40), 80, by="query_id").join(docs, "chunk_id")
+    n = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hybrid_score"), F.desc("vector_score"), F.desc("text_score"), "chunk_id"))
+    return rows.withColumn("n", n).where("n <= 8").select("query_id", "chunk_id", "source", *_r6("vector_score", "text_score", "hybrid_score"))
 
 
 @query(f"""with {_VEC.format(k=180)}, {_TEXT.format(k=180)}, {_FUSED},
-rows_ as (select source as doc_id, vector_score, text_score, hybrid_score, chunk_id as position from g join documents on doc_id = chunk_id),
-a as (select doc_id, greatest(max(vector_score), 0e0) as bv, greatest(max(text_score), 0e0) as bt, greatest(max(hybrid_score), 0e0) as bh, count(*) as matched_chunks,
-  count(*) filter (vector_score > 0.1e0 or text_score > 0.01e0) as evidence, min(position) as first_position from rows_ group by 1),
+rows_ as (select query_id, source as doc_id, vector_score, text_score, hybrid_score, vector_rank, text_rank, chunk_id as position from g join documents on doc_id = chunk_id),
+a as (select query_id, doc_id, greatest(max(vector_score), 0e0) as bv, greatest(max(text_score), 0e0) as bt, greatest(max(hybrid_score), 0e0) as bh, count(*) as matched_chunks,
+  count(*) filter (vector_score > 0 and vector_rank < 999999) as vector_matched_chunks, count(*) filter (text_score > 0 and text_rank < 999999) as text_matched_chunks,
+  count(*) filter (vector_score > 0.1e0 or text_score > 0.01e0) as evidence, min(position) as first_position from rows_ group by 1, 2),
 s as (select *, case when bv <= 0.1e0 then 0e0 else least(1e0, (bv - 0.1e0) / 0.9e0) end as v, case when bt <= 0.01e0 then 0e0 else least(1e0, (bt - 0.01e0) / (0.15e0 - 0.01e0)) end as t from a),
 d as (select *, least(1e0, greatest(v, t) * (1e0 + 0.06e0 * least(1e0, log2(greatest(1, evidence)) / 2e0)) + 0.1e0 * least(v, t)) as raw from s),
 k as (select *, round(raw, 8) as score, round(v, 8) as v8, round(t, 8) as t8 from d where (bv > 0.1e0 or bt > 0.01e0) and raw >= 0.05e0),
-m as (select *, max(score) over () as ms, max(v8) over () as mv, max(t8) over () as mt from k)
-select doc_id, cast(matched_chunks as bigint) as matched_chunks, cast(evidence as bigint) as evidence, round(score, 6) as score from m
-where score >= ms * 0.55e0 or (mv >= 0.25e0 and v8 >= mv * 0.55e0) or (mt >= 0.25e0 and t8 >= mt * 0.55e0)
-order by score desc, bh desc, bv desc, bt desc, first_position, doc_id limit 20""")
+m as (select *, max(score) over w as ms, max(v8) over w as mv, max(t8) over w as mt from k window w as (partition by query_id)),
+o as (select *, row_number() over (partition by query_id order by score desc, bh desc, bv desc, bt desc, first_position, doc_id) as place from m
+  where score >= ms * 0.55e0 or (mv >= 0.25e0 and v8 >= mv * 0.55e0) or (mt >= 0.25e0 and t8 >= mt * 0.55e0))
+select query_id, doc_id, cast(matched_chunks as bigint) as matched_chunks, cast(vector_matched_chunks as bigint) as vector_matched_chunks, cast(text_matched_chunks as bigint) as text_matched_chunks, cast(evidence as bigint) as evidence, round(score, 6) as score, cast(place as bigint) as place from o where place <= 20""")
 def rank_documents(t):
-    """Sources ranked by the scores of their 180 best documents on each side."""
-    v = search.vector_topk(t("embeddings").withColumnRenamed("vec_id", "chunk_id"), _seven(t), 180)
-    x = search.text_topk(search.cover_density(t("documents").withColumnRenamed("doc_id", "chunk_id"), TERMS), 180)
-    rows = search.fuse(v, x, 360).join(t("documents").select(F.col("doc_id").alias("chunk_id"), "source"), "chunk_id")
-    rows = rows.select(F.col("source").alias("doc_id"), "vector_score", "text_score", "hybrid_score", F.col("chunk_id").alias("position"))
-    got = ranking.rank_documents(rows, 20, min_vector=0.1)
-    return got.select("doc_id", F.col("matched_chunks").cast("bigint").alias("matched_chunks"), F.col("evidence").cast("bigint").alias("evidence"), *_r6("score"))
+    """Sources ranked by the scores of their 180 best documents on each side, for every id divisible by 50."""
+    rows = search.fuse(_near(t, 180), _said(t, 180), 360, by="query_id").join(_chunks(t).select("chunk_id", "source"), "chunk_id")
+    rows = rows.select("query_id", F.col("source").alias("doc_id"), "vector_score", "text_score", "hybrid_score", "vector_rank", "text_rank", F.col("chunk_id").alias("position"))
+    got = ranking.rank_documents(rows, 20, min_vector=0.1, by="query_id")
+    return got.select("query_id", "doc_id", *(F.col(c).cast("bigint").alias(c) for c in ("matched_chunks", "vector_matched_chunks", "text_matched_chunks", "evidence", "place")), *_r6("score"))
 
 
 @query("select cast(label as varchar) as model, len(embedding) as dimension, count(*) as chunks from embeddings group by 1, 2")
@@ -129,18 +135,23 @@ def full_document(t):
     return lookup.full_text(t("documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("raw_text")))
 
 
-_SIM = """w as (select p_partkey, p_name, {words} as ws from part),
-g as (select p_partkey, p_name, list_distinct(flatten(list_transform(ws, lambda x: list_transform(range(1, len(x) + 2), lambda i: substr('  ' || x || ' ', i, 3))))) as gs from w),
-q as (select list_distinct(flatten(list_transform({qwords}, lambda x: list_transform(range(1, len(x) + 2), lambda i: substr('  ' || x || ' ', i, 3))))) as qs),
-s as (select p_partkey, p_name, lower(p_name) = lower('{q}') as exact, coalesce(len(list_intersect(gs, qs)) / nullif(len(list_distinct(gs || qs)), 0)::double, 0) as score from g, q)"""
-_FIND = "part 7 large"
+_GRAMS = "list_distinct(flatten(list_transform({0}, lambda x: list_transform(range(1, len(x) + 2), lambda i: substr('  ' || x || ' ', i, 3)))))"
+_SIM = f"""n_ as (select p_partkey, p_name, {_GRAMS.format(WORDS.format('p_name'))} as gs from part where p_name is not null),
+s0 as (select q.p_partkey as query_id, d.p_partkey as doc_id, d.p_name as document_title, lower(trim(d.p_name)) = lower(trim(q.p_name)) as exact,
+  round(coalesce(len(list_intersect(d.gs, q.gs)) / nullif(len(d.gs) + len(q.gs) - len(list_intersect(d.gs, q.gs)), 0)::double, 0), 9) as score from n_ q, n_ d where q.p_partkey % 50 = 0),
+s as (select *, row_number() over (partition by query_id order by exact desc, score desc, lower(trim(document_title)), doc_id) as place from s0 where exact or score > 0)"""
+
+
+def _parts(t: Callable[[str], DataFrame]) -> DataFrame:
+    return t("part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("document_title"))
 
 
-@query(f"with {_SIM.format(words=WORDS.format('p_name'), qwords=WORDS.format(repr(_FIND)), q=_FIND)} select p_partkey as doc_id, p_name as document_title, round(score, 6) as score from s where exact or score > 0 order by exact desc, score desc, p_name, p_partkey limit 5")
+@query(f"with {_SIM} select query_id, doc_id, exact, round(score, 6) as score, cast(place as bigint) as place from s where place <= 5")
 def fuzzy_find(t):
-    """Parts whose names are most like a phrase."""
-    got = lookup.find(t("part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("document_title")), _FIND, 5, ("document_title",))
-    return got.select("doc_id", "document_title", *_r6("score"))
+    """The five parts whose names are most like that of every part whose key is divisible by 50."""
+    names = _parts(t)
+    got = lookup.find_each(names, names.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("document_title").alias("s")))
+    return got.select("query_id", "doc_id", "exact", *_r6("score"), F.col("place").cast("bigint").alias("place"))
 
 
 _ITEMS = """i as (select l_orderkey as doc_id, cast(l_orderkey as varchar) || '.' || cast(l_linenumber as varchar) as item_number, cast(l_orderkey as varchar) as heading_number, l_partkey as chunk_id, l_returnflag as appendix_number from lineitem)"""
@@ -176,12 +187,14 @@ def distinct_anchors(t):
     return got.select("doc_id", "appendix", "anchor", "chunks")
 
 
-@query(f"""select * from (select p_partkey as doc_id, p_name as document_title from part where lower(p_name) = lower((select min(p_name) from part))) where (select count(*) from part where lower(p_name) = lower((select min(p_name) from part))) = 1""")
+@query(f"""with {_SIM}, c as (select *, count(*) filter (exact) over (partition by query_id) as n, lead(score) over (partition by query_id order by score desc, doc_id) as next_, row_number() over (partition by query_id order by score desc, doc_id) as top from s where place <= 5)
+select query_id, doc_id, document_title from c where case when n = 1 then exact when n > 1 then false else top = 1 and score >= 0.2 and (next_ is null or round(score - next_, 9) >= 0.035) end""")
 def select_document(t):
-    """The part that a name means, if it is only one."""
-    name = t("part").agg(F.min("p_name")).first()[0] or ""
-    parts = t("part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("document_title"))
-    return lookup.select(lookup.find(parts, name, 5, ("document_title",)), name, ("document_title",)).select("doc_id", "document_title")
+    """The part that the name of every part whose key is divisible by 50 means, if it is only one."""
+    names = _parts(t)
+    queries = names.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("document_title").alias("s"))
+    found = lookup.find_each(names, queries).join(names, "doc_id").join(queries, "query_id")
+    return lookup.select(found, F.col("s"), ("document_title",), by="query_id").select("query_id", "doc_id", "document_title")
 
 
 @query()
@@ -219,17 +232,9 @@ def word_tokens(t):
 _BAG = "select unnest({0}) as token from {1}".format(WORDS.format("text"), "{0}")
 
 
-@query(f"""with a as (select token, count(*) as n from ({_BAG.format('benchmark')}) group by 1), b as (select token, count(*) as m from ({_BAG.format("documents where lang = 'en'")}) group by 1)
-select token, cast(n - coalesce(m, 0) as bigint) as missing from a left join b using (token) where n > coalesce(m, 0) order by missing desc, token limit 50""")
-def missing_tokens(t):
-    """Words of the benchmark that English documents say less often, the 50 most frequent."""
-    got = audit.missing_tokens(t("benchmark"), t("documents").where("lang = 'en'"))
-    return got.select("token", F.col("missing").cast("bigint").alias("missing"))
-
-
 @query(f"""with a as (select token, count(*) as n from ({_BAG.format('benchmark')}) group by 1), b as (select token, count(*) as m from ({_BAG.format("documents")}) group by 1)
 select token, cast(n - coalesce(m, 0) as bigint) as missing from a left join b using (token) where n > coalesce(m, 0) order by missing desc, token limit 50""")
-def missing_tokens_all(t):
+def missing_tokens(t):
     """Words of the benchmark that all documents, whatever their language, say less often, the 50 most frequent."""
     got = audit.missing_tokens(t("benchmark"), t("documents"))
     return got.select("token", F.col("missing").cast("bigint").alias("missing"))
@@ -398,10 +403,18 @@ def audit_issues(t):
     return audit.issues(t("documents"), "doc_id", {"short": ("warning", "length(text) >= 200"), "count": ("error", "n_chars = length(text)"), "lang": ("error", "lang in ('en', 'de')")})
 
 
-@query(f"""with d as (select doc_id, {WORDS.format('text')} as w from documents) select doc_id from d where list_contains(w, 'the') and list_has_any(w, ['and', 'of']) and not list_contains(w, 'in') and contains(' ' || array_to_string(w, ' ') || ' ', ' of the ')""")
+@query(f"""with {_LONG}, l as (select query_id, max(term) filter (n = 1) as a, max(term) filter (n = 2) as b, max(term) filter (n = 3) as c from q2 where n <= 3 group by 1 having count(*) = 3),
+x as (select l.*, a || ' ' || ws[list_position(ws, a) + 1] as phrase from l join w_ on chunk_id = query_id),
+j as (select chunk_id, ' ' || array_to_string(ws, ' ') || ' ' as said from w_)
+select query_id, chunk_id from x, j where (phrase is not null and contains(said, ' ' || phrase || ' ')) or (phrase is null and contains(said, ' ' || a || ' ')) or (contains(said, ' ' || b || ' ') and not contains(said, ' ' || c || ' '))""")
 def websearch_match(t):
-    """Documents that a search string with a phrase, an alternative and an exclusion matches."""
-    return search.match(t("documents"), 'the and or of -in "of the"').select("doc_id")
+    """Documents that a search string of every document whose id is divisible by 50 matches: its longest word with the one
+    after it as a phrase, or its second one without its third one."""
+    w = tx.words(F.col("text"))
+    x = t("documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), w.alias("ws"), _longest(3).alias("l")).where("size(l) = 3")
+    after = F.get("ws", F.array_position("ws", F.element_at("l", 1)).cast("int"))
+    s = F.concat(F.lit('"'), F.concat_ws(" ", F.element_at("l", 1), after), F.lit('" or "'), F.element_at("l", 2), F.lit('" -"'), F.element_at("l", 3), F.lit('"'))
+    return search.text_search(_chunks(t), x.select("query_id", s.alias("s")), stemmed=False, by="query_id").select("query_id", "chunk_id")
 
 
 @query("""with c as (select *, max(turn) over (partition by conv_id) as m from conversations where role = 'assistant') select conv_id, turn, text from c where turn = m""")

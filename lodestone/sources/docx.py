@@ -1,12 +1,13 @@
 """Word documents as rows, by the standard library: visible segments, typed blocks, automatic numbering.
 
-Everything is read in Arrow batches from ``binaryFile`` rows. A file that is no readable package gives one row with its
-error.
+Everything is read in Arrow batches from ``binaryFile`` rows. A file that can't be read, for whatever reason, gives one row
+with its error; ``guard`` tells packages that expand too far before they are opened.
 """
 
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
@@ -16,9 +17,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 BLOCKS = "path string, pos int, source_kind string, style string, text string, label string, level int, bold_ratio double, error string"
-SEGMENTS = "path string, part string, story string, location string, style string, text string, dynamic_page boolean"
+SEGMENTS = "path string, pos int, part string, story string, location string, style string, text string, dynamic_page boolean, error string"
+MC = "{http://schemas.openxmlformats.org/markup-compatibility/2006}"
+R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+MEMBERS, EXPANDED, RATIO, RATIO_FROM = 10_000, 256 << 20, 500, 1 << 20
 STORIES = {"footnote": "footnotes.xml", "endnote": "endnotes.xml"}
 _ROMAN = ((1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I"))
 _LATIN, _RUSSIAN = "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшщэюя"
@@ -126,6 +132,66 @@ class Numbering:
         return (text + ("" if spec["suffix"] == "nothing" else " "), level) if text else None
 
 
+def is_on(e: ET.Element | None) -> bool:
+    """Whether a flag element is there and not switched off."""
+    return e is not None and (e.get(W + "val") or "true").strip().lower() not in ("0", "false", "off", "no")
+
+
+def hidden(run: ET.Element) -> bool:
+    return any(is_on(run.find(f"{W}rPr/{W}{flag}")) for flag in ("vanish", "webHidden"))
+
+
+def shown(e: ET.Element) -> list[ET.Element]:
+    """The visible children: no deleted or moved text or hidden runs, and of alternatives the first choice, else the fallback."""
+    out = []
+    for c in e:
+        if c.tag in (W + "del", W + "moveFrom") or c.tag == W + "r" and hidden(c):
+            continue
+        if c.tag == MC + "AlternateContent":
+            choice = c.find(MC + "Choice")
+            choice = choice if choice is not None else c.find(MC + "Fallback")
+            out += [] if choice is None else shown(choice)
+        else:
+            out.append(c)
+    return out
+
+
+def paragraphs(root: ET.Element, location: str = "paragraph") -> Iterator[tuple[ET.Element, str]]:
+    """Visible paragraphs in order with where they are; those of text boxes after the one that holds the box."""
+    for c in shown(root):
+        inside = "textbox" if c.tag == W + "txbxContent" else "table" if c.tag == W + "tbl" and location == "paragraph" else location
+        if c.tag == W + "p":
+            yield c, location
+        yield from paragraphs(c, inside)
+
+
+def guard(content: bytes, members: int = MEMBERS, expanded: int = EXPANDED, ratio: float = RATIO) -> str | None:
+    """Why a package must not be opened, or None: too many members, too much text, a member that shrinks too well, or
+    parts that are missing."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            infos = z.infolist()
+    except zipfile.BadZipFile:
+        return "not a package"
+    if len(infos) > members:
+        return "too many members"
+    if sum(i.file_size for i in infos) > expanded:
+        return "expands too far"
+    if any(i.file_size >= RATIO_FROM and i.file_size > ratio * i.compress_size for i in infos):
+        return "shrinks too well"
+    names = {i.filename for i in infos}
+    return None if {"word/document.xml", "[Content_Types].xml"} <= names else "parts are missing"
+
+
+def target(part: str, rel: ET.Element) -> str | None:
+    """The part that a relationship of ``part`` means; None for external ones and those that leave the package."""
+    name = rel.get("Target") or ""
+    if (rel.get("TargetMode") or "").lower() == "external" or not name:
+        return None
+    path = posixpath.normpath(name.lstrip("/") if name.startswith("/") else posixpath.join(posixpath.dirname(part), name))
+    return None if path.startswith("../") or path in ("", ".", "..") else path
+
+
 def style_of(p: ET.Element) -> str | None:
     s = p.find(f"{W}pPr/{W}pStyle")
     return None if s is None else s.get(W + "val")
@@ -137,9 +203,7 @@ def text_of(p: ET.Element) -> str:
 
     def walk(e: ET.Element) -> None:
         tag = e.tag
-        if tag in (W + "del", W + "moveFrom", W + "instrText", W + "txbxContent"):
-            return
-        if tag == W + "r" and (v := e.find(f"{W}rPr/{W}vanish")) is not None and v.get(W + "val") not in ("0", "false"):
+        if tag in (W + "instrText", W + "txbxContent"):
             return
         if tag == W + "t":
             out.append(e.text or "")
@@ -150,7 +214,7 @@ def text_of(p: ET.Element) -> str:
         elif tag == W + "noBreakHyphen":
             out.append("-")
         elif tag != W + "pPr" and tag != W + "rPr":
-            for c in e:
+            for c in shown(e):
                 walk(c)
 
     walk(p)
@@ -163,9 +227,8 @@ def bold_ratio(p: ET.Element) -> float:
     total = bold = 0
     for r in p.iter(W + "r"):
         n = sum(len((t.text or "").strip()) for t in r.findall(W + "t"))
-        b = r.find(f"{W}rPr/{W}b")
         total += n
-        bold += n if b is not None and b.get(W + "val") not in ("0", "false") else 0
+        bold += n if is_on(r.find(f"{W}rPr/{W}b")) else 0
     return bold / total if total else 0.0
 
 
@@ -178,19 +241,18 @@ def raw_blocks(content: bytes) -> list[tuple]:
     out: list[tuple] = []
 
     def visit(parent: ET.Element) -> None:
-        for e in parent:
+        for e in shown(parent):
             if e.tag == W + "p":
                 text, label = text_of(e), numbering.label(e)
                 if text:
-                    shown = label[0] if label else None
-                    if shown and text.startswith(shown.strip()):
-                        shown = None  # typed by hand as well
-                    out.append((len(out), "paragraph", style_of(e), (shown or "") + text, label[0].strip() if label else None, label[1] if label else None, bold_ratio(e)))
+                    auto = label[0] if label else None
+                    if auto and text.startswith(auto.strip()):
+                        auto = None  # typed by hand as well
+                    out.append((len(out), "paragraph", style_of(e), (auto or "") + text, label[0].strip() if label else None, label[1] if label else None, bold_ratio(e)))
             elif e.tag == W + "tbl":
-                for row in e.iter(W + "tr"):
-                    cells = [" ".join(filter(None, (text_of(p) for p in c.iter(W + "p")))) for c in row.findall(W + "tc")]
-                    if any(cells):
-                        out.append((len(out), "table_row", None, " | ".join(filter(None, cells)), None, None, 0.0))
+                for row in rows_of(e):
+                    if row:
+                        out.append((len(out), "table_row", None, row, None, None, 0.0))
             elif e.tag in (W + "sdt", W + "sdtContent", W + "ins"):
                 visit(e)
 
@@ -198,41 +260,61 @@ def raw_blocks(content: bytes) -> list[tuple]:
     return out
 
 
+def rows_of(table: ET.Element) -> Iterator[str]:
+    """The rows of a table, cells joined; a cell that spans rows is in each of them, a table in a cell is part of the cell."""
+    above: dict[int, str] = {}
+    for row in (r for c in shown(table) for r in ([c] if c.tag == W + "tr" else c.iter(W + "tr") if c.tag in (W + "sdt", W + "ins") else [])):
+        at, cells = 0, []
+        for c in (x for y in shown(row) for x in ([y] if y.tag == W + "tc" else y.iter(W + "tc") if y.tag == W + "sdt" else [])):
+            span, merge = c.find(f"{W}tcPr/{W}gridSpan"), c.find(f"{W}tcPr/{W}vMerge")
+            text = " ".join(filter(None, (text_of(p) for p, _ in paragraphs(c))))
+            if merge is not None and merge.get(W + "val") != "restart":
+                text = above.get(at, text)
+            above[at] = text
+            cells.append(text)
+            width = span.get(W + "val") if span is not None else "1"
+            at += int(width) if width and width.isdigit() else 1
+        yield " | ".join(filter(None, cells))
+
+
 def segments(content: bytes) -> list[tuple]:
-    """(part, story, location, style, text, dynamic_page) of all visible paragraphs, stories included."""
+    """(pos, part, story, location, style, text, dynamic_page, error) of all visible paragraphs of the body, of the headers and
+    footers that it refers to, and of the notes that it refers to."""
     out: list[tuple] = []
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        parts = [("word/document.xml", "body")]
+        names = set(z.namelist())
+        main = "word/document.xml"
+        body = ET.fromstring(z.read(main))
+        seen = [x for c in shown(body) for x in _visible(c)]
+        refs = {x.get(R + "id") for x in seen if x.tag in (W + "headerReference", W + "footerReference")}
+        notes = {kind: {x.get(W + "id") for x in seen if x.tag == W + kind + "Reference"} for kind in STORIES}
+        parts = [(main, "body", body)]
         rels = "word/_rels/document.xml.rels"
         used = set()
-        if rels in z.namelist():
-            document = z.read("word/document.xml").decode("utf-8", "replace")
-            for r in ET.fromstring(z.read(rels)):
-                kind = (r.get("Type") or "").rsplit("/", 1)[-1]
-                name = "word/" + (r.get("Target") or "").lstrip("/").removeprefix("word/")
-                if kind in ("header", "footer") and f'"{r.get("Id")}"' in document and name in z.namelist() and name not in used:
-                    used.add(name)
-                    parts.append((name, kind))
-        parts += [(f"word/{f}", s) for s, f in STORIES.items() if f"word/{f}" in z.namelist()]
-        for name, story in parts:
-            root = ET.fromstring(z.read(name))
-            parent = {c: p for p in root.iter() for c in p}
-            for p in root.iter(W + "p"):
+        for r in ET.fromstring(z.read(rels)) if rels in names else []:
+            kind, name = (r.get("Type") or "").rsplit("/", 1)[-1], target(main, r)
+            if kind in ("header", "footer") and r.get("Id") in refs and name in names and name not in used:
+                used.add(name)
+                parts.append((name, kind, ET.fromstring(z.read(name))))
+        parts += [(f"word/{f}", s, ET.fromstring(z.read(f"word/{f}"))) for s, f in STORIES.items() if f"word/{f}" in names]
+    for name, story, root in parts:
+        roots = [n for n in root.findall(W + story) if n.get(W + "id") in notes[story]] if story in STORIES else [root]
+        for one in roots:
+            for p, location in paragraphs(one):
                 text = text_of(p)
-                if not text:
-                    continue
-                up, location, skip = p, "paragraph", False
-                while up in parent:
-                    up = parent[up]
-                    location = "textbox" if up.tag == W + "txbxContent" else "table" if up.tag == W + "tbl" and location == "paragraph" else location
-                    skip |= up.tag in (W + "footnote", W + "endnote") and up.get(W + "type") in ("separator", "continuationSeparator")
-                if not skip:
+                if text:
                     field = " ".join(x.text or "" for x in p.iter(W + "instrText")) + " ".join(x.get(W + "instr") or "" for x in p.iter(W + "fldSimple"))
-                    out.append((name, story, location, style_of(p), text, bool(re.search(r"\b(PAGE|NUMPAGES)\b", field))))
+                    out.append((len(out), name, story, location, style_of(p), text, bool(re.search(r"\b(?:PAGE|NUMPAGES|SECTIONPAGES)\b", field.upper())), None))
     return out
 
 
-def _rows(files: DataFrame, read, schema: str, empty: tuple | None) -> DataFrame:
+def _visible(e: ET.Element) -> Iterator[ET.Element]:
+    yield e
+    for c in shown(e):
+        yield from _visible(c)
+
+
+def _rows(files: DataFrame, read, schema: str, empty: tuple) -> DataFrame:
     names = [c.strip().split(" ")[0] for c in schema.split(", ")]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -241,9 +323,8 @@ def _rows(files: DataFrame, read, schema: str, empty: tuple | None) -> DataFrame
             for path, content in zip(part["path"], part["content"]):
                 try:
                     rows += [(path, *r) for r in read(bytes(content))]
-                except (zipfile.BadZipFile, ET.ParseError, KeyError, AttributeError) as e:
-                    if empty is not None:
-                        rows.append((path, *empty, f"{type(e).__name__}: {e}"))
+                except Exception as e:  # noqa: BLE001 - whatever is wrong with one file, the others are read
+                    rows.append((path, *empty, f"{type(e).__name__}: {e}"))
             frame = pd.DataFrame(rows, columns=names).astype(object)
             yield frame.where(frame.notna(), None)
 
@@ -256,8 +337,77 @@ def read_blocks(files: DataFrame) -> DataFrame:
 
 
 def read_segments(files: DataFrame) -> DataFrame:
-    """Visible segments of all files."""
-    return _rows(files, segments, SEGMENTS, None)
+    """Visible segments of all files; a file that can't be read gives a row with ``error``."""
+    return _rows(files, segments, SEGMENTS, (None,) * 7)
+
+
+def upload(files: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
+    """(path, file_name, text, parser, sha256, error): the text of uploaded files: Word documents, or UTF-8 texts by suffix.
+
+    ``files``: path and content, and perhaps content_type. ``error`` is null, or ``empty``, ``too large``,
+    ``unsupported``, or ``invalid`` with a reason; then there is no text.
+    """
+    kind = F.lower(F.trim(F.split_part("content_type", F.lit(";"), F.lit(1)))) if "content_type" in files.columns else F.lit("")
+    rows = files.select("path", tx.safe_name(F.col("path")).alias("file_name"), "content", F.coalesce(kind, F.lit("")).alias("kind"))
+    suffix = F.lower(F.regexp_extract("file_name", r"(\.[^.]*)$", 1))
+    word = (suffix == ".docx") | (F.col("kind") == DOCX_TYPE)
+    plain = suffix.isin(*TEXT_SUFFIXES) | F.col("kind").startswith("text/")
+    size = F.coalesce(F.octet_length("content"), F.lit(0))
+    parser = F.when(word, "docx").when(plain, "text")
+    early = F.when(size == 0, "empty").when(size > max_bytes, "too large").when(parser.isNull(), "unsupported")
+    rows = rows.withColumns({"parser": parser, "early": early})
+
+    @F.pandas_udf("text string, error string")
+    def read(content: pd.Series, parser: pd.Series, early: pd.Series) -> pd.DataFrame:
+        out = []
+        for c, how, wrong in zip(content, parser, early):
+            text = None
+            if wrong is None:
+                try:
+                    if how == "docx":
+                        wrong = guard(bytes(c))
+                        text = None if wrong else "\n".join(b[3] for b in raw_blocks(bytes(c)))
+                    else:
+                        text = bytes(c).decode("utf-8-sig")
+                except Exception as e:  # noqa: BLE001 - one bad file must not end the job
+                    wrong = f"{type(e).__name__}"
+                wrong = f"invalid: {wrong}" if wrong else None if (text or "").strip() else "invalid: no text"
+            out.append((None if wrong else text.strip(), wrong))
+        return pd.DataFrame(out, columns=["text", "error"])
+
+    got = rows.withColumn("r", read("content", "parser", "early"))
+    return got.select("path", "file_name", "r.text", F.when(F.col("r.error").isNull(), F.col("parser")).alias("parser"), F.sha2("content", 256).alias("sha256"), "r.error")
+
+
+DOCX_TYPE = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
+TEXT_SUFFIXES = (".txt", ".md", ".csv", ".json", ".xml", ".yaml", ".yml")
+
+
+def inputs(spark: SparkSession, patterns: list[str]) -> DataFrame:
+    """Word files of globs and paths, each path once."""
+    name = F.element_at(F.split("path", "/"), -1)
+    found = spark.read.format("binaryFile").load(patterns).dropDuplicates(["path"])
+    return found.where(F.lower("path").endswith(".docx") & ~name.startswith("~$"))
+
+
+def locate(documents: DataFrame, files: DataFrame) -> DataFrame:
+    """(doc_id, path, content): the source file of each document: at its stored path, else by its name, whatever the case.
+
+    Of several files of a name the first by path counts.
+    """
+    base = lambda c: F.lower(F.element_at(F.split(F.col(c), "/"), -1))
+    want = documents.select("doc_id", "source_path", F.lower("source_name").alias("name"))
+    have = files.select("path", "content", base("path").alias("name"))
+    hits = want.join(have, "name").withColumn("other", F.when(F.col("path") == F.col("source_path"), 0).when(F.endswith("path", F.concat(F.lit("/"), "source_path")), 1).otherwise(2))
+    return hits.groupBy("doc_id").agg(F.min_by(F.struct("path", "content"), F.struct("other", "path")).alias("x")).select("doc_id", "x.path", "x.content")
+
+
+def source_text(located: DataFrame, documents: DataFrame) -> DataFrame:
+    """(doc_id, text): the text of located files again; null where the file isn't the one that was read (its hash)."""
+    hashed = located.join(documents.select("doc_id", "source_sha256"), "doc_id")
+    same = hashed.where(F.sha2("content", 256) == F.col("source_sha256")).select("doc_id", F.col("path"), "content")
+    text = upload(same.withColumn("content_type", F.lit(DOCX_TYPE))).select("path", "text")
+    return documents.select("doc_id").join(same.join(text, "path").select("doc_id", "text"), "doc_id", "left")
 
 
 def package(paragraphs: list[str], numbering: str = "", styles: str = "", extra: dict[str, str] | None = None) -> bytes:

@@ -139,17 +139,42 @@ def _first(pattern: str, group: int = 1) -> Column:
     return F.min_by(F.when(got.isNotNull(), got), F.when(got.isNotNull(), F.col("pos")))
 
 
+KINDS = ("политика", "положение", "регламент", "инструкция", "порядок", "правила", "стандарт", "методика", "policy", "regulation", "procedure", "instruction", "standard", "rules", "guideline")
+FIELD_LINE = r"(?iu)^(?:индекс|index|версия|version|дата введения|effective|приказ|order|утвержд|approved|всего страниц|листов|pages)\b"
+
+
+def titles(raw: DataFrame) -> DataFrame:
+    """(path, title_lines): the lines in capitals, or in a title style, before the first number, heading or contents page."""
+    letters = F.regexp_replace("text", r"(?U)[^\p{L}]", "")
+    capitals = F.length(F.regexp_replace(letters, r"(?U)[^\p{Lu}]", ""))
+    style = F.lower(F.coalesce("style", F.lit("")))
+    ends = F.col("text").rlike(r"(?iu)^\s*(?:\d+(?:\.\d+)*[.)]?\s+\S|(?:содержание|оглавление|contents|table of contents)\s*$)") | style.rlike("^(?:heading|заголовок|toc)")
+    end = raw.where(ends).groupBy("path").agg(F.min("pos").alias("end_"))
+    title = ((F.length(letters) >= 3) & (capitals >= 0.8 * F.length(letters)) | style.rlike("^(?:title|название)")) & ~F.col("text").rlike(FIELD_LINE) & ~F.col("text").rlike(ORGANIZATION)
+    lines = raw.join(end, "path", "left").where((F.col("end_").isNull() | (F.col("pos") < F.col("end_"))) & title)
+    ordered = F.array_sort(F.collect_list(F.struct("pos", tx.normalize_space(F.col("text")).alias("t"))))
+    return lines.groupBy("path").agg(F.transform(ordered, lambda x: x["t"]).alias("title_lines"))
+
+
+ORGANIZATION = r"(?u)(?:^|[\s«\"(])(?:ООО|АО|ПАО|ЗАО|Inc\.?|Ltd\.?|LLC|GmbH)(?:$|[\s»\").,])"
+
+
 def metadata(raw: DataFrame) -> DataFrame:
-    """(path, source_name, doc_id, index_code, version, effective_date, approval_date, approval_order, declared_pages)."""
-    got = raw.where("error is null").groupBy("path").agg(
+    """(path, source_name, doc_id, index_code, version, effective_date, approval_date, approval_order, declared_pages,
+    organization, title_lines, display_title, document_kind) of all documents: the first match of each field in order."""
+    rows = raw.where("error is null")
+    got = rows.groupBy("path").agg(
         _first(r"(?iu)^(?:индекс(?:\s+нд)?|index(?:\s+code)?)\s*[:№]\s*(\S+)").alias("index_code"),
         _first(r"(?iu)(?:версия|version)\s*[:№]?\s*(\d+(?:\.\d+)*)").alias("version"),
         _first(r"(?iu)(?:дата введения|effective(?: date)?)\s*:?\s*(\d{2}\.\d{2}\.\d{4})").alias("effective_date"),
         _first(r"(?iu)(?:приказ\S*|order)\D{0,40}от\s*(\d{2}\.\d{2}\.\d{4})").alias("approval_date"),
         _first(r"(?iu)(?:приказ\S*|order)[^№]{0,60}№\s*(\S+)").alias("approval_order"),
         _first(r"(?iu)(?:всего страниц|листов|pages)\s*:?\s*(\d+)").cast("int").alias("declared_pages"),
-    )
+        F.min_by(F.when(F.col("text").rlike(ORGANIZATION), tx.normalize_space(F.col("text"))), F.when(F.col("text").rlike(ORGANIZATION), F.col("pos"))).alias("organization"),
+    ).join(titles(rows), "path", "left")
     name = F.element_at(F.split("path", "/"), -1)
     stem = F.regexp_replace(name, r"(?i)\.docx$", "")
     version = F.coalesce("version", F.nullif(F.regexp_extract("index_code", r"-(\d+\.\d+)$", 1), F.lit("")))
-    return got.withColumns({"source_name": name, "version": version, "doc_id": tx.slug(F.coalesce("index_code", stem))})
+    title = F.nullif(F.array_join("title_lines", " "), F.lit(""))
+    kind = F.filter(F.split(F.lower(F.coalesce(title, F.lit(""))), r"\s+"), lambda w: w.isin(*KINDS))
+    return got.withColumns({"source_name": name, "version": version, "display_title": title, "document_kind": F.get(kind, F.lit(0)), "doc_id": tx.slug(F.coalesce("index_code", title, stem))})

@@ -7,32 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.window import Window
 
-from ..operators.store import Generations, upsert
+from ..operators.store import Buckets
 
 
-def ingest(spark: SparkSession, source: str, schema: str, root: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda df: df, key: str = "doc_id", version: str = "version", table: str = "documents", once: bool = True) -> StreamingQuery:
-    """Streams Parquet files of ``source`` into generations below ``root``.
+def ingest(spark: SparkSession, source: str, schema: str, root: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda df: df, key: str = "doc_id", version: str = "version", buckets: int = 64, once: bool = True) -> StreamingQuery:
+    """Streams Parquet files of ``source`` into the buckets of a table below ``root``; see ``store.Buckets``.
 
     In each micro-batch the newest version of a key counts, and it replaces what is stored unless that is newer, so a
-    replayed batch changes nothing. ``once`` stops when all files that are there have been read.
+    replayed batch changes nothing. A batch rewrites only the buckets of its keys. ``once`` stops when all files that are
+    there have been read.
     """
 
     def apply(batch: DataFrame, _: int) -> None:
-        if batch.isEmpty():
-            return
-        store = Generations(batch.sparkSession, root)
-        fresh = transform(batch)
-        newest = Window.partitionBy(key).orderBy(F.desc(version))
-        if store.current() is None:
-            rows = fresh.withColumn("k_", F.row_number().over(newest)).where("k_ = 1").drop("k_")
-        else:
-            have = store.read(table)
-            old = have.select(F.col(key), F.col(version).alias("v_"))
-            new = fresh.join(old, key, "left").where(f"v_ is null or `{version}` >= v_").drop("v_")
-            rows = upsert(have, new, key, version)
-        store.publish({table: rows})
+        if not batch.isEmpty():
+            Buckets(batch.sparkSession, root, key, buckets).merge(transform(batch), version)
 
     stream = spark.readStream.schema(schema).parquet(source)
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from lodestone.operators.store import Generations
+from lodestone.operators.store import Buckets
 from lodestone.sources import docx
 from lodestone.streaming import ingest
 
@@ -28,15 +28,15 @@ def test_styles_carry_numbers_and_tables_are_rows():
 
 def test_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
-    notes = "<w:footnotes NS><w:footnote w:type='separator'><w:p><w:r><w:t>-</w:t></w:r></w:p></w:footnote><w:footnote><w:p><w:r><w:t>note</w:t></w:r></w:p></w:footnote></w:footnotes>"
-    (tmp_path / "sub" / "a.DOCX").write_bytes(docx.package([para("hello")], extra={"word/footnotes.xml": notes}))
+    notes = "<w:footnotes NS><w:footnote w:type='separator'><w:p><w:r><w:t>-</w:t></w:r></w:p></w:footnote><w:footnote w:id='2'><w:p><w:r><w:t>note</w:t></w:r></w:p></w:footnote></w:footnotes>"
+    (tmp_path / "sub" / "a.DOCX").write_bytes(docx.package([para("hello"), "<w:p><w:r><w:footnoteReference w:id='2'/></w:r></w:p>"], extra={"word/footnotes.xml": notes}))
     (tmp_path / "~$a.docx").write_bytes(b"lock")
     (tmp_path / "bad.docx").write_bytes(b"no zip")
     files = docx.discover(spark, str(tmp_path))
     assert files.count() == 2
     rows = docx.read_blocks(files).collect()
     assert sorted(r.text or "" for r in rows) == ["", "hello"] and sum(r.error is not None for r in rows) == 1
-    assert sorted((r.story, r.text) for r in docx.read_segments(files).collect()) == [("body", "hello"), ("footnote", "note")]
+    assert sorted((r.story, r.text) for r in docx.read_segments(files).where("error is null").collect()) == [("body", "hello"), ("footnote", "note")]
 
 
 def test_numbers():
@@ -47,11 +47,16 @@ def test_ingest(spark, tmp_path):
     source, root, mark = (str(tmp_path / x) for x in ("in", "store", "mark"))
     schema = "doc_id int, version int, text string"
     spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], schema).write.parquet(source)
-    ingest.ingest(spark, source, schema, root, mark).awaitTermination()
+    ingest.ingest(spark, source, schema, root, mark, buckets=8).awaitTermination()
+    store = Buckets(spark, root, "doc_id", 8)
+    before = store.folders()
     spark.createDataFrame([(2, 3, "d"), (1, 1, "old"), (3, 1, "e")], schema).write.mode("append").parquet(source)
-    ingest.ingest(spark, source, schema, root, mark).awaitTermination()
-    got = Generations(spark, root).read("documents")
-    assert sorted(map(tuple, got.collect())) == [(1, 2, "b"), (2, 3, "d"), (3, 1, "e")]
+    ingest.ingest(spark, source, schema, root, mark, buckets=8).awaitTermination()
+    assert sorted(map(tuple, store.read().select("doc_id", "version", "text").collect())) == [(1, 2, "b"), (2, 3, "d"), (3, 1, "e")]
+    old = store.folders()
+    touched = store.merge(spark.createDataFrame([(3, 2, "f")], schema), "version")
+    assert len(touched) == 1 and {b for b, p in store.folders().items() if old.get(b) != p} == {str(touched[0])} and before
+    assert [r.text for r in store.read().where("doc_id = 3").collect()] == ["f"]
 
 
 def test_windowed_counts(spark):

