@@ -425,10 +425,12 @@ def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
                 yield pa.RecordBatch.from_arrays([pa.array(rid[row]), pa.array(q), pa.array(a), pa.array(before)], names=["rid", "q", "a", "before"])
         common.tidy()
 
-    mine = uuid.uuid4().hex
+    mine, spark = uuid.uuid4().hex, docs.sparkSession
     every = common.written(rows.select("rid", "txt").mapInArrow(anchors, "rid bigint, q int, a bigint, before bigint"), mine)
     counted = every.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("before").alias("x"), F.max("before").alias("y")).where("n > 1").select("a", (F.col("x") != F.col("y")).alias("diverse"))
-    marks = common.written(every.select("rid", "q", "a").join(counted, "a").groupBy("rid").agg(F.collect_list(F.struct("q", "diverse")).alias("marks"), F.max("diverse").alias("any")).where("any").select("rid", "marks"), mine)
+    marks = common.written(every.select("rid", "q", "a").join(counted, "a").groupBy("rid").agg(F.collect_list(F.struct("q", "diverse")).alias("marks"), F.max("diverse").alias("any")).where("any").select("rid", "marks"), f"{mine}-marks")
+    common.drop_written(mine)
+    common.release(spark)
     # texts of which no row has a mark needn't be sent to the join: a table of at most BUCKETS rows tells most of them
     bucket = F.pmod(F.col("rid"), F.lit(BUCKETS))
     some = common.cut(marks.select(bucket.alias("bucket")).distinct())
@@ -449,7 +451,8 @@ def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     fields = [T.StructField(n, t) for n, t in zip(NAMES, (T.BinaryType(), *[T.LongType()] * 5, kind, T.LongType(), T.IntegerType(), T.BinaryType()))]
     single = here.dropDuplicates(["rid"]).join(marks, "rid").select("id", "rid", "txt", "marks")
     told = common.written(single.mapInArrow(suffixes, T.StructType(fields)), owner, compression="zstd")
-    common.drop_written(mine)
+    common.drop_written(f"{mine}-marks")
+    common.release(spark)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in common.whole_groups(batches, ["a"]):
