@@ -42,7 +42,8 @@ def test_hybrid_search(spark, tmp_path):
     rows = [("a", "red fox", [1.0, 0.0]), ("b", "fox red den", [0.0, 1.0]), ("c", "none", None), ("d", None, [1.0, 0.1]), ("e", "a den of the red foxes", None)]
     chunks = spark.createDataFrame(rows, "chunk_id string, text string, embedding array<float>")
     got = search.hybrid_search(chunks, [1.0, 0.0], "reds fox").collect()
-    assert [r.chunk_id for r in got] == ["a", "d", "b", "e"]
+    # 0.72 / 63 + 0.28 / 62 of b are more than 0.72 / 62 of d
+    assert [r.chunk_id for r in got] == ["a", "b", "d", "e"]
     by = {r.chunk_id: r for r in got}
     assert by["a"].vector_rank == 1 and by["d"].text_rank == search.MISSING_RANK and by["e"].vector_score == 0
     path = str(tmp_path / "index")
@@ -233,9 +234,9 @@ def test_history(spark):
 def test_sources_and_decisions(spark):
     df = spark.createDataFrame([(1, '<context><source id="1" name="a &amp; b">x &lt; y</source><source id="1" name="a &amp; b">x &lt; y</source></context>'), (2, None)], "conv_id int, text string")
     assert [(r.id, r.name, r.body) for r in dialog.sources(df).collect()] == [("1", "a & b", "x < y")]
-    replies = spark.createDataFrame([('```{"route": "section", "section_query": " 2.1 ", "answer": "no", "include_descendants": "да"}```',), ("{broken",), (None,)], "text string")
+    replies = spark.createDataFrame([('```{"route": "document_section", "section_query": " 2.1 ", "answer": "no", "include_descendants": "да"}```',), ("{broken",), (None,)], "text string")
     got = dialog.decisions(replies).collect()
-    assert (got[0].route, got[0].section_query, got[0].answer, got[0].include_descendants) == ("section", "2.1", None, True)
+    assert (got[0].route, got[0].section_query, got[0].answer, got[0].include_descendants) == ("document_section", "2.1", "no", True)
     assert got[1].route == got[2].route == "rag"
 
 
@@ -284,7 +285,7 @@ def test_chunking(spark):
     assert chunking.split_text("x" * 25, 10) == ["x" * 10, "x" * 10, "x" * 5]
     b = lambda i, kind, text, **k: {"block_id": i, "kind": kind, "text": text, "section_path": ["1"], **k}
     got = chunking.pack_blocks("d", [b("1", "heading", "H"), b("2", "numbered_paragraph", "one", item_number="1.1"), b("3", "list_item", "- a"), b("4", "list_item", "- b"), b("5", "heading", "I"), b("6", "list_item", "- c"), b("7", "list_item", "- d"), b("8", "paragraph", "p")])
-    assert [(c["chunk_type"], c["raw_text"]) for c in got] == [("heading", "H"), ("numbered_item", "one\n- a\n- b"), ("heading", "I"), ("list", "- c"), ("list", "- d\np")]
+    assert [(c["chunk_type"], c["raw_text"]) for c in got] == [("heading", "H"), ("numbered_item", "1.1 one\n- a\n- b"), ("heading", "I"), ("list", "- c"), ("list", "- d\np")]
     assert got[0]["chunk_id"].startswith("d::chunk-0001-")
     docs = spark.createDataFrame([(1, "a\n" * 2000), (2, None)], "doc_id int, text string")
     assert all(r.char_count <= 1800 for r in chunking.chunk_text(docs).collect())
