@@ -184,7 +184,8 @@ def structural_fallback(t):
 def distinct_anchors(t):
     """The places that a reference hits."""
     got = lookup.anchors(lookup.structural(_items(t), "item", "7", descendants=True).withColumn("section_path", F.array().cast("array<string>")))
-    return got.select("doc_id", "appendix", "anchor", "chunks")
+    # an anchor is path, number and blocks; there are neither paths nor blocks here
+    return got.select("doc_id", "appendix", F.split_part("anchor", F.lit("|"), F.lit(2)).alias("anchor"), "chunks")
 
 
 @query(f"""with {_SIM}, c as (select *, count(*) filter (exact) over (partition by query_id) as n, lead(score) over (partition by query_id order by score desc, doc_id) as next_, row_number() over (partition by query_id order by score desc, doc_id) as top from s where place <= 5)
@@ -389,10 +390,10 @@ def json_extract(t):
     return t("events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
 
 
-@query("""select role, case when position('the' in lower(text)) > 0 then 'rag' else 'clarify' end as route, count(*) as n from conversations group by all""")
+@query("""select role, case when position('the' in lower(text)) > 0 then 'rag' else 'documents' end as route, count(*) as n from conversations group by all""")
 def route_decisions(t):
     """Routes read from replies that hold JSON somewhere."""
-    told = F.when(F.instr(F.lower("text"), "the") > 0, F.lit('{"route": "nonsense"}')).otherwise(F.lit('sure: {bad {"route": "clarify", "answer": "which?"} ok'))
+    told = F.when(F.instr(F.lower("text"), "the") > 0, F.lit('{"route": "nonsense"}')).otherwise(F.lit('sure: {bad {"route": "documents", "retrieval_query": "which?"} ok'))
     got = dialog.decisions(t("conversations").select("role", told.alias("text")))
     return got.groupBy("role", "route").agg(F.count(F.lit(1)).alias("n"))
 
