@@ -48,3 +48,50 @@ def test_scan_like_brute_force(spark, monkeypatch, strings):
     assert {(r.query_id, r.chunk_id) for r in said.collect()} == set(want)
     few = search.text_topk(search.text_search(chunks, table, stemmed=False, by="query_id", k=2), 2, by="query_id")
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, search.text_topk(search.text_search(chunks, table, stemmed=False, by="query_id"), 2, by="query_id").collect()))
+
+
+def parts(spark, tmp_path, n):
+    names = ("red bolt", "Red Bolt ", "new anvil", "hot ring", "red ring", "zz", None)
+    spark.createDataFrame([(k, names[k % len(names)]) for k in range(n)], "p_partkey bigint, p_name string").repartition(3).write.parquet(str(tmp_path / "part.parquet"))
+    return str(tmp_path)
+
+
+def slow_find(spark, d):
+    """(query_id, doc_id, exact, score, place) by comparing every name with every other one."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{d}/part.parquet").where("p_name is not null").collect()]
+    grams = lambda s: {f"  {w} "[i : i + 3] for w in s.lower().split() for i in range(len(w) + 1)}
+    for q, s in rows:
+        if q % 50 == 0:
+            found = []
+            for k, name in rows:
+                a, b = grams(s), grams(name)
+                exact, score = s.strip().lower() == name.strip().lower(), round(len(a & b) / len(a | b), 9)
+                if exact or score > 0:
+                    found.append((not exact, -score, name.strip().lower(), k))
+            for place, (other, score, _, k) in enumerate(sorted(found)[:5], 1):
+                yield q, k, not other, round(-score, 6), place
+
+
+@pytest.fixture
+def counted(spark, monkeypatch):
+    """How many rows the blocks that are compared have."""
+    kind, told = type(spark.range(1)), []
+    count = kind.count
+    monkeypatch.setattr(kind, "count", lambda self: told.append(count(self)) or told[-1])
+    return told
+
+
+def test_fuzzy_find_compares_different_names_only(spark, tmp_path, counted):
+    """Names that many parts have are compared once: the blocks hold five names, not a thousand parts."""
+    d = parts(spark, tmp_path, 1000)
+    got = queries.QUERIES["fuzzy_find"](spark, d)
+    assert counted and max(counted) <= 5
+    assert sorted(tuple(r[c] for c in ("query_id", "doc_id", "exact", "score", "place")) for r in got.collect()) == sorted(slow_find(spark, d))
+
+
+def test_select_document_of_a_name_that_one_part_has(spark, tmp_path, counted):
+    names = [(k, "red bolt") for k in range(1, 400) if k % 50] + [(50, "hot ring"), (100, "Hot Plate "), (150, "red bolt"), (200, None)]
+    spark.createDataFrame(names, "p_partkey bigint, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    got = queries.QUERIES["select_document"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [(50, 50, "hot ring"), (100, 100, "Hot Plate ")]
+    assert counted and max(counted) <= 3
