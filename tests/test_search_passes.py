@@ -157,3 +157,14 @@ def test_occurrences_shuffle_nothing(spark, monkeypatch, needles):
                 want.append((name, k, n))
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hybrid_rrf_moves_ranked_rows_only(spark, tmp_path):
+    d = documents(spark, tmp_path, [(k, f"anvil bolt {'x ' * (k % 5)}", "en", f"s{k % 3}") for k in range(101)])
+    spark.createDataFrame([(k, [1.0, float(k)]) for k in range(101)], "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = queries.QUERIES["hybrid_rrf"](spark, d)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan and "collect_list" not in plan
+    rows = got.collect()
+    assert {r.query_id for r in rows} == {0, 50, 100} and len(rows) == 24
+    assert all(r.source == f"s{r.chunk_id % 3}" for r in rows)
