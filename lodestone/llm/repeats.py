@@ -32,6 +32,10 @@ after its end have all their places: where the runs are longer, only tails that
 one, as others have the same word before them everywhere. Repeats that begin inside runs have a row per occurrence and
 no ``first_place``.
 
+Between tasks the words of a class are told in two bytes each: their places in a code book of frequent words, which the
+first texts of every task say how often. Words that aren't in it are told by their whole hashes, so the book makes rows
+smaller and changes no result.
+
 Words are compared by 32-bit hashes inside a bucket of equal 64-bit anchor hashes: 50 unlike words agree with a
 probability of 2**-1600, a single word at an end of a repeat with 2**-32. Equal suffixes are told by 128 bits.
 
@@ -62,6 +66,8 @@ from . import units as U
 
 MIN_WORDS, ANCHOR, PERIOD = 50, 12, 25
 LISTED, KNOWN, BUCKETS = 100_000, 20_000, 1 << 20
+#: Words of a code book at most, and the code of the others; how often a task must have seen a word to propose it.
+BOOK, OFTEN = (1 << 16) - 1, 4
 
 
 class Windows:
@@ -124,7 +130,31 @@ def _anchors(col: pa.Array, rid: np.ndarray, size: int):
     return row, (q - begin).astype(np.int32), w.span(q, q + k).view(np.int64), before.view(np.int64)
 
 
-def _suffixes(part: pa.RecordBatch, size: int, classes: dict[bytes, list]) -> Iterator[pa.RecordBatch]:
+def _frequent(col: pa.Array) -> pa.RecordBatch:
+    """Rows like those of the anchors, without a ``rid``: in ``a`` words that are said OFTEN, in ``q`` how often."""
+    word, n = np.unique(tk.words_of(col).hash.astype(np.uint32), return_counts=True)
+    word, n = word[n >= OFTEN], n[n >= OFTEN]
+    none = pa.nulls(len(word), pa.int64())
+    return pa.RecordBatch.from_arrays([none, pa.array(n.astype(np.int32)), pa.array(word.astype(np.int64)), none], names=["rid", "q", "a", "before"])
+
+
+def _coded(low: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """The place of each word in the sorted ``book``, or BOOK."""
+    at = np.searchsorted(book, low)
+    known = np.append(book, 0)[at] == low
+    return np.where(known & (at < len(book)), at, BOOK).astype("<u2")
+
+
+def _decoded(codes: np.ndarray, rare: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """The words of codes; ``rare`` are those that have no code, in order."""
+    out = np.zeros(BOOK + 1, np.uint32)
+    out[: len(book)] = book
+    out = out[codes]
+    out[codes == BOOK] = rare
+    return out
+
+
+def _suffixes(part: pa.RecordBatch, size: int, classes: dict[bytes, list], book: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A row per anchor at which a repeat may begin, with the class of the words from its first window to the end of the
     run; the classes are counted in ``classes``, with ``mask``, the windows of the anchor."""
     w = Windows(tk.words_of(U.text_column(part, "txt")), size)
@@ -152,6 +182,9 @@ def _suffixes(part: pa.RecordBatch, size: int, classes: dict[bytes, list]) -> It
     length = stop[base] - base
     data = U.ragged(low, base, length).tobytes()
     off = np.concatenate([[0], np.cumsum(length * 4)]).tolist()
+    code = _coded(low.astype(np.uint32), book)
+    other = np.concatenate([[0], np.cumsum(code == BOOK)])
+    codes, rare = U.ragged(code, base, length).tobytes(), low[code == BOOK].astype("<u4").tobytes()
     ids = part.column(part.schema.get_field_index("id")).take(pa.array(row))
     rid = part.column(part.schema.get_field_index("rid")).to_numpy()[row]
     # the start of a text has a left neighbour like no other
@@ -161,28 +194,28 @@ def _suffixes(part: pa.RecordBatch, size: int, classes: dict[bytes, list]) -> It
     a = w.span(a, a + k).view(np.int64)
     first_at = (base - first[row]).astype(np.int32)
     key = []
-    for h, m, x, y, n, i, r, at_ in zip(a.tolist(), mask.tolist(), off[:-1], off[1:], left.tolist(), ids.to_pylist(), rid.tolist(), first_at.tolist()):
+    for h, m, x, y, n, i, r, at_, u, v in zip(a.tolist(), mask.tolist(), off[:-1], off[1:], left.tolist(), ids.to_pylist(), rid.tolist(), first_at.tolist(), other[base].tolist(), other[base + length].tolist()):
         name = hashlib.blake2b(data[x:y], digest_size=16, key=h.to_bytes(8, "big", signed=True) + m.to_bytes(8, "big")).digest()
         key.append(name)
         order = (i is None, i, r, at_)
         have = classes.get(name)
         if have is None:
-            classes[name] = [h, m, 1, n, n, order, data[x:y]]
+            classes[name] = [h, m, 1, n, n, order, codes[x // 2 : y // 2], rare[4 * u : 4 * v]]
         else:
             have[2] += 1
             have[3], have[4] = min(have[3], n), max(have[4], n)
             have[5] = min(have[5], order)
     none_ = pa.nulls(len(key))
-    yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), *(none_.cast(t) for t in (pa.int64(),) * 5), ids, pa.array(rid), pa.array(first_at), none_.cast(pa.binary())], names=NAMES)
+    yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), *(none_.cast(t) for t in (pa.int64(),) * 5), ids, pa.array(rid), pa.array(first_at), none_.cast(pa.binary()), none_.cast(pa.binary())], names=NAMES)
 
 
-NAMES = ["c", "a", "mask", "n", "low", "high", "id", "rid", "base", "words"]
+NAMES = ["c", "a", "mask", "n", "low", "high", "id", "rid", "base", "words", "rare"]
 
 
 def _told(classes: dict[bytes, list], kind: pa.DataType) -> pa.RecordBatch:
     """The rows of ``classes``, which is emptied; its id, rid and base are those of the first place."""
-    a, mask, n, low, high, order, words = zip(*classes.values())
-    out = pa.RecordBatch.from_arrays([pa.array(list(classes), pa.binary()), *(pa.array(x, pa.int64()) for x in (a, mask, n, low, high)), pa.array([o[1] for o in order], kind), pa.array([o[2] for o in order], pa.int64()), pa.array([o[3] for o in order], pa.int32()), pa.array(words, pa.binary())], names=NAMES)
+    a, mask, n, low, high, order, words, rare = zip(*classes.values())
+    out = pa.RecordBatch.from_arrays([pa.array(list(classes), pa.binary()), *(pa.array(x, pa.int64()) for x in (a, mask, n, low, high)), pa.array([o[1] for o in order], kind), pa.array([o[2] for o in order], pa.int64()), pa.array([o[3] for o in order], pa.int32()), pa.array(words, pa.binary()), pa.array(rare, pa.binary())], names=NAMES)
     classes.clear()
     return out
 
@@ -305,12 +338,13 @@ def _merged(t: pa.Table) -> pa.Table:
     return out.append_column("rank", pa.array(rank[head])).combine_chunks()
 
 
-def _repeats(table: pa.Table, size: int) -> Iterator[pa.RecordBatch]:
+def _repeats(table: pa.Table, size: int, book: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The repeats of whole buckets of classes: a row for each class and place in it, in batches of about LISTED rows."""
     table = _merged(table)
     a, mask, count, rank, rids, base = (table.column(c).to_numpy() for c in ("a", "mask", "n", "rank", "rid", "base"))
-    raw, off = tk.string_buffers(table.column("words").chunk(0))
-    data, off = np.frombuffer(raw.tobytes(), ">u4").astype(np.uint64), off // 4
+    (codes, off), (rare, _) = (tk.string_buffers(table.column(c).chunk(0)) for c in ("words", "rare"))
+    data, off = _decoded(np.frombuffer(codes.tobytes(), "<u2"), np.frombuffer(rare.tobytes(), "<u4"), book), off // 2
+    raw, data = data.astype(">u4").tobytes(), data.astype(np.uint64)
     bits = (mask[:, None] >> np.arange(size)) & 1
     row, shift = np.nonzero(bits)
     # a class of several places stands twice, with the least and the greatest of what is before them
@@ -335,7 +369,6 @@ def _repeats(table: pa.Table, size: int) -> Iterator[pa.RecordBatch]:
     early[by] = np.arange(len(by))
     names, ids = table.column("c").chunk(0), table.column("id").chunk(0)
     short = np.frombuffer(b"".join(names.to_pylist()), np.uint64).reshape(-1, 2)[:, 0]
-    raw = raw.tobytes()
     weight = np.where(second, 0, count[row])
     out: list[tuple] = []
 
@@ -418,15 +451,22 @@ def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     rows = rows.where(F.octet_length("txt") >= 2 * size - 1)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun = False
         for batch in batches:
             for part in tk.byte_slices(batch, "txt"):
+                if not begun:
+                    yield _frequent(U.text_column(part, "txt"))
+                    begun = True
                 rid = part.column(0).to_numpy()
                 row, q, a, before = _anchors(U.text_column(part, "txt"), rid, size)
                 yield pa.RecordBatch.from_arrays([pa.array(rid[row]), pa.array(q), pa.array(a), pa.array(before)], names=["rid", "q", "a", "before"])
         common.tidy()
 
     mine, spark = uuid.uuid4().hex, docs.sparkSession
-    every = common.written(rows.select("rid", "txt").mapInArrow(anchors, "rid bigint, q int, a bigint, before bigint"), mine)
+    both = common.written(rows.select("rid", "txt").mapInArrow(anchors, "rid bigint, q int, a bigint, before bigint"), mine)
+    said = both.where("rid is null").groupBy("a").agg(F.sum("q").alias("n")).orderBy(F.desc("n"), "a").limit(BOOK).toArrow()  # BOOK rows at most
+    book = spark.sparkContext.broadcast(np.sort(said.column("a").to_numpy().astype(np.uint32)))
+    every = both.where("rid is not null")
     counted = every.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("before").alias("x"), F.max("before").alias("y")).where("n > 1").select("a", (F.col("x") != F.col("y")).alias("diverse"))
     marks = common.written(every.select("rid", "q", "a").join(counted, "a").groupBy("rid").agg(F.collect_list(F.struct("q", "diverse")).alias("marks"), F.max("diverse").alias("any")).where("any").select("rid", "marks"), f"{mine}-marks")
     common.drop_written(mine)
@@ -440,7 +480,7 @@ def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
         classes: dict[bytes, list] = {}
         for batch in batches:
             for part in tk.byte_slices(batch, "txt"):
-                yield from _suffixes(part, size, classes)
+                yield from _suffixes(part, size, classes, book.value)
                 if len(classes) > KNOWN:
                     yield _told(classes, ids)
         if classes:
@@ -448,16 +488,16 @@ def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
         common.tidy()
 
     ids = to_arrow_type(kind)
-    fields = [T.StructField(n, t) for n, t in zip(NAMES, (T.BinaryType(), *[T.LongType()] * 5, kind, T.LongType(), T.IntegerType(), T.BinaryType()))]
+    fields = [T.StructField(n, t) for n, t in zip(NAMES, (T.BinaryType(), *[T.LongType()] * 5, kind, T.LongType(), T.IntegerType(), *[T.BinaryType()] * 2))]
     single = here.dropDuplicates(["rid"]).join(marks, "rid").select("id", "rid", "txt", "marks")
     told = common.written(single.mapInArrow(suffixes, T.StructType(fields)), owner, compression="zstd")
     common.drop_written(f"{mine}-marks")
     common.release(spark)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in common.whole_groups(batches, ["a"]):
+        for t in common.whole_groups(batches, ["a"], 2_000_000):
             if len(t):
-                yield from _repeats(t, size)
+                yield from _repeats(t, size, book.value)
         common.tidy()
 
     found = told.where("n is not null").repartition("a").sortWithinPartitions("a").mapInArrow(scan, ", ".join(f"{n} {t or kind.simpleString()}" for n, t in FOUND.items()))

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from lodestone.llm import repeats
@@ -170,3 +171,35 @@ def test_repeated_rows_and_ids_of_any_type(spark):
     assert sorted((r.doc_id or "", r.start, r.n_words, r.n_occurrences) for r in got) == [("", 0, 55, 3), ("a", 0, 55, 3), ("b", 1, 55, 3)]
     left = sorted((r.doc_id or "", r.text or "") for r in repeats.cut_repeats(df).collect())
     assert left == [("", ""), ("", ""), ("a", f"{passage} y"), ("b", "x "), ("b", "x "), ("c", "")]
+
+
+@pytest.mark.parametrize("book", (repeats.BOOK, 7, 0))
+def test_words_of_classes_are_coded(spark, monkeypatch, book):
+    rng = random.Random(11)
+    kinds = [f"w{i}" for i in range(60)]
+    base = [rng.choice(kinds) for _ in range(400)]
+    texts = [" ".join([*base[i : i + 200], f"rare{i}", *base[250:350]]) for i in range(0, 200, 10)]
+    kept, written = [], repeats.common.written
+
+    def keep(df, owner="", compression="snappy"):
+        out = written(df, owner, compression)
+        if "words" in out.columns:
+            kept.append(out.where("n is not null").selectExpr("sum(octet_length(words)) as coded", "sum(octet_length(rare)) as rare").first())
+        return out
+
+    monkeypatch.setattr(repeats.common, "written", keep)
+    monkeypatch.setattr(repeats, "BOOK", book)  # on the driver: the book is smaller
+    got = told(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(2))
+    assert set(got) == brute(texts, 50)
+    # a word has two bytes, and four more if it isn't in the book
+    (coded, rare), = kept
+    assert rare == 2 * coded if book == 0 else rare < 0.2 * coded if book > 7 else 0 < rare < 2 * coded
+
+
+def test_code_book():
+    words = np.array([5, 0, 2**32 - 1, 7, 5], np.uint32)
+    for book in ([], [0], [5, 7], [0, 5, 2**32 - 1]):
+        book = np.array(book, np.uint32)
+        code = repeats._coded(words, book)
+        assert ((code == repeats.BOOK) == ~np.isin(words, book)).all()
+        assert (repeats._decoded(code, words[code == repeats.BOOK], book) == words).all()
